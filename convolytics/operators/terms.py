@@ -149,32 +149,45 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
-def _marks(df: DataFrame, keys: Sequence[str], text: str, min_ratio: float) -> DataFrame:
-    """The marks of a text that a partner must share at least one of.
+def _marks(df: DataFrame, text: str, as_: str, min_ratio: float) -> DataFrame:
+    """Add the marks of a text and the first few that a partner must share one of.
 
     Marks are characters with their running number in the text ('l1', 'l2'). Texts
     with ratio r share at least r * (len(a) + len(b)) / 2 of them, and a partner has
     at least len * r / (2 - r) characters. So in any fixed order of marks, the first
-    len - need + 1 of both texts have one in common.
+    len - need + 1 of both texts have one in common. High numbers and late letters
+    are rare, so they come first.
     """
     chars = F.split(F.col(text), "")
     numbered = F.transform(
-        chars,
-        lambda c, i: F.concat(
-            c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")
+        chars, lambda c, i: F.struct(
+            F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).alias("n"),
+            c.alias("c"),
         ),
+    )
+    marks = F.transform(
+        F.sort_array(numbered, asc=False), lambda m: F.concat(m["c"], m["n"].cast("string"))
     )
     n = F.length(text)
     # A small margin keeps rounding of the bound from losing a pair at the threshold.
     need = F.ceil(n * F.lit(min_ratio / (2.0 - min_ratio)) - F.lit(1e-9)).cast("int")
-    # Numbered copies and rare letters differ most between texts: order by hash.
-    by_hash = F.transform(
-        F.array_sort(F.transform(numbered, lambda m: F.struct(F.xxhash64(m).alias("h"), m.alias("m")))),
-        lambda s: s["m"],
-    )
-    return df.where(n > 0).select(
-        *keys, text, F.explode(F.slice(by_hash, F.lit(1), n - need + 1)).alias("_mark")
-    )
+    with_marks = df.where(n > 0).withColumn(f"{as_}_marks", marks)
+    return with_marks.withColumn(f"{as_}_first", F.slice(f"{as_}_marks", F.lit(1), n - need + 1))
+
+
+def _candidates(
+    asked: DataFrame, given: DataFrame, keys: Sequence[str], min_ratio: float
+) -> DataFrame:
+    """Pairs of ``term`` and ``reply_term`` that may reach the ratio, each once."""
+    a = _marks(asked, "term", "a", min_ratio).withColumn("_mark", F.explode("a_first"))
+    b = _marks(given, "reply_term", "b", min_ratio).withColumn("_mark", F.explode("b_first"))
+    la, lb = F.length("term"), F.length("reply_term")
+    floor = F.lit(min_ratio) * (la + lb) - F.lit(1e-9)
+    pairs = a.join(b, [*keys, "_mark"]).where(2 * F.least(la, lb) >= floor)
+    # A pair that shares several first marks is kept at the first of them only.
+    once = F.element_at(F.array_intersect("a_first", "b_first"), 1) == F.col("_mark")
+    shared = F.size(F.array_intersect("a_marks", "b_marks"))
+    return pairs.where(once & (2 * shared >= floor)).select(*keys, "term", "reply_term")
 
 
 def soft_match(
@@ -207,14 +220,7 @@ def soft_match(
     lowered = given.withColumn("_low", F.lower("reply_term"))
     used = exact.select(*keys, F.lower("reply_term").alias("_low")).distinct()
     open_reply = lowered.join(used, low, "left_anti").drop("_low")
-    pairs = (
-        _marks(open_terms, keys, "term", min_ratio)
-        .join(_marks(open_reply, keys, "reply_term", min_ratio), [*keys, "_mark"])
-        .select(*keys, "term", "reply_term")
-        .distinct()
-    )
-    la, lb = F.length("term"), F.length("reply_term")
-    pairs = pairs.where(2 * F.least(la, lb) >= F.lit(min_ratio) * (la + lb))
+    pairs = _candidates(open_terms, open_reply, keys, min_ratio)
     ratios = (
         pairs.select("term", "reply_term")
         .distinct()
