@@ -8,19 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convolytics.functions.scalars import TERM
+from convolytics.functions.scalars import TERM, WHITE
 from convolytics.session import configure
 from convolytics.sources.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Characters that count as white space at the ends of a text.
-WHITE = "".join(
-    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
-              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
-)
-
 
 def strip_sql(text: str) -> str:
     return f"trim({text}, '{WHITE}')"

@@ -155,22 +155,24 @@ def p11(spark, d):
 
 
 W1_SQL = (
-    M + " SELECT uid, tid, turn, upper(role) || CAST(row_number() OVER (PARTITION BY uid, tid "
-    "ORDER BY created_epoch, turn) - 1 AS varchar) AS mid FROM v_messages"
+    M + " SELECT uid, tid, turn, upper(role) || CAST(row_number() OVER (PARTITION BY {keys} "
+    "ORDER BY created_epoch, {order}) - 1 AS varchar) AS mid FROM v_messages"
 )
 
 
-@query("w1_number_messages", W1_SQL)
+@query("w1_number_messages", W1_SQL.format(keys="uid, tid", order="turn"))
 def w1(spark, d):
     df = messages(spark, d).drop("mid")
     return op.number_messages(df).select("uid", "tid", "turn", "mid")
 
 
-@query("w1_number_long_groups", W1_SQL)
+@query("w1_number_long_groups", W1_SQL.format(keys="uid", order="tid, turn"))
 def w1_long(spark, d):
-    """The same through the path for hot groups: every transcript counts as too long."""
+    """Numbers over all transcripts of a learner, with learners counted as hot groups."""
     df = messages(spark, d).drop("mid")
-    return op.number_messages(df, rows_per_task=1).select("uid", "tid", "turn", "mid")
+    order = ["created_at", "tid", "turn"]
+    numbered = op.number_messages(df, ["uid"], order, rows_per_task=20)
+    return numbered.select("uid", "tid", "turn", "mid")
 
 
 @query("k2_ordered", M + " SELECT uid, tid, turn, role FROM v_messages ORDER BY uid, tid, turn")
@@ -225,7 +227,7 @@ def a2(spark, d):
 )
 def a2_parts(spark, d):
     """Long dialogues go on in parts; here every three lines, through the hot-group path."""
-    return op.dialogue(messages(spark, d), part_rows=3, rows_per_task=2)
+    return op.dialogue(messages(spark, d), part_rows=3, rows_per_task=6)
 
 
 @query(

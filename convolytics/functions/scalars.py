@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters and digits, with hyphens or apostrophes only inside a term.
 TERM = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
 
 
+# Characters that count as white space at the ends of a text.
+WHITE = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
+
 def rfc3339(when: Column) -> Column:
     """Time as text, with microseconds only when there are any."""
     whole = when == F.date_trunc("second", when)
@@ -19,7 +28,21 @@ def rfc3339(when: Column) -> Column:
 
 def py_strip(text: Column) -> Column:
     """Drop all Unicode white space (and separators 28-31) at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once, also where later filters use them.
+
+    A filter on a plain column is moved below it and computes the expression again.
+    """
+    fields = [c.alias(name) for name, c in columns.items()]
+    return df.select("*", F.inline(F.array(F.struct(*fields))))
 
 
 def short_hash(length: int, *keys: Column) -> Column:
@@ -60,14 +83,11 @@ def terms_of(body: Column) -> Column:
 
 def template_var(body: Column) -> Column:
     """The first ``{{...}}`` of a text without outer spaces, NULL when there is none."""
-    inner = F.split_part(F.split_part(body, F.lit("{{"), F.lit(2)), F.lit("}}"), F.lit(1))
+    inner = F.substring_index(F.substring_index(body, "{{", 2), "{{", -1)
+    inner = F.substring_index(inner, "}}", 1)
     return F.when(F.contains(body, F.lit("{{")) & F.contains(body, F.lit("}}")), py_strip(inner))
 
 
-def fill(body: Column, name: str, value: Column) -> Column:
-    return F.replace(body, F.lit("{{" + name + "}}"), value.cast("string"))
-
-
 def language_part(tag: Column) -> Column:
     return F.lower(F.substring_index(F.replace(py_strip(tag), F.lit("_"), F.lit("-")), "-", 1))
 

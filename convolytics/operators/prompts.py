@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolytics.functions import dims
-from convolytics.functions.scalars import py_strip, template_var
+from convolytics.functions.scalars import let, once, py_strip, template_var
 from convolytics.sources.prompts import clean_lines
 
 BACKSLASH = "\\"
@@ -22,7 +22,8 @@ def continued(lines: Column) -> Column:
     """Join each line that ends with a backslash to the next one, with a newline."""
     pieces = F.split(F.array_join(lines, "\n"), r"(?<!\\)\n")
     joined = F.transform(pieces, lambda x: F.replace(x, F.lit(BACKSLASH + "\n"), F.lit("\n")))
-    return F.when(F.size(lines) > 0, joined).otherwise(F.array().cast("array<string>"))
+    any_goes_on = F.exists(lines, lambda x: F.endswith(x, F.lit(BACKSLASH)))
+    return F.when(any_goes_on, joined).otherwise(lines)
 
 
 def join_continuations(files: DataFrame, lines: str = "lines") -> tuple[DataFrame, DataFrame]:
@@ -38,26 +39,34 @@ def join_continuations(files: DataFrame, lines: str = "lines") -> tuple[DataFram
 
 def _parse_line(line: Column, functions: Sequence[str] | None) -> Column:
     head = F.lower(py_strip(F.substring_index(line, ":", 1)))
+    colon = F.locate(":", line)
+    rest = py_strip(F.when(colon > 0, F.substr(line, colon + 1)).otherwise(F.lit("")))
+    return let(
+        F.struct(head.alias("head"), rest.alias("rest")),
+        lambda x: _classified(line, x["head"], x["rest"], functions),
+    )
+
+
+def _classified(line, head, rest, functions):
     models = {**dims.CHAT_MODELS, **{v: v for v in dims.CHAT_MODELS.values()}}
     model = dims.lookup(models, head)
-    parts = F.split(line, ":")
-    rest = py_strip(F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ":"))
     is_func = head == "func"
     kind = (
-        F.when(model.isNotNull(), "model")
+        F.when(head.isin(*models), "model")
         .when(is_func, "func")
         .when(head.isin(*dims.ROLES), "msg")
     )
+    colons = F.length(line) - F.length(F.replace(line, F.lit(":"), F.lit("")))
     unknown = ~rest.isin(*functions) if functions is not None else F.lit(False)
     reason = (
-        F.when(kind.isNull(), "unknown role")
-        .when(is_func & (F.size(parts) != 2), "a function line has one colon")
+        F.when(~head.isin(*models, *dims.ROLES), "unknown role")
+        .when(is_func & (colons != 1), "a function line has one colon")
         .when(is_func & unknown, "unknown function")
     )
     return F.struct(
         kind.alias("kind"),
-        F.when(kind != "model", head).alias("role"),
-        F.when(kind == "model", model).otherwise(rest).alias("body"),
+        F.when(~head.isin(*models), head).alias("role"),
+        F.when(head.isin(*models), model).otherwise(rest).alias("body"),
         reason.alias("reason"),
     )
 
@@ -69,7 +78,7 @@ def parse_prompts(
 
     A prompt with a bad line is left out; its bad lines are the rejects.
     """
-    parsed = files.withColumn("_p", F.transform(lines, lambda x: _parse_line(x, functions)))
+    parsed = once(files, _p=F.transform(lines, lambda x: _parse_line(x, functions)))
     bad = F.exists("_p", lambda p: p["reason"].isNotNull())
     good = parsed.where(~bad).select("file_id", F.posexplode("_p").alias("pos", "_l"))
     rejects = (
@@ -85,7 +94,7 @@ def read_prompts(
     files: DataFrame, functions: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """From file texts to prompt lines and rejects."""
-    lined = files.select("file_id", clean_lines(F.col("text")).alias("lines"))
+    lined = once(files, lines=clean_lines(F.col("text"))).select("file_id", "lines")
     good, dangling = join_continuations(lined)
     prompts, bad = parse_prompts(good, functions)
     whole = dangling.select(
@@ -107,7 +116,7 @@ def prompt_models(prompts: DataFrame) -> DataFrame:
 
 def template_vars(prompts: DataFrame) -> DataFrame:
     """The first variable of each system message."""
-    found = prompts.where(F.col("role") == "sys").withColumn("var", template_var(F.col("body")))
+    found = once(prompts.where(F.col("role") == "sys"), var=template_var(F.col("body")))
     return found.where(F.col("var").isNotNull()).select("file_id", "pos", "var")
 
 
@@ -118,38 +127,48 @@ def substitute(prompts: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFr
     and for a variable that is left (only the first one of a message is filled, and
     only when written without spaces). One row per prompt tells the first reason.
     """
-    variables = template_vars(prompts)
-    wanted = variables.select("file_id", "var").distinct()
-    pair = ["file_id", "var"]
-    asked_for = params.join(prompts.select("file_id").distinct(), "file_id", "left_semi")
-    unknown = asked_for.join(wanted, pair, "left_anti").withColumn("_why", F.lit(1))
-    missing = wanted.join(params, pair, "left_anti").withColumn("_why", F.lit(2))
-
-    is_sys = F.col("role") == "sys"
-    at = prompts.withColumn("var", F.when(is_sys, template_var(F.col("body"))))
-    mark = F.concat(F.lit("{{"), F.col("var"), F.lit("}}"))
-    filled = F.replace(F.col("body"), mark, F.col("value").cast("string"))
-    done = (
-        at.join(params, pair, "left")
-        .withColumn("body", F.coalesce(filled, F.col("body")))
-        .select(*prompts.columns)
+    # A prompt is one text, so its lines and parameters fit one group.
+    given = (
+        params.groupBy("file_id", "var")
+        .agg(F.max("value").alias("value"))
+        .groupBy("file_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("var", F.col("value").cast("string"))))
+             .alias("_given"))
+    )
+    none = F.expr("map()").cast("map<string,string>")
+    rows = once(
+        prompts.join(given, "file_id", "left"),
+        _var=F.when(F.col("role") == "sys", template_var(F.col("body"))),
+        _all=F.coalesce("_given", none),
     )
-    left = F.when(is_sys, template_var(F.col("body")))
-    unfilled = done.select("file_id", left.alias("var")).where(F.col("var").isNotNull())
-
-    reasons = F.element_at(
+    var = F.col("_var")
+    value = F.try_element_at("_all", var)
+    filled = F.replace(F.col("body"), F.concat(F.lit("{{"), var, F.lit("}}")), value)
+    done = once(rows, _body=F.coalesce(filled, F.col("body")))
+
+    prompt = Window.partitionBy("file_id")
+    left = template_var(F.col("_body"))
+    own = F.when(var.isNotNull() & value.isNull(), F.struct(F.lit(2).alias("why"), var.alias("var"))).when(
+        (F.col("role") == "sys") & left.isNotNull(), F.struct(F.lit(3).alias("why"), left.alias("var"))
+    )
+    unknown = F.array_sort(F.array_except(F.map_keys("_all"), F.collect_set(var).over(prompt)))
+    first_unknown = F.when(
+        F.size(unknown) > 0,
+        F.struct(F.lit(1).alias("why"), F.try_element_at(unknown, F.lit(1)).alias("var")),
+    )
+    judged = done.withColumn("_bad", F.coalesce(first_unknown, F.min(own).over(prompt)))
+    good = judged.where(F.col("_bad").isNull()).withColumn("body", F.col("_body"))
+    why = F.element_at(
         F.array(F.lit("unknown parameter"), F.lit("missing parameter"), F.lit("variable is left")),
-        F.col("_f._why"),
+        F.col("_f.why"),
     )
     rejects = (
-        unknown.select(*pair, "_why")
-        .unionByName(missing.select(*pair, "_why"))
-        .unionByName(unfilled.withColumn("_why", F.lit(3)))
+        judged.where(F.col("_bad").isNotNull())
         .groupBy("file_id")
-        .agg(F.min(F.struct("_why", "var")).alias("_f"))
-        .select("file_id", reasons.alias("reason"), "_f.var")
+        .agg(F.min("_bad").alias("_f"))
+        .select("file_id", why.alias("reason"), "_f.var")
     )
-    return done.join(rejects.select("file_id"), "file_id", "left_anti"), rejects
+    return good.select(*prompts.columns), rejects
 
 
 def guard_templates(prompts: DataFrame) -> tuple[DataFrame, DataFrame]:

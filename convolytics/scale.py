@@ -54,9 +54,9 @@ def rank_rows(
     cold_rows = df.join(hot, same_keys(df, hot, keys), "left_anti")
     hot_rows = df.join(hot, same_keys(df, hot, keys), "left_semi")
     cold_rows = cold_rows.withColumn(name, (F.row_number().over(plain) - 1).cast("long"))
-    return cold_rows.unionByName(
-        _rank_hot(hot_rows, keys, order, name, max(2, -(-top.total // rows_per_task)))
-    )
+    over = sizes.where(F.col("_n") > limit).agg(F.sum("_n")).first()[0]
+    tasks = max(2, -(-over // rows_per_task))
+    return cold_rows.unionByName(_rank_hot(hot_rows, keys, order, name, tasks))
 
 
 def _rank_hot(df, keys, order, name, tasks):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convolytics.functions import dims
-from convolytics.functions.scalars import rfc3339, territory_part
+from convolytics.functions.scalars import let, once, rfc3339, territory_part
 from convolytics.schemas import DOCUMENTS, PATH_KEYS
 
 # Collection of a user's sub-documents, the entity and its key name.
@@ -22,40 +22,54 @@ def parse_paths(
 ) -> tuple[DataFrame, DataFrame]:
     """Split document paths into ``entity`` and key columns; invalid ones are rejects."""
     codes = list(countries or dims.countries(df.sparkSession))
-    parts = F.split(F.col(col), "/")
+    path = F.col(col)
 
-    def part(i: int) -> Column:
-        return F.try_element_at(parts, F.lit(i))
+    def keys_of(parts: Column) -> Column:
+        return let(_entity(parts), lambda entity: _path_keys(path, parts, entity, codes))
 
-    n = F.size(parts)
-    four_under_user = (n == 4) & (part(1) == "users")
-    entity = F.when((n == 2) & (part(1) == "users"), "user")
+    parsed = once(df, _p=let(F.split(path, "/"), keys_of))
+    reason = F.col("_p.reason")
+    keys = [F.col(f"_p.{k}") for k in ("entity", "uid", "tid", "pid", "atp", "aid", "bcp47")]
+    good = parsed.where(reason.isNull()).select(*df.columns, *keys)
+    return good, parsed.where(reason.isNotNull()).select(*df.columns, reason)
+
+
+def _part(parts: Column, i: int) -> Column:
+    return F.try_element_at(parts, F.lit(i))
+
+
+def _entity(parts: Column) -> Column:
+    n, first, third = F.size(parts), _part(parts, 1), _part(parts, 3)
+    entity = F.when((n == 2) & (first == "users"), "user")
     for collection, (name, _) in _UNDER_USER.items():
-        entity = entity.when(four_under_user & (part(3) == collection), name)
-    entity = entity.when((n == 4) & (part(1) == "acts"), "act").when(
-        (n == 2) & (part(1) == "languages"), "language"
+        entity = entity.when((n == 4) & (first == "users") & (third == collection), name)
+    return entity.when((n == 4) & (first == "acts"), "act").when(
+        (n == 2) & (first == "languages"), "language"
     )
-    tag = F.when(entity == "act", part(3)).when(entity == "language", part(2))
+
+
+def _path_keys(path: Column, parts: Column, entity: Column, codes: Sequence[str]) -> Column:
+    second, fourth = _part(parts, 2), _part(parts, 4)
+    tag = F.when(entity == "act", _part(parts, 3)).when(entity == "language", second)
     reason = (
-        F.when(F.col(col).isNull(), "no path")
-        .when(n % 2 != 0, "odd number of parts")
+        F.when(path.isNull(), "no path")
+        .when(F.size(parts) % 2 != 0, "odd number of parts")
         .when(F.exists(parts, lambda p: p.isin("", "None")), "empty part")
         .when(entity.isNull(), "unknown collection")
-        .when((entity == "act") & ~part(2).isin(*dims.ACT_TYPES), "invalid activity type")
+        .when((entity == "act") & ~second.isin(*dims.ACT_TYPES), "invalid activity type")
         .when(tag.isNotNull() & ~F.coalesce(territory_part(tag).isin(*codes), F.lit(False)),
               "invalid language")
     )
-    keys = {
-        "uid": F.when(part(1) == "users", part(2)),
-        "tid": F.when(entity == "transcript", part(4)),
-        "pid": F.when(entity == "plan", part(4)),
-        "atp": F.when(entity == "act", part(2)),
-        "aid": F.when(entity == "act", part(4)),
-        "bcp47": F.when(entity == "vocab", part(4)).otherwise(tag),
-    }
-    marked = df.withColumn("reason", reason)
-    good = marked.where(F.col("reason").isNull()).drop("reason")
-    return good.withColumns({"entity": entity, **keys}), marked.where(F.col("reason").isNotNull())
+    return F.struct(
+        reason.alias("reason"),
+        entity.alias("entity"),
+        F.when(_part(parts, 1) == "users", second).alias("uid"),
+        F.when(entity == "transcript", fourth).alias("tid"),
+        F.when(entity == "plan", fourth).alias("pid"),
+        F.when(entity == "act", second).alias("atp"),
+        F.when(entity == "act", fourth).alias("aid"),
+        F.when(entity == "vocab", fourth).otherwise(tag).alias("bcp47"),
+    )
 
 
 def parse_docs(
@@ -68,8 +82,9 @@ def parse_docs(
     good, rejects = parse_paths(df, col)
     schema = T.StructType.fromDDL(f"{DOCUMENTS[entity]}, _broken string")
     keys = PATH_KEYS[entity]
-    mine = good.where(F.col("entity") == entity).withColumn(
-        "_doc", F.from_json(data, schema, {"columnNameOfCorruptRecord": "_broken"})
+    mine = once(
+        good.where(F.col("entity") == entity),
+        _doc=F.from_json(data, schema, {"columnNameOfCorruptRecord": "_broken"}),
     )
     broken = F.col("_doc").isNull() | F.col("_doc._broken").isNotNull()
     extra = [c for c in df.columns if c not in (col, data)]
