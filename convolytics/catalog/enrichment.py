@@ -26,8 +26,9 @@ FIRST = "messages[0].content"
 
 
 def scripted(expr: str):
-    def answer(asked):
-        return replay(recorded_reply(asked.withColumn("reply", F.expr(expr))))(asked)
+    def answer(requests):
+        asked = rq.distinct_requests(requests)
+        return replay(recorded_reply(asked.withColumn("reply", F.expr(expr))))(requests)
 
     return answer
 
@@ -388,20 +389,23 @@ def l12_rejects(spark, d):
 
 
 def json_reply(terms: str, value: str) -> str:
-    return (
-        f"'{{' || array_join(transform({terms}, t -> '\"' || t || '\": \"' || {value} || '\"'), "
-        "', ') || '}'"
-    )
+    pairs = f"transform({terms}, t -> '\"' || t || '\": \"' || {value} || '\"')"
+    return f"'{{' || array_join({pairs}, ', ') || '}}'"
+
+
+def given(value: str, reply: str) -> str:
+    """An SQL expression in which ``x`` stands for a value computed once."""
+    return f"element_at(transform(array({value}), x -> {reply}), 1)"
 
 
 ASKED = f"from_json({LAST}, 'struct<msg:string,terms:array<string>>').terms"
 BARE = f"from_json({LAST}, 'array<string>')"
-MSG_LEN = f"length(from_json({LAST}, 'struct<msg:string>').msg)"
 KIND = "CASE length(t) % 4 WHEN 0 THEN 'verb' WHEN 1 THEN 'noun' ELSE 'other' END"
 KIND_SQL = KIND.replace("(t)", "(term)")
-# Every third message (by length) gets upper-case keys, every fifth one key less.
-SHOUTED = f"""transform(if({MSG_LEN} % 5 = 0, slice({ASKED}, 2, size({ASKED})), {ASKED}),
-    t -> if({MSG_LEN} % 3 = 0, translate(t, 'aeinrst', 'AEINRST'), t))"""
+# Every third message (by length) gets keys in another case, every fifth one key less.
+PAYLOAD = f"from_json({LAST}, 'struct<msg:string,terms:array<string>>')"
+SHOUTED = """transform(if(length(x.msg) % 5 = 0, slice(x.terms, 2, size(x.terms)), x.terms),
+    t -> if(length(x.msg) % 3 = 0, translate(t, 'aeinrst', 'AEINRST'), t))"""
 LOWER_KIND = "CASE length(t) % 4 WHEN 0 THEN ' verb ' WHEN 1 THEN 'noun' ELSE 'other' END"
 
 
@@ -422,7 +426,7 @@ def listed(spark, d):
 
 
 def _pos(spark, d):
-    return fx.extract_pos(listed(spark, d), scripted(json_reply(SHOUTED, LOWER_KIND)))
+    return fx.extract_pos(listed(spark, d), scripted(given(PAYLOAD, json_reply(SHOUTED, LOWER_KIND))))
 
 
 @query("l13_extract_pos", rows_sql(KIND_SQL, "n % 5 <> 0"))
@@ -442,7 +446,7 @@ def l13_rejects(spark, d):
 @query("l14_extract_defn", rows_sql("'d ' || term", "n % 5 <> 0 AND n % 3 <> 0"))
 def l14(spark, d):
     """Upper-case keys pass the size check here; they are left out to compare terms."""
-    df, _ = fx.extract_defn(listed(spark, d), scripted(json_reply(SHOUTED, "'d ' || t")))
+    df, _ = fx.extract_defn(listed(spark, d), scripted(given(PAYLOAD, json_reply(SHOUTED, "'d ' || t"))))
     return df.join(
         messages(spark, d).where(F.length("body") % 3 != 0), fx.MESSAGE, "left_semi"
     ).select(*OUT)
@@ -475,8 +479,8 @@ def l16(spark, d):
 def l17(spark, d):
     df = listed(spark, d)
     poss, _ = fx.extract_pos(df, scripted(json_reply(ASKED, KIND)))
-    keys = f"transform({BARE}, t -> if(size({BARE}) % 2 = 0, t || 'x', t))"
-    reply = json_reply(keys, "'past'")
+    keys = "transform(x, t -> if(size(x) % 2 = 0, t || 'x', t))"
+    reply = given(BARE, json_reply(keys, "'past'"))
     return fx.extract_conjugation(df, poss, scripted(reply))[0].select(*OUT, "keys_differ")
 
 
@@ -490,11 +494,11 @@ TERM_OF = f"from_json({LAST}, 'struct<msg:string,term:string>').term"
 )
 def l18(spark, d):
     """Replies are a map, a bare list, or no JSON at all."""
-    reply = f"""CASE WHEN length({TERM_OF}) % 5 = 0 THEN 'none'
-      WHEN length({TERM_OF}) % 3 = 0 THEN '["bare", "x' || {TERM_OF} || '"]'
-      ELSE '{{"' || {TERM_OF} || '": ["' || {TERM_OF} || '", "x' || {TERM_OF} || '"]}}' END"""
+    reply = """CASE WHEN length(x) % 5 = 0 THEN 'none'
+      WHEN length(x) % 3 = 0 THEN '["bare", "x' || x || '"]'
+      ELSE '{"' || x || '": ["' || x || '", "x' || x || '"]}' END"""
     rows = extract_terms(messages(spark, d).withColumn("text", F.col("body")), "text")
-    df, _ = fx.extract_synonyms(rows, scripted(reply))
+    df, _ = fx.extract_synonyms(rows, scripted(given(TERM_OF, reply)))
     return df.select("tid", "mid", "term", F.array_join("synonyms", "|").alias("synonyms"))
 
 

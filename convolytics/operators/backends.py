@@ -13,22 +13,22 @@ from pyspark.sql import types as T
 from convolytics.schemas import COMPLETION, USAGE
 from convolytics.session import cut
 
+# From rows with a ``request_id`` (and the request, where it must be sent) to completions
+# by request id. There may be completions of other requests as well.
 Backend = Callable[[DataFrame], DataFrame]
 NO_REPLY = "no recorded completion"
 COLUMNS = ["request_id", "choices", "usage", "attempts", "error"]
 
 
 def replay(recorded: DataFrame) -> Backend:
-    """Answer requests from a table of recorded completions."""
+    """Answer requests from a table of recorded completions, one per request id."""
+    return lambda requests: recorded.select(*COLUMNS)
 
-    def answer(asked: DataFrame) -> DataFrame:
-        found = asked.select("request_id").join(recorded.select(*COLUMNS), "request_id", "left")
-        nothing = F.col("choices").isNull() & F.col("error").isNull()
-        return found.withColumn(
-            "error", F.when(nothing, F.lit(NO_REPLY)).otherwise(F.col("error"))
-        )
 
-    return answer
+def distinct_requests(requests: DataFrame) -> DataFrame:
+    """One row per request id; equal requests are merged before the shuffle."""
+    parts = ["effect", "model", "messages", "params"]
+    return requests.groupBy("request_id").agg(*[F.first(c).alias(c) for c in parts])
 
 
 def recorded_reply(replies: DataFrame, reply: str = "reply") -> DataFrame:
@@ -55,7 +55,7 @@ def batch(
     backoff_sec: float = 5.0,
     partitions: int | None = None,
 ) -> Backend:
-    """Call a client for requests that ``known`` completions do not answer.
+    """Call a client once for each distinct request that ``known`` does not answer.
 
     ``make_client`` runs once per task and gives a function from a request (dict) to
     ``{"choices": [...], "usage": {...}}``. A call is tried again ``retries`` times;
@@ -71,17 +71,16 @@ def batch(
             rows = [_try(client, r, retries, backoff_sec) for r in frame.to_dict("records")]
             yield pd.DataFrame(rows, columns=COLUMNS)
 
-    def answer(asked: DataFrame) -> DataFrame:
-        new = asked
+    def answer(requests: DataFrame) -> DataFrame:
+        new = distinct_requests(requests)
         if known is not None:
-            new = asked.join(known.select("request_id"), "request_id", "left_anti")
+            new = new.join(known.select("request_id"), "request_id", "left_anti")
         if partitions is not None:
             new = new.repartition(partitions)
         called = cut(new.mapInPandas(call, schema))
         if known is None:
             return called
-        old = known.join(asked.select("request_id"), "request_id", "left_semi")
-        return called.unionByName(old.select(*COLUMNS))
+        return called.unionByName(known.select(*COLUMNS))
 
     return answer
 

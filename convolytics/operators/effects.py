@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolytics.functions import dims
-from convolytics.functions.scalars import language_part, py_strip, terms_of
+from convolytics.functions.scalars import language_part, let, once, py_strip, terms_of
 from convolytics.operators.backends import Backend
 from convolytics.operators.languages import translate
 from convolytics.operators.messages import bounded_lists, dialogue
@@ -17,11 +17,12 @@ from convolytics.operators.prompts import compose
 from convolytics.operators.requests import Effect, ask, message, prompt_messages
 from convolytics.operators.scores import rank_value
 from convolytics.operators.terms import (
+    SIZE_DIFFERS,
     annotate_terms,
     build_curriculum,
     json_entries,
-    repair_keys,
-    same_size,
+    repaired,
+    same_keys,
     stripped,
 )
 
@@ -29,6 +30,7 @@ MESSAGE = ["uid", "tid", "mid"]
 TRANSCRIPT = ["uid", "tid"]
 MAX_MESSAGES = 999  # per request; longer transcripts are rejects
 JSON = "json_object"
+NOT_JSON = "reply is not a JSON object"
 
 # Models that answer in JSON, for terms and for all other annotations.
 TERMS_MODEL = "gpt-4-1106-preview"
@@ -187,15 +189,19 @@ def _talk(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_score(answers: DataFrame, scale: str, keys: Sequence[str]):
     """Replies of the form ``NAME; reason`` as value and explanation."""
-    parts = F.split("reply", "; ")
-    value = rank_value(py_strip(F.element_at(parts, 1)), F.lit(scale))
-    marked = answers.withColumns(
-        {"score": F.when(F.size(parts) == 2, value), "scale": F.lit(scale)}
-    )
-    good = marked.where(F.col("score").isNotNull())
-    good = good.withColumn("explain", py_strip(F.element_at(parts, 2))).drop("reply")
-    bad = marked.where(F.col("score").isNull())
-    return good, _reject(bad, keys, "score not understood")
+
+    def read(parts: Column) -> Column:
+        value = rank_value(py_strip(F.element_at(parts, 1)), F.lit(scale))
+        return F.when(
+            F.size(parts) == 2,
+            F.struct(value.alias("score"), py_strip(F.element_at(parts, 2)).alias("explain")),
+        )
+
+    marked = once(answers, _s=let(F.split("reply", "; "), read))
+    score = F.col("_s.score")
+    good = marked.where(score.isNotNull())
+    good = good.select(*keys, score, F.lit(scale).alias("scale"), "_s.explain")
+    return good, _reject(marked.where(score.isNull()), keys, "score not understood")
 
 
 def score_messages(
@@ -345,29 +351,55 @@ def extract_terms_by_model(
     """Terms of messages as the model splits them, as rows of ``pos`` and ``term``."""
     chat = F.concat(prompt_messages(TERMS), F.array(message("usr", F.col("body"))))
     answers, failed = ask(messages.withColumn("chat", chat), TERMS, MESSAGE, backend)
-    parsed = answers.withColumn("entries", json_entries(F.col("reply")))
-    names = F.transform("entries", lambda e: py_strip(e["key"]))
-    good = parsed.where(F.col("entries").isNotNull()).select(
-        *MESSAGE, F.posexplode(F.array_distinct(names)).alias("pos", "term")
+    names = F.transform(json_entries(F.col("reply")), lambda e: py_strip(e["key"]))
+    parsed = once(answers, names=names)
+    good = parsed.where(F.col("names").isNotNull()).select(
+        *MESSAGE, F.posexplode(F.array_distinct("names")).alias("pos", "term")
     )
-    odd = _reject(parsed.where(F.col("entries").isNull()), MESSAGE, "reply is not a JSON object")
+    odd = _reject(parsed.where(F.col("names").isNull()), MESSAGE, NOT_JSON)
     return good, failed.unionByName(odd)
 
 
 def _about_terms(
-    df: DataFrame, effect: Effect, backend: Backend, with_body: bool, keys: Sequence[str] = MESSAGE
+    df: DataFrame,
+    effect: Effect,
+    backend: Backend,
+    read: Callable[[Column, Column], Column],
+    with_body: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Entries of a JSON reply about the terms of each message."""
+    """Entries of a JSON reply about the terms of each message.
+
+    ``read`` turns the requested terms and the parsed entries into the final ones, or
+    NULL when they do not fit.
+    """
     named = _langname(df) if any("LANGNAME" in t for _, t in effect.prompt) else df
     variables = {"LANGNAME": F.col("langname")} if named is not df else {}
     payload = F.struct(F.col("body").alias("msg"), "terms") if with_body else F.col("terms")
     asked = message("usr", F.to_json(payload))
     chat = F.concat(prompt_messages(effect, **variables), F.array(asked))
     rows = named.where(F.size("terms") > 0).withColumn("chat", chat)
-    answers, failed = ask(rows, effect, keys, backend, keep=["terms"])
-    parsed = answers.withColumn("entries", json_entries(F.col("reply"))).drop("reply")
-    odd = _reject(parsed.where(F.col("entries").isNull()), keys, "reply is not a JSON object")
-    return parsed.where(F.col("entries").isNotNull()), failed.unionByName(odd)
+    answers, failed = ask(rows, effect, MESSAGE, backend, keep=["terms"])
+
+    def final(entries: Column) -> Column:
+        return F.struct(
+            entries.isNotNull().alias("is_json"),
+            F.when(entries.isNotNull(), read(F.col("terms"), entries)).alias("entries"),
+        )
+
+    parsed = once(answers, _r=let(json_entries(F.col("reply")), final))
+    entries = F.col("_r.entries")
+    why = F.when(F.col("_r.is_json"), F.lit(SIZE_DIFFERS)).otherwise(F.lit(NOT_JSON))
+    odd = parsed.where(entries.isNull()).select(*MESSAGE, why.alias("reason"))
+    good = parsed.where(entries.isNotNull()).select(*MESSAGE, "terms", entries.alias("entries"))
+    return good, failed.unionByName(odd)
+
+
+def _as_is(terms: Column, entries: Column) -> Column:
+    return entries
+
+
+def _same_size(terms: Column, entries: Column) -> Column:
+    return F.when(F.size(terms) == F.size(entries), entries)
 
 
 def _rows(df: DataFrame, keys: Sequence[str] = MESSAGE, extra: Sequence[str] = ()) -> DataFrame:
@@ -378,30 +410,30 @@ def _rows(df: DataFrame, keys: Sequence[str] = MESSAGE, extra: Sequence[str] = (
 
 def extract_pos(df: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
     """Part of speech per term. Reply keys that differ are repaired by position."""
-    parsed, failed = _about_terms(df, POS, backend, True)
-    clean = parsed.withColumn("entries", stripped(F.col("entries"), py_strip))
-    good, odd = repair_keys(clean)
-    return _rows(good), failed.unionByName(odd.select(*MESSAGE, "reason"))
+    good, bad = _about_terms(
+        df, POS, backend, lambda t, e: let(stripped(e, py_strip), lambda x: repaired(t, x))
+    )
+    return _rows(good), bad
 
 
 def extract_defn(df: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
     """Definition per term; another number of terms is a reject."""
-    parsed, failed = _about_terms(df, DEFN, backend, True)
-    good, odd = same_size(parsed.withColumn("entries", stripped(F.col("entries"), py_strip)))
-    return _rows(good), failed.unionByName(odd.select(*MESSAGE, "reason"))
+    good, bad = _about_terms(
+        df, DEFN, backend, lambda t, e: _same_size(t, stripped(e, py_strip))
+    )
+    return _rows(good), bad
 
 
 def extract_udefn(df: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
     """Definition in a few words per term, whatever terms come back."""
-    parsed, failed = _about_terms(df, UDEFN, backend, True)
-    return _rows(parsed), failed
+    good, bad = _about_terms(df, UDEFN, backend, _as_is)
+    return _rows(good), bad
 
 
 def extract_root(df: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
     """Root form per term; another number of terms is a reject."""
-    parsed, failed = _about_terms(df, ROOT, backend, False)
-    good, odd = same_size(parsed)
-    return _rows(good), failed.unionByName(odd.select(*MESSAGE, "reason"))
+    good, bad = _about_terms(df, ROOT, backend, _same_size, with_body=False)
+    return _rows(good), bad
 
 
 def extract_conjugation(
@@ -418,12 +450,9 @@ def extract_conjugation(
         .select(*MESSAGE, F.transform("_v", lambda x: x["term"]).alias("terms"))
     )
     rows = df.drop("terms").join(verbs, MESSAGE)
-    parsed, failed = _about_terms(rows, CONJU, backend, False)
-    names = F.transform("entries", lambda e: e["key"])
-    differ = (F.size(F.array_except("terms", names)) > 0) | (
-        F.size(F.array_except(names, "terms")) > 0
-    )
-    return _rows(parsed.withColumn("keys_differ", differ), extra=["keys_differ"]), failed
+    good, bad = _about_terms(rows, CONJU, backend, _as_is, with_body=False)
+    differ = ~same_keys(F.col("terms"), F.col("entries"))
+    return _rows(good.withColumn("keys_differ", differ), extra=["keys_differ"]), bad
 
 
 def extract_synonyms(
@@ -434,12 +463,13 @@ def extract_synonyms(
     asked = message("usr", F.to_json(F.struct(F.col("body").alias("msg"), "term")))
     chat = F.concat(prompt_messages(SYNONYMS), F.array(asked))
     answers, failed = ask(term_rows.withColumn("chat", chat), SYNONYMS, keys, backend)
-    bare = F.from_json("reply", "array<string>")
+    entries = F.map_entries(F.from_json("reply", "map<string,array<string>>"))
+    own = F.filter(entries, lambda e: e["key"] == F.col("term"))
     is_list = F.startswith(py_strip(F.col("reply")), F.lit("["))
-    entries = json_entries(F.col("reply"), "array<string>")
-    named = F.element_at(F.filter(entries, lambda e: e["key"] == F.col("term")), 1)["value"]
-    found = F.when(is_list, bare).when(F.size(entries) > 0, named)
-    parsed = answers.withColumn("synonyms", found)
+    found = F.when(is_list, F.from_json("reply", "array<string>")).otherwise(
+        F.try_element_at(own, F.lit(-1))["value"]
+    )
+    parsed = once(answers, synonyms=found)
     odd = parsed.where(F.col("synonyms").isNull())
     return parsed.where(F.col("synonyms").isNotNull()).drop("reply"), failed.unionByName(
         _reject(odd, keys, "no list of synonyms")

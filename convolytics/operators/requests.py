@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolytics.functions import dims
-from convolytics.functions.scalars import template_var
-from convolytics.operators.backends import Backend
+from convolytics.functions.scalars import let, once, template_var
+from convolytics.operators.backends import NO_REPLY, Backend, distinct_requests
 from convolytics.schemas import CHAT
 
 EMPTY_BIAS = "map<string,double>"
@@ -86,53 +86,51 @@ def build_requests(
     requests have equal ids. Rejects: a template variable is left, or the last message
     is already the assistant's (with ``check_user``).
     """
-    unfilled = F.exists(
-        chat, lambda m: (m["role"] == "sys") & template_var(m["body"]).isNotNull()
-    )
-    roles = F.transform(chat, lambda m: m["role"])
-    answered = F.try_element_at(roles, F.lit(-1)) == "ast"
-    reason = F.when(F.size(chat) == 0, "no messages").when(
-        F.coalesce(unfilled, F.lit(False)), "template not substituted"
-    )
-    if check_user:
-        reason = reason.when(answered, "the last message is from the assistant")
-    wire = F.transform(
-        chat,
-        lambda m: F.struct(
-            dims.lookup(dims.ROLES, m["role"]).alias("role"), m["body"].alias("content")
-        ),
-    ).cast(f"array<{CHAT}>")
-    marked = df.withColumn("_reason", reason)
-    built = (
-        marked.where(F.col("_reason").isNull())
-        .drop("_reason")
-        .withColumns(
-            {
-                "effect": F.lit(effect.name),
-                "model": F.lit(effect.model),
-                "messages": wire,
-                "params": params_of(effect, None if bias is None else F.col(bias)),
-            }
+    def read(talk: Column) -> Column:
+        unfilled = F.exists(
+            talk, lambda m: (m["role"] == "sys") & template_var(m["body"]).isNotNull()
+        )
+        reason = F.when(F.size(talk) == 0, "no messages").when(
+            F.coalesce(unfilled, F.lit(False)), "template not substituted"
+        )
+        if check_user:
+            last = F.try_element_at(F.transform(talk, lambda m: m["role"]), F.lit(-1))
+            reason = reason.when(last == "ast", "the last message is from the assistant")
+        wire = F.transform(
+            talk,
+            lambda m: F.struct(
+                dims.lookup(dims.ROLES, m["role"]).alias("role"), m["body"].alias("content")
+            ),
         )
+        return F.struct(
+            reason.alias("reason"), wire.cast(f"array<{CHAT}>").alias("messages")
+        )
+
+    marked = once(df, _c=let(F.col(chat), read))
+    built = marked.where(F.col("_c.reason").isNull()).withColumns(
+        {
+            "effect": F.lit(effect.name),
+            "model": F.lit(effect.model),
+            "messages": F.col("_c.messages"),
+            "params": params_of(effect, None if bias is None else F.col(bias)),
+        }
     )
     ident = F.to_json(F.struct("effect", "model", "messages", "params"))
     # Never NULL, and known to be so: a join on it needs no check that hashes again.
     request_id = F.coalesce(F.sha2(ident, 256), F.lit(""))
-    rejects = marked.where(F.col("_reason").isNotNull())
+    rejects = marked.where(F.col("_c.reason").isNotNull())
     return (
-        built.withColumn("request_id", request_id),
-        rejects.select(*keys, F.col("_reason").alias("reason")),
+        built.drop("_c").withColumn("request_id", request_id),
+        rejects.select(*keys, F.col("_c.reason").alias("reason")),
     )
 
 
-def distinct_requests(requests: DataFrame) -> DataFrame:
-    """One row per request id; equal requests are merged before the shuffle."""
-    parts = ["effect", "model", "messages", "params"]
-    return requests.groupBy("request_id").agg(*[F.first(c).alias(c) for c in parts])
-
-
 def complete(requests: DataFrame, backend: Backend) -> DataFrame:
-    return backend(distinct_requests(requests))
+    """Completions of the distinct requests; what has no reply is an error."""
+    asked = requests.select("request_id").distinct()
+    done = asked.join(backend(requests), "request_id", "left")
+    nothing = F.col("choices").isNull() & F.col("error").isNull()
+    return done.withColumn("error", F.when(nothing, F.lit(NO_REPLY)).otherwise(F.col("error")))
 
 
 def pick(completions: DataFrame) -> DataFrame:
@@ -157,11 +155,14 @@ def ask(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of ``keys``, ``keep`` and ``reply``, and rejects of ``keys`` and ``reason``."""
     requests, rejects = build_requests(df, effect, keys, chat, bias)
-    picked = pick(complete(requests, backend))
+    # Rows look their completion up directly: only a backend that sends requests has
+    # to make them distinct.
+    picked = pick(backend(requests)).withColumn("_found", F.lit(True))
     joined = requests.select(*keys, *keep, "request_id").join(picked, "request_id", "left")
-    good = joined.where(F.col("error").isNull()).select(*keys, *keep, "reply")
-    failed = joined.where(F.col("error").isNotNull())
-    return good, rejects.unionByName(failed.select(*keys, F.col("error").alias("reason")))
+    good = joined.where(F.col("_found") & F.col("error").isNull()).select(*keys, *keep, "reply")
+    reason = F.when(F.col("_found"), F.col("error")).otherwise(F.lit(NO_REPLY)).alias("reason")
+    failed = joined.where(F.col("_found").isNull() | F.col("error").isNotNull())
+    return good, rejects.unionByName(failed.select(*keys, reason))
 
 
 def logit_bias(

@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convolytics.functions.scalars import let
+
 MID = ["uid", "tid", "mid"]
+SIZE_DIFFERS = "number of terms differs"
+
+
+def entry_keys(entries: Column) -> Column:
+    return F.transform(entries, lambda e: e["key"])
 
 
 def json_entries(reply: Column, value_type: str = "string") -> Column:
@@ -17,12 +24,15 @@ def json_entries(reply: Column, value_type: str = "string") -> Column:
 
     NULL when the text is not a JSON object.
     """
-    entries = F.map_entries(F.from_json(reply, f"map<string,{value_type}>"))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    last = F.transform(
-        keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)
-    )
-    return F.when(F.size(keys) == F.size(entries), entries).otherwise(last)
+
+    def last_wins(entries: Column) -> Column:
+        keys = F.array_distinct(entry_keys(entries))
+        last = F.transform(
+            keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)
+        )
+        return F.when(F.size(keys) == F.size(entries), entries).otherwise(last)
+
+    return let(F.map_entries(F.from_json(reply, f"map<string,{value_type}>")), last_wins)
 
 
 def stripped(entries: Column, strip) -> Column:
@@ -31,10 +41,6 @@ def stripped(entries: Column, strip) -> Column:
     )
 
 
-def entry_keys(entries: Column) -> Column:
-    return F.transform(entries, lambda e: e["key"])
-
-
 def term_diff(df: DataFrame, terms: str = "terms", reply: str = "reply_terms") -> DataFrame:
     """Terms that only the request or only the reply has."""
     return df.withColumns(
@@ -45,6 +51,24 @@ def term_diff(df: DataFrame, terms: str = "terms", reply: str = "reply_terms") -
     )
 
 
+def same_keys(terms: Column, entries: Column) -> Column:
+    keys = entry_keys(entries)
+    return (F.size(F.array_except(terms, keys)) == 0) & (F.size(F.array_except(keys, terms)) == 0)
+
+
+def by_position(terms: Column, entries: Column) -> Column:
+    return F.zip_with(
+        terms, entries, lambda t, e: F.struct(t.alias("key"), e["value"].alias("value"))
+    )
+
+
+def repaired(terms: Column, entries: Column) -> Column:
+    """Entries with the requested terms as keys; NULL for another number of keys."""
+    return F.when(same_keys(terms, entries), entries).when(
+        F.size(terms) == F.size(entries), by_position(terms, entries)
+    )
+
+
 def repair_keys(
     df: DataFrame, terms: str = "terms", entries: str = "entries"
 ) -> tuple[DataFrame, DataFrame]:
@@ -53,30 +77,9 @@ def repair_keys(
     Same keys stay. Other keys in the same number are replaced by position; another
     number of keys is a reject.
     """
-    keys = entry_keys(F.col(entries))
-    same = (F.size(F.array_except(terms, keys)) == 0) & (
-        F.size(F.array_except(keys, terms)) == 0
-    )
-    by_position = F.transform(
-        F.arrays_zip(F.col(terms).alias("t"), F.col(entries).alias("e")),
-        lambda z: F.struct(z["t"].alias("key"), z["e"]["value"].alias("value")),
-    )
-    fits = same | (F.size(terms) == F.size(entries))
-    good = df.where(fits).withColumns(
-        {
-            entries: F.when(same, F.col(entries)).otherwise(by_position),
-            "repaired": ~same,
-        }
-    )
-    return good, df.where(~fits).withColumn("reason", F.lit("number of terms differs"))
-
-
-def same_size(
-    df: DataFrame, terms: str = "terms", entries: str = "entries"
-) -> tuple[DataFrame, DataFrame]:
-    """Keep replies with as many keys as requested terms."""
     fits = F.size(terms) == F.size(entries)
-    return df.where(fits), df.where(~fits).withColumn("reason", F.lit("number of terms differs"))
+    good = df.where(fits).withColumn(entries, repaired(F.col(terms), F.col(entries)))
+    return good, df.where(~fits).withColumn("reason", F.lit(SIZE_DIFFERS))
 
 
 def annotate(

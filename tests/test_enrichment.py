@@ -19,7 +19,11 @@ def said(spark, *bodies, role="usr"):
 
 
 def scripted(expr):
-    return lambda asked: bk.replay(bk.recorded_reply(asked.withColumn("reply", F.expr(expr))))(asked)
+    def answer(requests):
+        asked = bk.distinct_requests(requests)
+        return bk.replay(bk.recorded_reply(asked.withColumn("reply", F.expr(expr))))(requests)
+
+    return answer
 
 
 LAST = "element_at(messages, -1).content"
