@@ -6,6 +6,7 @@ from convolytics.catalog import (  # noqa: F401
     prompts,
     records,
     sessions,
+    streams,
     talks,
     vocabulary,
 )

@@ -53,7 +53,11 @@ def epoch(name: str):
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """The message table: uid, tid, turn, mid, role, body, bcp47, created_at."""
-    return view(spark, folder, "v_messages").select(
+    return message_columns(view(spark, folder, "v_messages"))
+
+
+def message_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "uid", "tid", "turn", F.concat(F.upper("role"), F.col("turn").cast("string")).alias("mid"),
         "role", "body", "bcp47", F.timestamp_seconds("created_epoch").alias("created_at"),
     )

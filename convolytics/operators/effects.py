@@ -12,7 +12,7 @@ from convolytics.functions import dims
 from convolytics.functions.scalars import language_part, let, once, py_strip, terms_of
 from convolytics.operators.backends import Backend
 from convolytics.operators.languages import translate
-from convolytics.operators.messages import bounded_lists, dialogue
+from convolytics.operators.messages import bounded_lists, capped_lists, chat_line, filter_roles
 from convolytics.operators.prompts import compose
 from convolytics.operators.requests import Effect, ask, message, prompt_messages
 from convolytics.operators.scores import rank_value
@@ -31,6 +31,7 @@ TRANSCRIPT = ["uid", "tid"]
 MAX_MESSAGES = 999  # per request; longer transcripts are rejects
 JSON = "json_object"
 NOT_JSON = "reply is not a JSON object"
+TOO_LONG = "transcript too long for a request"
 
 # Models that answer in JSON, for terms and for all other annotations.
 TERMS_MODEL = "gpt-4-1106-preview"
@@ -181,7 +182,7 @@ def _talk(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     value = F.struct("role", "body")
     order = [F.col("created_at"), F.col("mid")]
     fits, long = bounded_lists(messages, TRANSCRIPT, order, value, MAX_MESSAGES, "talk")
-    return fits, _reject(long, TRANSCRIPT, "transcript too long for a request")
+    return fits, _reject(long, TRANSCRIPT, TOO_LONG)
 
 
 # --- scores ---------------------------------------------------------------------------
@@ -285,17 +286,21 @@ def extract_topics(
     messages: DataFrame, transcripts: DataFrame, backend: Backend
 ) -> tuple[DataFrame, DataFrame]:
     """Topic tags of each transcript, from its dialogue text and in its language."""
-    texts = dialogue(messages, transcripts=transcripts, order=["created_at", "mid"])
-    long = texts.where(F.col("part") == 1).select(*TRANSCRIPT)
-    whole = texts.join(long, TRANSCRIPT, "left_anti")
-    named = _langname(whole.join(transcripts.select(*TRANSCRIPT, "bcp47"), TRANSCRIPT))
+    order = [F.col("created_at"), F.col("mid")]
+    lines = capped_lists(
+        filter_roles(messages), TRANSCRIPT, order, chat_line(), MAX_MESSAGES, "lines"
+    )
+    every = transcripts.select(*TRANSCRIPT, "bcp47").join(lines, TRANSCRIPT, "left")
+    too_long = F.coalesce(F.size("lines"), F.lit(0)) > MAX_MESSAGES
+    text = F.coalesce(py_strip(F.array_join("lines", "\n")), F.lit(""))
+    named = _langname(every.where(~too_long).withColumn("text", text))
     quoted = F.concat(F.lit('"""\n'), F.col("text"), F.lit('\n"""'))
     prompt = prompt_messages(TOPICS, LANGUAGE=F.col("langname"))
     df = named.withColumn("chat", F.concat(prompt, F.array(message("usr", quoted))))
     answers, failed = ask(df, TOPICS, TRANSCRIPT, backend)
-    too_long = _reject(long, TRANSCRIPT, "transcript too long for a request")
+    long = _reject(every.where(too_long), TRANSCRIPT, TOO_LONG)
     return answers.select(*TRANSCRIPT, F.split("reply", ", ").alias("topics")), (
-        failed.unionByName(too_long)
+        failed.unionByName(long)
     )
 
 
@@ -342,7 +347,7 @@ def explain_grammar(messages: DataFrame, backend: Backend) -> tuple[DataFrame, D
 
 def term_lists(messages: DataFrame) -> DataFrame:
     """Messages with their terms as an array (native tokenizer)."""
-    return messages.withColumn("terms", terms_of(F.col("body")))
+    return once(messages, terms=terms_of(F.col("body")))
 
 
 def extract_terms_by_model(

@@ -91,6 +91,10 @@ def assemble(
     )
 
 
+def chat_line() -> Column:
+    return F.concat(F.col("role"), F.lit(": "), py_strip(F.col("body")))
+
+
 def dialogue(
     messages: DataFrame,
     roles: Sequence[str] = ("ast", "usr"),
@@ -105,9 +109,8 @@ def dialogue(
     Texts of more than ``part_rows`` lines go on in further parts; white space at the
     end is dropped from the unfilled last part.
     """
-    line = F.concat(F.col("role"), F.lit(": "), py_strip(F.col("body")))
     parts = ordered_parts(
-        filter_roles(messages, roles), keys, _by_time(order), line, part_rows, "_l", **scale
+        filter_roles(messages, roles), keys, _by_time(order), chat_line(), part_rows, "_l", **scale
     )
     joined = F.array_join("_l", "\n")
     texts = parts.withColumn(
@@ -209,20 +212,20 @@ def needs_reply(prompt_messages: DataFrame, key: str = "prompt_id") -> DataFrame
     return last.where(F.col("last_role") != "ast")
 
 
-def bounded_lists(
+def capped_lists(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     value: Column,
     limit: int,
     out: str,
-) -> tuple[DataFrame, DataFrame]:
-    """Ordered lists of at most ``limit`` values; keys of longer groups come back apart.
+) -> DataFrame:
+    """Ordered lists of ``limit`` values, or one more where a group is longer than that.
 
     Each task drops rows past the limit before the shuffle, so no list grows with a group.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    lists = (
+    return (
         df.withColumn("_v", value)
         .withColumn("_rn", F.row_number().over(w))
         .where(F.col("_rn") <= limit + 1)
@@ -231,5 +234,17 @@ def bounded_lists(
         .withColumn(out, F.transform("_ranked", lambda x: x["_v"]))
         .drop("_ranked")
     )
+
+
+def bounded_lists(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    value: Column,
+    limit: int,
+    out: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Ordered lists of at most ``limit`` values, and the keys of longer groups apart."""
+    lists = capped_lists(df, keys, order, value, limit, out)
     fits = F.size(out) <= limit
     return lists.where(fits), lists.where(~fits).select(*keys)

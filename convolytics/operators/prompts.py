@@ -151,12 +151,19 @@ def substitute(prompts: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFr
     own = F.when(var.isNotNull() & value.isNull(), F.struct(F.lit(2).alias("why"), var.alias("var"))).when(
         (F.col("role") == "sys") & left.isNotNull(), F.struct(F.lit(3).alias("why"), left.alias("var"))
     )
-    unknown = F.array_sort(F.array_except(F.map_keys("_all"), F.collect_set(var).over(prompt)))
-    first_unknown = F.when(
-        F.size(unknown) > 0,
-        F.struct(F.lit(1).alias("why"), F.try_element_at(unknown, F.lit(1)).alias("var")),
+    seen = done.withColumns(
+        {"_vars": F.collect_set(var).over(prompt), "_worst": F.min(own).over(prompt)}
+    )
+    unknown = F.array_min(F.array_except(F.map_keys("_all"), "_vars"))
+    judged = once(
+        seen,
+        _bad=let(
+            unknown,
+            lambda name: F.when(
+                name.isNotNull(), F.struct(F.lit(1).alias("why"), name.alias("var"))
+            ).otherwise(F.col("_worst")),
+        ),
     )
-    judged = done.withColumn("_bad", F.coalesce(first_unknown, F.min(own).over(prompt)))
     good = judged.where(F.col("_bad").isNull()).withColumn("body", F.col("_body"))
     why = F.element_at(
         F.array(F.lit("unknown parameter"), F.lit("missing parameter"), F.lit("variable is left")),

@@ -161,15 +161,16 @@ def _marks(df: DataFrame, text: str, as_: str, min_ratio: float) -> DataFrame:
     len - need + 1 of both texts have one in common. High numbers and late letters
     are rare, so they come first.
     """
-    chars = F.split(F.col(text), "")
-    numbered = F.transform(
-        chars, lambda c, i: F.struct(
-            F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).alias("n"),
-            c.alias("c"),
-        ),
-    )
+    whole = F.col(text)
+
+    def numbered(c: Column, i: Column) -> Column:
+        before = F.substring(whole, F.lit(1), i)
+        n = i - F.length(F.replace(before, c, F.lit("")))
+        return F.struct(n.alias("n"), c.alias("c"))
+
+    chars = F.transform(F.split(whole, ""), numbered)
     marks = F.transform(
-        F.sort_array(numbered, asc=False), lambda m: F.concat(m["c"], m["n"].cast("string"))
+        F.sort_array(chars, asc=False), lambda m: F.concat(m["c"], m["n"].cast("string"))
     )
     n = F.length(text)
     # A small margin keeps rounding of the bound from losing a pair at the threshold.

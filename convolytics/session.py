@@ -12,6 +12,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot lookup key is split even where that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Limits per group, also long ones, are applied before the shuffle as well.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
 }
 
 

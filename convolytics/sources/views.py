@@ -142,9 +142,15 @@ def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def query(spark: SparkSession, folder: str, text: str) -> DataFrame:
-    """Run Spark SQL over the given tables; wall-clock times are taken as UTC."""
-    named = {t: raw(spark, folder, t) for t in _TABLES if t in text}
+def query(
+    spark: SparkSession, folder: str, text: str, given: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """Run Spark SQL over the given tables; wall-clock times are taken as UTC.
+
+    ``given`` replaces tables, for instance by streams of them.
+    """
+    given = given or {}
+    named = {t: given[t] if t in given else raw(spark, folder, t) for t in _TABLES if t in text}
     for t in named:
         text = _name(text, t)
     df = spark.sql(text, **named)
