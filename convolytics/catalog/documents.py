@@ -19,6 +19,18 @@ def old_new(spark, d):
     return view(spark, d, "v_docs_old"), view(spark, d, "v_docs_new")
 
 
+def _stored(spark, d):
+    """Transcripts as JSON: the body claims another uid, every fifth body is broken."""
+    n = F.col("n").cast("string")
+    data = F.to_json(F.struct(
+        F.lit("someone").alias("uid"), "status",
+        F.when(F.col("n") % 3 == 0, F.concat(F.lit("sum "), n)).alias("summary"),
+        F.lit("x").alias("unknown_field"),
+    ))
+    text = F.when(F.col("n") % 5 == 0, F.substring(data, 2, 1000)).otherwise(data)
+    return parse_docs(view(spark, d, "v_paths").select("n", "path", text.alias("data")), "transcript")
+
+
 @query(
     "d1_read_docs",
     P + f""" SELECT n, {SEG.format(2)} AS uid, {SEG.format(4)} AS tid, status,
@@ -26,17 +38,18 @@ def old_new(spark, d):
         WHERE n % 8 = 1 AND n % 5 <> 0""",
 )
 def d1(spark, d):
-    """Transcripts as JSON: the body claims another uid, every fifth body is broken."""
-    data = F.to_json(F.struct(
-        F.lit("someone").alias("uid"), "status",
-        F.when(F.col("n") % 3 == 0, F.concat(F.lit("sum "), F.col("n").cast("string"))).alias("summary"),
-        F.lit("x").alias("unknown_field"),
-    ))
-    broken = F.when(F.col("n") % 5 == 0, F.expr("substring(_d, 1, length(_d) - 4)"))
-    df = view(spark, d, "v_paths").withColumn("_d", data)
-    df = df.select("n", "path", F.coalesce(broken, "_d").alias("data"))
-    good, _ = parse_docs(df, "transcript")
-    return good.select("n", "uid", "tid", "status", "summary")
+    return _stored(spark, d)[0].select("n", "uid", "tid", "status", "summary")
+
+
+@query(
+    "d1_read_rejects",
+    P + """ SELECT n, path, CASE n % 8 WHEN 1 THEN 'invalid document'
+          WHEN 4 THEN 'invalid activity type' WHEN 5 THEN 'empty part'
+          WHEN 6 THEN 'invalid language' ELSE 'odd number of parts' END AS reason
+        FROM v_paths WHERE n % 8 > 3 OR (n % 8 = 1 AND n % 5 = 0)""",
+)
+def d1_rejects(spark, d):
+    return _stored(spark, d)[1].select("n", "path", "reason")
 
 
 @query(

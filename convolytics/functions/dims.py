@@ -32,6 +32,13 @@ SCORE_DIMS = {
 ACT_TYPES = ["min", "intro", "guided", "scen", "unstr", "lesson", "story", "drill", "asmt"]
 RUNNABLE_TYPES = ["min", "unstr"]
 
+# Three-letter codes in bibliographic use that differ from the usual ones.
+BIBLIOGRAPHIC = {
+    "alb": "sq", "arm": "hy", "baq": "eu", "bur": "my", "chi": "zh", "cze": "cs", "dut": "nl",
+    "fre": "fr", "geo": "ka", "ger": "de", "gre": "el", "ice": "is", "mac": "mk", "mao": "mi",
+    "may": "ms", "per": "fa", "rum": "ro", "slo": "sk", "tib": "bo", "wel": "cy",
+}
+
 # Chat model names by the word used in prompt files.
 CHAT_MODELS = {"gpt35turbo": "gpt-3.5-turbo", "gpt35turbo0301": "gpt-3.5-turbo-0301"}
 DEFAULT_MODEL = "gpt-3.5-turbo"
@@ -88,6 +95,10 @@ def language_aliases(iso: DataFrame) -> DataFrame:
         F.struct(F.col("code3").alias("alias"), F.lit(2).alias("prio")),
         F.struct(F.col("code").alias("alias"), F.lit(3).alias("prio")),
         F.struct(F.col("native").alias("alias"), F.lit(4).alias("prio")),
+        F.struct(
+            lookup({v: k for k, v in BIBLIOGRAPHIC.items()}, F.col("code")).alias("alias"),
+            F.lit(4).alias("prio"),
+        ),
         F.struct(
             F.concat(F.upper(F.substring("native", 1, 1)), F.expr("substring(native, 2)")).alias(
                 "alias"

@@ -5,6 +5,7 @@ Targets hold one row per key. All joins are equi-joins on that key.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -105,23 +106,54 @@ def flatten_docs(df: DataFrame, k: Sequence[str]) -> DataFrame:
     )
 
 
-def _patched(kind: T.StructType, patch: Column, at: Column | None = None, prefix: str = ""):
-    out = []
-    for f in kind:
-        col = F.col(f.name) if at is None else at[f.name]
-        path = f"{prefix}{f.name}"
-        if isinstance(f.dataType, T.StructType):
-            inner = F.struct(*_patched(f.dataType, patch, col, f"{path}."))
-            touched = F.exists(F.map_keys(patch), lambda p: F.startswith(p, F.lit(f"{path}.")))
-            out.append(F.when(col.isNotNull() | touched, inner).alias(f.name))
-        else:
-            text = F.try_element_at(patch, F.lit(path))
-            if isinstance(f.dataType, (T.ArrayType, T.MapType)):
-                value = F.from_json(text, f.dataType)
-            else:
-                value = text.cast(f.dataType)
-            out.append(F.coalesce(value, col).alias(f.name))
-    return out
+def _paths_of(kind: T.DataType) -> str:
+    """Pattern of what may follow a field of this type in a path."""
+    if isinstance(kind, T.StructType):
+        names = [re.escape(f.name) + _paths_of(f.dataType) for f in kind]
+        return rf"\.(?:{'|'.join(names)})"
+    if isinstance(kind, T.MapType):
+        return rf"(?:\.[^.]+{_paths_of(kind.valueType)})?"
+    return ""
+
+
+def _patched(kind: T.DataType, patch: Column, old: Column, path: Column) -> Column:
+    """``old`` with the entries of ``patch`` at or below ``path`` put in."""
+    below = F.concat(path, F.lit("."))
+    if isinstance(kind, T.StructType):
+        fields = [
+            _patched(f.dataType, patch, old[f.name], F.concat(below, F.lit(f.name))).alias(f.name)
+            for f in kind
+        ]
+        touched = F.exists(F.map_keys(patch), lambda p: F.startswith(p, below))
+        return F.when(old.isNotNull() | touched, F.struct(*fields))
+    text = F.try_element_at(patch, path)
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.from_json(text, kind), old)
+    if not isinstance(kind, T.MapType):
+        return F.coalesce(text.cast(kind), old)
+
+    whole = F.coalesce(F.from_json(text, kind), old)
+    hits = F.filter(F.map_keys(patch), lambda p: F.startswith(p, below))
+    named = F.transform(
+        hits, lambda p: F.split_part(F.substr(p, F.length(below) + 1), F.lit("."), F.lit(1))
+    )
+    new = F.transform(
+        F.array_distinct(named),
+        lambda k: F.struct(
+            k.alias("key"),
+            _patched(
+                kind.valueType, patch, F.try_element_at(whole, k), F.concat(below, k)
+            ).alias("value"),
+        ),
+    )
+    none = F.expr("map()").cast(kind.simpleString())
+    return F.when(F.size(hits) == 0, whole).otherwise(
+        F.map_zip_with(
+            F.coalesce(whole, none),
+            F.map_from_entries(new).cast(kind.simpleString()),
+            lambda _, a, b: F.coalesce(b, a),
+        )
+    )
 
 
 def update_docs(
@@ -129,28 +161,31 @@ def update_docs(
 ) -> tuple[DataFrame, DataFrame]:
     """Patch named leaves only. ``patches`` holds the key, ``path``, ``value`` and ``seq``.
 
-    Of several patches of one path the highest ``seq`` wins. Patches of missing
-    documents are rejects, as are paths the documents do not have.
+    Paths go into structs and, by key, into maps (keys without dots); a list or a whole
+    map is given as JSON. Of several patches of one path the highest ``seq`` wins.
+    Patches of missing documents are rejects, as are paths the documents do not have.
     """
     keys = list(k)
-    body = T.StructType([f for f in target.schema if f.name not in k])
-    paths = [p for p, _, _ in _leaves(body)]
-    known = patches.where(F.col("path").isin(*paths))
-    no_field = patches.where(~F.coalesce(F.col("path").isin(*paths), F.lit(False)))
+    body = [f for f in target.schema if f.name not in k]
+    pattern = "|".join(re.escape(f.name) + _paths_of(f.dataType) for f in body)
+    fits = F.coalesce(F.col("path").rlike(f"^(?:{pattern})$"), F.lit(False))
+    known = patches.where(fits)
     latest = known.groupBy(*keys, "path").agg(F.max_by("value", "seq").alias("value"))
-    # One entry per path of the schema, so the map of a document stays small.
+    # The patches of one document are no more than its leaves.
     maps = latest.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("_patch")
     )
     patch = F.coalesce("_patch", F.expr("map()").cast("map<string,string>"))
+    patched = [
+        _patched(f.dataType, F.col("_patch"), F.col(f.name), F.lit(f.name)).alias(f.name)
+        for f in body
+    ]
     result = (
-        target.join(maps, keys, "left")
-        .withColumn("_patch", patch)
-        .select(*keys, *_patched(body, F.col("_patch")))
+        target.join(maps, keys, "left").withColumn("_patch", patch).select(*keys, *patched)
     )
     no_doc = known.join(target.select(*keys), keys, "left_anti")
     return result, no_doc.withColumn("reason", F.lit("document not found")).unionByName(
-        no_field.withColumn("reason", F.lit("unknown field"))
+        patches.where(~fits).withColumn("reason", F.lit("unknown field"))
     )
 
 

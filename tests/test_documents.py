@@ -128,3 +128,33 @@ def test_life_of_a_document(spark):
     kids = spark.createDataFrame([(1, "m"), (2, "n")], "k int, body string")
     left, kids_left = op.delete_docs(replaced, one, ["k"], [kids])
     assert [r.k for r in left.collect()] == [2] and [r.body for r in kids_left.collect()] == ["n"]
+
+
+def test_update_below_map_keys(spark):
+    old = spark.sql(
+        "SELECT 1 k, map('a', '1') tags, map('USR0', named_struct('body', 'x', 'score', "
+        "named_struct('vocab', 1))) messages UNION ALL SELECT 2, null, null"
+    )
+    patches = spark.createDataFrame(
+        [
+            (1, "tags.b", "2", 1), (1, "messages.USR0.score.vocab", "4", 1),
+            (1, "messages.AST1.body", "new", 1), (2, "tags.c", "3", 1), (1, "messages.USR0.no", "x", 1),
+        ],
+        "k int, path string, value string, seq int",
+    )
+    result, rejects = op.update_docs(old, patches, ["k"])
+    rows = {r.k: r for r in result.collect()}
+    assert rows[1].tags == {"a": "1", "b": "2"} and rows[2].tags == {"c": "3"}
+    assert rows[1].messages["USR0"] == ("x", (4,)) and rows[1].messages["AST1"] == ("new", None)
+    assert rows[2].messages is None
+    assert [r.path for r in rejects.collect()] == ["messages.USR0.no"]
+
+
+def test_flatten_then_update_restores(spark):
+    doc = table(spark, [(1, "a", (1, "t"), {"x": "1"}), (2, "b", None, {})])
+    empty = table(spark, [(1, None, None, None), (2, "old", (7, "s"), {"y": "2"})])
+    patches = op.flatten_docs(doc, ["k"]).withColumn("seq", F.lit(1))
+    result, rejects = op.update_docs(empty, patches, ["k"])
+    got = {r.k: (r.name, r.streak, r.tags) for r in result.collect()}
+    assert got == {1: ("a", (1, "t"), {"x": "1"}), 2: ("b", (7, "s"), {})}
+    assert rejects.count() == 0

@@ -14,7 +14,7 @@ NAMES = {
     "日本語": "ja", "한국어": "ko", "中文": "zh", "العربية": "ar", "हिन्दी": "hi", "বাংলা": "bn",
     "Português": "pt", "Türkçe": "tr", "italiano": "it", "Tiếng Việt": "vi", "ไทย": "th",
     "עברית": "he", "Nederlands": "nl", "Ελληνικά": "el", "čeština": "cs", "Svenska": "sv",
-    "Magyar": "hu", "jpn": "ja", "ja": "ja", "Spanish": "es",
+    "Magyar": "hu", "jpn": "ja", "ja": "ja", "Spanish": "es", "ger": "de",
 }
 
 
