@@ -20,6 +20,10 @@ def strip_sql(text: str) -> str:
     return f"trim({text}, '{WHITE}')"
 
 
+def hash_sql(text: str, length: int) -> str:
+    return f"substr(translate(to_base64(unhex(sha256({text}))), '+/', 'Aa'), 1, {length})"
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Whole numbers as bigint and dates as text, as the oracle returns them."""
     casts = {}

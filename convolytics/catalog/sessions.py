@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convolytics.catalog.common import messages, query, transcripts, with_terms
+from convolytics.catalog.common import hash_sql, messages, query, transcripts, with_terms
 from convolytics.catalog.talks import FINAL_CTE
 from convolytics.functions import dims
 from convolytics.operators import languages as lg
@@ -64,8 +64,8 @@ def j1_rejects(spark, d):
 
 
 NEXT_PLANS = f"""v_next AS (
-    SELECT u.uid, a.aid, a.atp, a.bcp47, substr(sha256(CAST(u.uid AS varchar) || '|' ||
-      CAST(a.aid AS varchar)), 1, 6) || '-' || a.atp || '-'
+    SELECT u.uid, a.aid, a.atp, a.bcp47,
+      {hash_sql("CAST(u.uid AS varchar) || '|' || CAST(a.aid AS varchar)", 6)} || '-' || a.atp || '-'
       || strftime({AS_OF}, '%Y%m%d-%H%M%S') AS pid
     FROM v_users u JOIN ({LATEST_SQL.format(n=1)}) a
       ON u.language = a.bcp47 AND a.atp IN ('min', 'unstr'))"""
@@ -83,7 +83,7 @@ def j2(spark, d):
     return _plans(spark, d)
 
 
-TID_SQL = f"""substr(sha256(CAST(uid AS varchar) || '|' || pid), 1, 12)
+TID_SQL = f"""{hash_sql("CAST(uid AS varchar) || '|' || pid", 12)}
       || strftime({AS_OF}, '-%y%m%d-%H%M%S-') || bcp47"""
 
 
@@ -98,8 +98,8 @@ def j3(spark, d):
 
 @query(
     "p5_make_pid",
-    with_views("v_plans") + """ SELECT p.pid AS n, substr(sha256(CAST(p.uid AS varchar) || '|' ||
-        CAST(p.pid AS varchar)), 1, 4) || '-' || coalesce(atp || '-', '')
+    with_views("v_plans") + f""" SELECT p.pid AS n,
+        {hash_sql("CAST(p.uid AS varchar) || '|' || CAST(p.pid AS varchar)", 4)} || '-' || coalesce(atp || '-', '')
         || strftime(o.o_orderdate, '%Y%m%d-%H%M%S') AS aid
       FROM v_plans p JOIN orders o ON o.o_orderkey = p.pid""",
 )

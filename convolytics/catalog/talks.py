@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convolytics.catalog.common import epoch, messages, query, strip_sql, transcripts
+from convolytics.catalog.common import epoch, hash_sql, messages, query, strip_sql, transcripts
 from convolytics.functions import dims
 from convolytics.functions.scalars import audio_ordinal, py_strip, rfc3339, transcript_id
 from convolytics.operators import messages as op
@@ -71,8 +71,9 @@ def p4(spark, d):
 
 @query(
     "p5_make_tid",
-    "SELECT o_orderkey, substr(sha256(CAST(o_custkey AS varchar) || '|' || "
-    "CAST(o_orderkey AS varchar)), 1, 12) || strftime(o_orderdate, '-%y%m%d-%H%M%S') || '-en-US' "
+    "SELECT o_orderkey, "
+    + hash_sql("CAST(o_custkey AS varchar) || '|' || CAST(o_orderkey AS varchar)", 12)
+    + " || strftime(o_orderdate, '-%y%m%d-%H%M%S') || '-en-US' "
     "AS tid FROM orders",
 )
 def p5(spark, d):

@@ -46,9 +46,9 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def short_hash(length: int, *keys: Column) -> Column:
-    """Repeatable id prefix in place of random letters."""
+    """Letters and digits that follow from the keys, in place of random ones."""
     text = F.concat_ws("|", *[k.cast("string") for k in keys])
-    return F.substring(F.sha2(text, 256), 1, length)
+    return F.substring(F.translate(F.base64(F.unhex(F.sha2(text, 256))), "+/", "Aa"), 1, length)
 
 
 def transcript_id(when: Column, bcp47: Column, *keys: Column) -> Column:
