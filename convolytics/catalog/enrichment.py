@@ -58,8 +58,8 @@ def _checked(spark, d):
 
 @query(
     "l1_build_requests",
-    M + """ SELECT tid, turn, 'check' AS effect, 'gpt-3.5-turbo' AS model, 1 AS n,
-        128 AS max_tokens, chr(10) AS stop, 0.5::double AS top_p,
+    M + """ SELECT tid, turn, 'check' AS effect, 'gpt-3.5-turbo' AS model, 1::bigint AS n,
+        128::bigint AS max_tokens, chr(10) AS stop, 0.5::double AS top_p,
         'system:Be brief.|system:Check this.|' || CASE role WHEN 'usr' THEN 'user' ELSE 'system'
         END || ':' || body AS messages FROM v_messages WHERE role <> 'ast' AND turn % 4 <> 3""",
 )
@@ -199,7 +199,7 @@ def _scored(spark, d):
 
 def _value(scale: str) -> str:
     names = " ".join(f"WHEN '{n}' THEN {v}" for v, n in enumerate(dims.SCALES[scale]))
-    return f"CASE upper(split_part(reply, '; ', 1)) {names} END"
+    return f"CAST(CASE upper(split_part(reply, '; ', 1)) {names} END AS bigint)"
 
 
 SCORED = with_views("v_replies") + f""", s AS (SELECT *, CASE WHEN dim IN ('vocab', 'grammar')
@@ -227,7 +227,7 @@ def l5_rejects(spark, d):
 
 @query(
     "l5_score_context",
-    M + """ SELECT uid, tid, CASE WHEN length(body) % 2 = 0 THEN 4 ELSE 0 END AS score,
+    M + """ SELECT uid, tid, CAST(CASE WHEN length(body) % 2 = 0 THEN 4 ELSE 0 END AS bigint) AS score,
         n || ' messages' AS explain FROM (SELECT uid, tid, max_by(role, turn) AS role,
           max_by(body, turn) AS body, count(*) + 3 AS n FROM v_messages GROUP BY uid, tid)
       WHERE role <> 'ast'""",

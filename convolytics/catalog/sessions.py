@@ -259,8 +259,8 @@ def a12_as_of(spark, d):
 
 @query(
     "p8_act_types",
-    with_views("v_acts") + f""" SELECT aid, CASE atp
-        {" ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(dims.ACT_TYPES))} END AS ord
+    with_views("v_acts") + f""" SELECT aid, CAST(CASE atp
+        {" ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(dims.ACT_TYPES))} END AS bigint) AS ord
       FROM v_acts""",
 )
 def act_types(spark, d):

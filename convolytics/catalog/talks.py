@@ -104,7 +104,7 @@ def _rank_sql(names: list[str]) -> str:
 @query(
     "p8_rank_of",
     with_views("v_replies")
-    + f""" SELECT * FROM (SELECT mid, CASE WHEN dim IN ('vocab', 'grammar')
+    + f""" SELECT mid, CAST(value AS bigint) AS value FROM (SELECT mid, CASE WHEN dim IN ('vocab', 'grammar')
         THEN CASE upper(split_part(reply, ';', 1)) {_rank_sql(dims.SCALES["Level"])} END
         ELSE CASE upper(split_part(reply, ';', 1)) {_rank_sql(dims.SCALES["YesNo"])} END
         END AS value FROM v_replies) WHERE value IS NOT NULL""",
@@ -184,7 +184,7 @@ def k2(spark, d):
 @query(
     "a1_assemble",
     with_views("v_messages", "v_transcripts")
-    + f""" SELECT t.uid, t.tid, t.status, 0 AS part, coalesce(m.n, 0) AS n,
+    + f""" SELECT t.uid, t.tid, t.status, 0::bigint AS part, coalesce(m.n, 0) AS n,
              coalesce(m.mids, '') AS mids, coalesce(m.bodies, '') AS bodies
         FROM v_transcripts t LEFT JOIN (
           SELECT uid, tid, count(*) AS n, string_agg({MID}, ',' ORDER BY created_epoch, {MID})
@@ -207,7 +207,7 @@ LINE = "role || ': ' || " + strip_sql("body")
 @query(
     "a2_dialogue",
     with_views("v_messages", "v_transcripts")
-    + f""" SELECT t.uid, t.tid, 0 AS part, coalesce(m.text, '') AS text
+    + f""" SELECT t.uid, t.tid, 0::bigint AS part, coalesce(m.text, '') AS text
         FROM v_transcripts t LEFT JOIN (
           SELECT uid, tid, {strip_sql(f"string_agg({LINE}, chr(10) ORDER BY created_epoch, turn)")}
                    AS text

@@ -46,7 +46,7 @@ def p12(spark, d):
     return ms.explode_vocab(listed.select("tid", "turn", vocab.alias("vocab")))
 
 
-LEDGER_DOCS = """ SELECT uid, bcp47, term, 0 AS part, n_usgs, first, last, uses FROM (
+LEDGER_DOCS = """ SELECT uid, bcp47, term, 0::bigint AS part, n_usgs, first, last, uses FROM (
     SELECT uid, bcp47, term, count(*) AS n_usgs, min(at_epoch) AS first, max(at_epoch) AS last,
            string_agg(CAST(tid AS varchar) || '/' || mid, ',' ORDER BY at_epoch, tid, mid) AS uses
     FROM {source} GROUP BY uid, bcp47, term)"""

@@ -66,23 +66,31 @@ def act_types(spark: SparkSession) -> DataFrame:
     )
 
 
+_KNOWN: dict[str, list] = {}
+
+
 def countries(spark: SparkSession) -> list[str]:
     """ISO 3166 two-letter codes, as the Java runtime knows them."""
-    return list(spark.sparkContext._jvm.java.util.Locale.getISOCountries())
+    if "countries" not in _KNOWN:
+        locale = spark.sparkContext._jvm.java.util.Locale
+        _KNOWN["countries"] = list(locale.getISOCountries())
+    return _KNOWN["countries"]
 
 
 def languages(spark: SparkSession) -> DataFrame:
     """ISO 639-1 languages with names, as the Java runtime knows them (under 200 rows)."""
-    locale = spark.sparkContext._jvm.java.util.Locale
-    rows = []
-    for code in locale.getISOLanguages():
-        lang = locale.forLanguageTag(code)
-        if lang.getLanguage() == code:  # leaves out withdrawn codes
-            rows.append(
-                (code, lang.getISO3Language(), lang.getDisplayLanguage(locale.ENGLISH),
-                 lang.getDisplayLanguage(lang))
-            )
-    return spark.createDataFrame(rows, "code string, code3 string, name string, native string")
+    if "languages" not in _KNOWN:
+        locale = spark.sparkContext._jvm.java.util.Locale
+        tags = [(code, locale.forLanguageTag(code)) for code in locale.getISOLanguages()]
+        _KNOWN["languages"] = [
+            (code, tag.getISO3Language(), tag.getDisplayLanguage(locale.ENGLISH),
+             tag.getDisplayLanguage(tag))
+            for code, tag in tags
+            if tag.getLanguage() == code  # leaves out withdrawn codes
+        ]
+    return spark.createDataFrame(
+        _KNOWN["languages"], "code string, code3 string, name string, native string"
+    )
 
 
 def language_aliases(iso: DataFrame) -> DataFrame:

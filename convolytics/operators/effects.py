@@ -28,7 +28,7 @@ from convolytics.operators.terms import (
 
 MESSAGE = ["uid", "tid", "mid"]
 TRANSCRIPT = ["uid", "tid"]
-MAX_MESSAGES = 999  # per request; longer transcripts are rejects
+MAX_MESSAGES = 10_000  # per request; longer transcripts are rejects
 JSON = "json_object"
 NOT_JSON = "reply is not a JSON object"
 TOO_LONG = "transcript too long for a request"
@@ -177,11 +177,11 @@ def _reject(df: DataFrame, keys: Sequence[str], reason: str) -> DataFrame:
     return df.select(*keys, F.lit(reason).alias("reason"))
 
 
-def _talk(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _talk(messages: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Transcripts with their messages as an array ``talk``; too long ones are rejects."""
     value = F.struct("role", "body")
     order = [F.col("created_at"), F.col("mid")]
-    fits, long = bounded_lists(messages, TRANSCRIPT, order, value, MAX_MESSAGES, "talk")
+    fits, long = bounded_lists(messages, TRANSCRIPT, order, value, limit, "talk")
     return fits, _reject(long, TRANSCRIPT, TOO_LONG)
 
 
@@ -206,7 +206,7 @@ def parse_score(answers: DataFrame, scale: str, keys: Sequence[str]):
 
 
 def score_messages(
-    messages: DataFrame, dim: str, backend: Backend
+    messages: DataFrame, dim: str, backend: Backend, max_messages: int = MAX_MESSAGES
 ) -> tuple[DataFrame, DataFrame]:
     """Score learner messages in one dimension.
 
@@ -216,7 +216,7 @@ def score_messages(
     effect = SCORE_EFFECTS[dim]
     keys, rejects = MESSAGE, None
     if dim == "context":
-        talks, rejects = _talk(messages)
+        talks, rejects = _talk(messages, max_messages)
         keys = TRANSCRIPT
         df = talks.withColumn("chat", compose(prompt_messages(effect), F.col("talk")))
     else:
@@ -234,9 +234,11 @@ def score_messages(
 # --- transcripts ----------------------------------------------------------------------
 
 
-def grade_transcripts(messages: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
+def grade_transcripts(
+    messages: DataFrame, backend: Backend, max_messages: int = MAX_MESSAGES
+) -> tuple[DataFrame, DataFrame]:
     """Overall grade of each transcript that has messages."""
-    talks, long = _talk(messages)
+    talks, long = _talk(messages, max_messages)
     df = talks.withColumn("chat", compose(prompt_messages(GRADE), F.col("talk"), "prepend"))
     answers, failed = ask(df, GRADE, TRANSCRIPT, backend)
     graded = answers.withColumn("grade", rank_value(py_strip(F.col("reply")), F.lit("Grade")))
@@ -246,10 +248,13 @@ def grade_transcripts(messages: DataFrame, backend: Backend) -> tuple[DataFrame,
 
 
 def assess_skills(
-    messages: DataFrame, transcripts: DataFrame, backend: Backend
+    messages: DataFrame,
+    transcripts: DataFrame,
+    backend: Backend,
+    max_messages: int = MAX_MESSAGES,
 ) -> tuple[DataFrame, DataFrame]:
     """Skill assessment of each transcript, in its language."""
-    talks, long = _talk(messages)
+    talks, long = _talk(messages, max_messages)
     named = _langname(talks.join(transcripts.select(*TRANSCRIPT, "bcp47"), TRANSCRIPT))
     prompt = prompt_messages(SKILLS, LANGUAGE=F.col("langname"))
     df = named.withColumn("chat", compose(prompt, F.col("talk"), "insert"))
@@ -283,15 +288,18 @@ def split_skills(
 
 
 def extract_topics(
-    messages: DataFrame, transcripts: DataFrame, backend: Backend
+    messages: DataFrame,
+    transcripts: DataFrame,
+    backend: Backend,
+    max_messages: int = MAX_MESSAGES,
 ) -> tuple[DataFrame, DataFrame]:
     """Topic tags of each transcript, from its dialogue text and in its language."""
     order = [F.col("created_at"), F.col("mid")]
     lines = capped_lists(
-        filter_roles(messages), TRANSCRIPT, order, chat_line(), MAX_MESSAGES, "lines"
+        filter_roles(messages), TRANSCRIPT, order, chat_line(), max_messages, "lines"
     )
     every = transcripts.select(*TRANSCRIPT, "bcp47").join(lines, TRANSCRIPT, "left")
-    too_long = F.coalesce(F.size("lines"), F.lit(0)) > MAX_MESSAGES
+    too_long = F.coalesce(F.size("lines"), F.lit(0)) > max_messages
     text = F.coalesce(py_strip(F.array_join("lines", "\n")), F.lit(""))
     named = _langname(every.where(~too_long).withColumn("text", text))
     quoted = F.concat(F.lit('"""\n'), F.col("text"), F.lit('\n"""'))
@@ -312,6 +320,7 @@ def summarize(
     nwords: int = 5,
     bcp47: Column | None = None,
     source: str = "en-US",
+    max_messages: int = MAX_MESSAGES,
 ) -> tuple[DataFrame, DataFrame]:
     """Summary of each transcript in ``nwords`` words.
 
@@ -320,7 +329,7 @@ def summarize(
     """
     effect = replace(SUMMARY, fixed={"NWORDS": str(nwords)})
     target = F.col("bcp47") if bcp47 is None else bcp47
-    talks, long = _talk(messages)
+    talks, long = _talk(messages, max_messages)
     targets = messages.withColumn("target", target).groupBy(*TRANSCRIPT).agg(
         F.min("target").alias("target")
     )

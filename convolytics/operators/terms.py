@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from convolytics.functions.scalars import let
 
 MID = ["uid", "tid", "mid"]
+# Letters from common to rare in western European text; only the speed depends on it.
+COMMON_LETTERS = "enitrasohludcmgpbfvwkzyjxq"
 SIZE_DIFFERS = "number of terms differs"
 
 
@@ -158,15 +160,17 @@ def _marks(df: DataFrame, text: str, as_: str, min_ratio: float) -> DataFrame:
     Marks are characters with their running number in the text ('l1', 'l2'). Texts
     with ratio r share at least r * (len(a) + len(b)) / 2 of them, and a partner has
     at least len * r / (2 - r) characters. So in any fixed order of marks, the first
-    len - need + 1 of both texts have one in common. High numbers and late letters
-    are rare, so they come first.
+    len - need + 1 of both texts have one in common. High numbers and rare letters
+    come first, so that few texts meet.
     """
     whole = F.col(text)
 
     def numbered(c: Column, i: Column) -> Column:
         before = F.substring(whole, F.lit(1), i)
         n = i - F.length(F.replace(before, c, F.lit("")))
-        return F.struct(n.alias("n"), c.alias("c"))
+        common = F.position(c, F.lit(COMMON_LETTERS))
+        rarity = F.when(common == 0, len(COMMON_LETTERS) + 1).otherwise(common)
+        return F.struct(n.alias("n"), rarity.alias("r"), c.alias("c"))
 
     chars = F.transform(F.split(whole, ""), numbered)
     marks = F.transform(
@@ -207,23 +211,24 @@ def soft_match(
     if not 0 < min_ratio <= 1:
         raise ValueError("min_ratio is over 0 and at most 1")
     keys = list(keys)
-    asked = terms.select(*keys, "term").distinct()
-    given = reply.select(*keys, F.col("term").alias("reply_term")).distinct()
-    low = [*keys, "_low"]
-    exact = (
-        asked.withColumn("_low", F.lower("term"))
-        .join(
-            given.withColumn("_low", F.lower("reply_term"))
-            .groupBy(*low)
-            .agg(F.min("reply_term").alias("reply_term")),
-            low,
-        )
-        .select(*keys, "term", "reply_term", F.lit(1.0).alias("ratio"))
+    asked = terms.select(*keys, "term")
+    given = reply.select(*keys, F.col("term").alias("reply_term"))
+    # Spellings of one word in one message meet in one row; all steps start from there.
+    both = asked.withColumn("reply_term", F.lit(None).cast("string")).unionByName(
+        given.withColumn("term", F.lit(None).cast("string"))
+    )
+    words = both.groupBy(*keys, F.lower(F.coalesce("term", "reply_term")).alias("_low")).agg(
+        F.collect_set("term").alias("_terms"), F.collect_set("reply_term").alias("_replies")
+    )
+    no_term, no_reply = F.size("_terms") == 0, F.size("_replies") == 0
+    exact = words.where(~no_term & ~no_reply).select(
+        *keys,
+        F.explode("_terms").alias("term"),
+        F.array_min("_replies").alias("reply_term"),
+        F.lit(1.0).alias("ratio"),
     )
-    open_terms = asked.join(exact.select(*keys, "term"), [*keys, "term"], "left_anti")
-    lowered = given.withColumn("_low", F.lower("reply_term"))
-    used = exact.select(*keys, F.lower("reply_term").alias("_low")).distinct()
-    open_reply = lowered.join(used, low, "left_anti").drop("_low")
+    open_terms = words.where(no_reply).select(*keys, F.explode("_terms").alias("term"))
+    open_reply = words.where(no_term).select(*keys, F.explode("_replies").alias("reply_term"))
     pairs = _candidates(open_terms, open_reply, keys, min_ratio)
     ratios = (
         pairs.select("term", "reply_term")
