@@ -21,7 +21,10 @@ COLUMNS = ["request_id", "choices", "usage", "attempts", "error"]
 
 
 def replay(recorded: DataFrame) -> Backend:
-    """Answer requests from a table of recorded completions, one per request id."""
+    """Answer requests from a table of recorded completions.
+
+    The table holds one row per request id, as ``batch`` and ``recorded_reply`` write it.
+    """
     return lambda requests: recorded.select(*COLUMNS)
 
 

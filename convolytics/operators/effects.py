@@ -161,6 +161,8 @@ DETAIL = Effect(
     ),
 )
 REPLY = Effect("reply")
+
+# Fixed value: the reply of activities without any logic.
 FIXED_REPLY = "Hello, world!"
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,7 +99,8 @@ def annotate(
     one with the highest ``pos`` (when there is such a column).
     """
     spot = [*keys, "term"]
-    payload = [c for c in terms.columns if c not in spot]
+    # The position goes first, so that the largest row is the last one.
+    payload = sorted((c for c in terms.columns if c not in spot), key=lambda c: c != "pos")
     blocks = [terms.select(*spot, F.struct(*payload).alias("_row"), F.lit(None).cast("string").alias("_field"),
                            F.lit(None).cast("string").alias("value"), F.lit(0).alias("_seq"))]
     for name, df in fields.items():
@@ -144,14 +147,20 @@ def build_curriculum(
     return rows.withColumn("conju", F.when(verb, F.col("conju")).otherwise(F.lit("")))
 
 
+@lru_cache(maxsize=1 << 16)
+def _ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
 @F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching blocks of two texts, as difflib counts them."""
-    from difflib import SequenceMatcher
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    return pd.Series(
-        [SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64"
-    )
+
+# Share of matching blocks of two texts, as difflib counts them. Pairs of common words
+# come up often, so each Python worker remembers some. Marked so that a filter on the
+# result does not run it a second time.
+similarity = _similarity.asNondeterministic()
 
 
 def _marks(df: DataFrame, text: str, as_: str, min_ratio: float) -> DataFrame:
@@ -205,8 +214,7 @@ def soft_match(
 
     Equal ignoring case comes first (ratio 1). Terms still without a match take the most
     similar of the left reply terms, at least ``min_ratio`` alike, ties going to the
-    smaller text. Candidates must share a mark (see ``_marks``), which loses no pair,
-    and each distinct pair of texts is compared once.
+    smaller text. Candidates must share a mark (see ``_marks``), which loses no pair.
     """
     if not 0 < min_ratio <= 1:
         raise ValueError("min_ratio is over 0 and at most 1")
@@ -230,15 +238,10 @@ def soft_match(
     open_terms = words.where(no_reply).select(*keys, F.explode("_terms").alias("term"))
     open_reply = words.where(no_term).select(*keys, F.explode("_replies").alias("reply_term"))
     pairs = _candidates(open_terms, open_reply, keys, min_ratio)
-    ratios = (
-        pairs.select("term", "reply_term")
-        .distinct()
-        .withColumn("ratio", similarity("term", "reply_term"))
-        .where(F.col("ratio") >= min_ratio)
-    )
     best = F.min(F.struct((-F.col("ratio")).alias("r"), "reply_term")).alias("_b")
     close = (
-        pairs.join(ratios, ["term", "reply_term"])
+        pairs.withColumn("ratio", similarity("term", "reply_term"))
+        .where(F.col("ratio") >= min_ratio)
         .groupBy(*keys, "term")
         .agg(best)
         .select(*keys, "term", "_b.reply_term", (-F.col("_b.r")).alias("ratio"))
