@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolytics.llm import jaccard
+from convolytics.llm import jaccard, substrings
 
 QUERIES = {}
 ORACLES = {}
@@ -20,3 +20,8 @@ def table(spark, sf_dir: str, name: str):
 @query
 def op8_ngram_jaccard(spark, sf_dir):
     return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
