@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolytics.llm import jaccard, substrings
+from convolytics.llm import jaccard, leaks, substrings
 
 QUERIES = {}
 ORACLES = {}
@@ -25,3 +25,8 @@ def op8_ngram_jaccard(spark, sf_dir):
 @query
 def op6_substring_dedup(spark, sf_dir):
     return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op5_benchmark_decontamination(spark, sf_dir):
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
