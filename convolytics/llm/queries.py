@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from convolytics.llm import jaccard, leaks, substrings
+import public_tokenizers
+
+from convolytics.llm import jaccard, leaks, pieces, substrings
 
 QUERIES = {}
 ORACLES = {}
@@ -30,3 +32,9 @@ def op6_substring_dedup(spark, sf_dir):
 @query
 def op5_benchmark_decontamination(spark, sf_dir):
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_sentencepiece(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.token_digests(table(spark, sf_dir, "documents"), path)
