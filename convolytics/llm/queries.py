@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from convolytics.llm import jaccard, leaks, pieces, substrings
+from convolytics.llm import jaccard, leaks, pieces, secrets, substrings
 
 QUERIES = {}
 ORACLES = {}
@@ -38,3 +38,8 @@ def op5_benchmark_decontamination(spark, sf_dir):
 def op4_sentencepiece(spark, sf_dir):
     path = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.token_digests(table(spark, sf_dir, "documents"), path)
+
+
+@query
+def op9_secret_scan(spark, sf_dir):
+    return secrets.digests(table(spark, sf_dir, "documents"))
