@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from convolytics.llm import jaccard, leaks, pieces, secrets, substrings
+from convolytics.llm import jaccard, leaks, pieces, secrets, substrings, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -43,3 +43,31 @@ def op4_sentencepiece(spark, sf_dir):
 @query
 def op9_secret_scan(spark, sf_dir):
     return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_url_filter(spark, sf_dir):
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+_HOSTS = ", ".join(f"'{h}'" for h in urls.BLOCKED_HOSTS)
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
+ORACLES["op3_url_filter"] = rf"""
+WITH parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), rules(h, p, v) AS (VALUES {_RULES}), best AS (
+  SELECT host, path, max_by((h || p, v), length(h || p) * 1000 + length(h)) AS r
+  FROM (SELECT DISTINCT host, path FROM parts) JOIN rules
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY host, path
+)
+SELECT page_id, parts.host, parts.path, r[1] AS rule,
+  coalesce(r[2], CASE WHEN regexp_matches(parts.host,
+    '(^|\.)(' || replace(concat_ws('|', {_HOSTS}), '.', '\.') || ')$')
+    THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best ON best.host = parts.host AND best.path = parts.path
+"""
