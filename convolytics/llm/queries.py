@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from convolytics.llm import jaccard, leaks, pieces, secrets, substrings, urls
+from convolytics.llm import jaccard, leaks, pieces, secrets, substrings, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -71,3 +71,22 @@ SELECT page_id, parts.host, parts.path, r[1] AS rule,
     THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN best ON best.host = parts.host AND best.path = parts.path
 """
+
+
+@query
+def op10_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("offset")
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), last AS (
+  SELECT html, max(page_id) AS response FROM p WHERE n >= 1000 GROUP BY html HAVING count(*) > 1
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN response <> page_id OR (response IS NOT NULL AND page_id IS NULL)
+    THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN response <> page_id OR page_id IS NULL THEN response END AS refers_to
+FROM p LEFT JOIN last ON last.html = p.html AND p.n >= 1000
+"""
