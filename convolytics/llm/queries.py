@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from convolytics.llm import jaccard, leaks, pieces, secrets, substrings, urls, warc
+from convolytics.llm import jaccard, leaks, pieces, quality, secrets, substrings, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -90,3 +90,8 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
   CASE WHEN response <> page_id OR page_id IS NULL THEN response END AS refers_to
 FROM p LEFT JOIN last ON last.html = p.html AND p.n >= 1000
 """
+
+
+@query
+def op1_quality(spark, sf_dir):
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
