@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from convolytics.llm import jaccard, leaks, pieces, quality, secrets, substrings, urls, warc
+from convolytics.llm import jaccard, languages, leaks, pieces, quality, secrets, substrings, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -95,3 +95,8 @@ FROM p LEFT JOIN last ON last.html = p.html AND p.n >= 1000
 @query
 def op1_quality(spark, sf_dir):
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    return languages.predictions(table(spark, sf_dir, "documents"))
