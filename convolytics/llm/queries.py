@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from convolytics.llm import jaccard, languages, leaks, pieces, quality, secrets, substrings, urls, warc
+from convolytics.llm import fingerprints, jaccard, languages, leaks, pieces, quality, secrets, substrings, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -100,3 +100,8 @@ def op1_quality(spark, sf_dir):
 @query
 def op7_language_id(spark, sf_dir):
     return languages.predictions(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_fingerprints(spark, sf_dir):
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
