@@ -382,6 +382,45 @@ def linked(documents: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
     )
 
 
+def representatives(documents: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of near copies, all columns as they are.
+
+    The row with the least doc_id stays (of several, the one with the least text hash); rows
+    without words or without doc_id stay all.
+    """
+    found = linked(documents, n, percent)
+    gone = keep(
+        found.where("doc_id is not null and component_id <> doc_id")
+        .select(F.col("doc_id").alias("_id"))
+        .distinct(),
+        "jaccard-gone",
+    )
+    kept = documents.join(
+        sized(gone), documents["doc_id"].cast("long") == gone["_id"], "left_anti"
+    )
+    # Rows that repeat a doc_id are one group as well.
+    again = keep(
+        known_ids(kept).groupBy("_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_id"),
+        "jaccard-again",
+    )
+    if again.isEmpty():
+        return kept
+    again = sized(again)
+    ids = kept["doc_id"].cast("long")
+    single = kept.join(again, ids == again["_id"], "left_anti")
+    twice = kept.join(again, ids == again["_id"], "left_semi").select(
+        F.struct(*[kept[c] for c in documents.columns]).alias("_r"),
+        F.sha2(text_column(kept, "text"), 256).alias("_h"),
+        ids.alias("_k"),
+    )
+    one = twice.groupBy("_k").agg(F.min_by("_r", "_h").alias("_r"))
+    return single.unionByName(one.select("_r.*"))
+
+
+def known_ids(documents: DataFrame) -> DataFrame:
+    return documents.select(documents["doc_id"].cast("long").alias("_id")).where("_id is not null")
+
+
 def _across(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs whose ends lie in different components.
 

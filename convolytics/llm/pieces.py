@@ -32,7 +32,7 @@ from convolytics.llm.common import text_column
 BLANK = "▁"
 #: Piece types in the model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units kept in a worker; a full table starts anew.
+#: Units kept in a worker; a full table starts anew (with those of the texts at hand).
 CACHE = 600_000
 
 
@@ -410,8 +410,8 @@ class Units:
         self.flat_ids, self.flat_sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def add(self, units: set[str]) -> None:
-        if len(self.number) + len(units) > CACHE:
-            raise OverflowError
+        if not units:
+            return
         units = sorted(units)
         counts, ids, sizes = self.model.merge_many(units)
         at = len(self.decimal)
@@ -440,18 +440,10 @@ class Encoded:
         model = table.model
         normal = [model.normalise(t) for t in texts]
         split = [model.unit.findall(t) for t, _ in normal]
-        new = set().union(*split) - table.number.keys()
-        try:
-            table.add(new)
-        except OverflowError:
+        new = set().union(*split)
+        if len(table.number) + len(new - table.number.keys()) > CACHE:
             table.clear()
-            table.add(set().union(*split)) if len(set().union(*split)) <= CACHE else None
-            if len(texts) > 1 and not table.number:
-                raise
-            if not table.number and split[0]:  # one text of more units than the table holds
-                table = Units(model)
-                table.number = _Unbounded(table.number)
-                table.add(set(split[0]))
+        table.add(new - table.number.keys())
         number = table.number
         numbers = [[number[u] for u in units] for units in split]
         unit = np.array([n for row in numbers for n in row], np.int64)
@@ -484,13 +476,6 @@ class Encoded:
         self.decoded = [model.shown("".join([table.surface[n] for n in r])) for r in numbers]
 
 
-class _Unbounded(dict):
-    """A table of units that doesn't count against the cache."""
-
-    def __len__(self):
-        return 0
-
-
 _units: dict[str, Units] = {}
 
 

@@ -244,22 +244,28 @@ def without_secrets(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Texts without secrets, null texts and all other columns stay as they are.
     """
-    text = text_column(documents, "text")
+    columns = documents.columns
     new = keep(scanned(documents.select(documents["text"])), "secret-ledger")
     found = new.where(F.size("spans") > 0).select(
         F.col("blob").alias("_blob"), F.col("spans").alias("_spans")
     )
-    with_blob = documents.withColumn("_blob", F.sha2(text, 256)).join(found, "_blob", "left")
-    clean = F.when(
-        F.col("_spans").isNotNull(), redacted(F.col("text"), F.col("_spans"), mark)
-    ).otherwise(F.col("text"))
-    out = with_blob.withColumn("_text", clean)
-    names = {"text": F.col("_text").alias("text")}
-    if "n_chars" in documents.columns:
+    rows = documents.select(
+        F.struct(*[documents[c] for c in columns]).alias("_row"),
+        F.sha2(text_column(documents, "text"), 256).alias("_blob"),
+    ).join(_small(found), "_blob", "left")
+    text, spans = F.col("_row")["text"], F.col("_spans")
+    clean = F.when(spans.isNotNull(), redacted(text, spans, mark)).otherwise(text)
+    rows = rows.select("_row", "_spans", clean.alias("_text"))
+    names = {"text": F.col("_text")}
+    if "n_chars" in columns:
         kind = documents.schema["n_chars"].dataType
-        names["n_chars"] = (
-            F.when(F.col("_spans").isNotNull(), F.char_length("_text").cast(kind))
-            .otherwise(F.col("n_chars"))
-            .alias("n_chars")
-        )
-    return out.select(*[names.get(c, F.col(c)) for c in documents.columns])
+        names["n_chars"] = F.when(
+            F.col("_spans").isNotNull(), F.char_length("_text").cast(kind)
+        ).otherwise(F.col("_row")["n_chars"])
+    return rows.select(*[names.get(c, F.col("_row")[c]).alias(c) for c in columns])
+
+
+def _small(found: DataFrame) -> DataFrame:
+    """``found`` with a broadcast hint if its rows and spans are few (about 10 MB at most)."""
+    rows, spans = found.agg(F.count(F.lit(1)), F.sum(F.size("_spans"))).first()
+    return F.broadcast(found) if rows <= 50_000 and (spans or 0) <= 200_000 else found
