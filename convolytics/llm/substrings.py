@@ -3,7 +3,7 @@
 A window is 13 consecutive words. It goes if its words also start in a document with a
 smaller doc_id.
 
-1. *Chunks.* Each task looks at chunks of about 16 MB of text. Windows that an earlier
+1. *Chunks.* Each task looks at chunks of about 8 MB of text. Windows that an earlier
    document of the chunk holds are settled there, so a passage that very many documents
    share leaves a chunk once per document that first holds it, not once per document.
 2. *Super-k-mers.* Of the other windows, consecutive ones with the same minimiser (the least
@@ -14,7 +14,7 @@ smaller doc_id.
    and decides them alone. Equal hashes are compared word for word: the result is exact.
 4. *Cut.* Runs of repeated windows come back per document and its words are cut.
 
-The number of buckets follows the amount of text, so that a bucket stays about 8 MB.
+The number of buckets follows the amount of text, so that a bucket stays about 12 MB of strings.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ from convolytics.llm import words as W
 from convolytics.llm.common import keep, text_column
 
 WINDOW = 13
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes of text per bucket (about three times as many bytes of super-k-mers).
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 ROW = "bucket int, ids binary, starts binary, strings binary"
 
 
