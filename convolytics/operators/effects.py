@@ -68,20 +68,14 @@ GRADE = Effect(
 SKILLS = Effect(
     "skills",
     (
-        ("sys", "You assess how well a learner speaks."),
-        ("sys", "Assess the learner (usr) in the talk that follows."),
-        ("sys", "Consider vocabulary, grammar, idiom, politeness and understanding."),
-        ("sys", "Name at least one strength and one weakness, three remarks at most."),
-        ("sys", "Answer in {{LANGUAGE}}, with examples from the talk."),
+        ("sys", "Write a short report on the learner's side (usr) of a talk, in {{LANGUAGE}}."),
+        ("sys", "Say what went well and what to work on; quote the learner for each remark."),
     ),
     presence_penalty=-0.8,
 )
 SPLIT_SKILLS = Effect(
     "split_skills",
-    (
-        ("sys", "Divide the assessment into strengths and weaknesses."),
-        ("sys", "Answer with two lines: strengths first, then weaknesses."),
-    ),
+    (("sys", "From the report write line 1: what went well; line 2: what to work on."),),
     presence_penalty=-2.0,
     stop=("\n\n",),
 )

@@ -27,13 +27,13 @@ def talk(spark, lines, tid="t"):
     "lines, text",
     [
         ([], ""),
-        ([("usr", "hello"), ("ast", "hi")], "usr: hello\nast: hi"),
+        ([("sys", "only rules")], ""),
+        ([("ast", "Shall we start?")], "ast: Shall we start?"),
         (
-            [("usr", "hello"), ("ast", " hi\n"), ("usr", "how are you?"), ("ast", "Well.")],
-            "usr: hello\nast: hi\nusr: how are you?\nast: Well.",
+            [("ast", "\tWhere to?"), ("sys", "note"), ("usr", "the station \n"), ("usr", "please")],
+            "ast: Where to?\nusr: the station\nusr: please",
         ),
-        ([("sys", "be kind"), ("usr", "a")], "usr: a"),
-        ([("usr", "a"), ("ast", " ")], "usr: a\nast:"),
+        ([("usr", "two\nlines"), ("ast", "\n")], "usr: two\nlines\nast:"),
     ],
 )
 def test_dialogue(spark, lines, text):
@@ -94,10 +94,9 @@ def _scores(spark, vocab, grammar):
 
 
 def test_score_rollup(spark):
-    # CHILD, ERROR, ADULT, none, ADULT and -, CHILD, CHILD, none, CHILD
-    df = sc.transcript_scores(_scores(spark, [2, 0, 3, None, 3], [None, 2, 2, None, 2]))
+    df = sc.transcript_scores(_scores(spark, [5, 1, None, 1, 9, 4], [None, 7]))
     got = {r.dim: (r.median, r.mad, r.n) for r in df.collect()}
-    assert got == {"vocab": (2.5, 0.5, 4), "grammar": (2.0, 0.0, 3)}
+    assert got == {"vocab": (4.0, 3.0, 5), "grammar": (7.0, 0.0, 1)}
 
 
 def test_no_scores_no_row(spark):

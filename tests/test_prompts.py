@@ -19,12 +19,12 @@ def lined(spark, lines):
     "lines, want",
     [
         ([], []),
-        (["Hello, world!"], ["Hello, world!"]),
-        (["Hello,", "world!"], ["Hello,", "world!"]),
-        (["Hello,", "world!\\", "How are you?"], ["Hello,", "world!\nHow are you?"]),
-        (["Hello,", "world!\\", "How are you?\\", "Fine."], ["Hello,", "world!\nHow are you?\nFine."]),
-        (["a\\\\", "b"], ["a\\\nb"]),
-        (["\\", "b", "c"], ["\nb", "c"]),
+        (["", "\\", ""], ["", "\n"]),
+        (["one", "", "two"], ["one", "", "two"]),
+        (["x\\", "y\\", "", "z"], ["x\ny\n", "z"]),
+        (["tail \\ inside", "b"], ["tail \\ inside", "b"]),
+        (["two\\\\", "next"], ["two\\\nnext"]),
+        (["k\\", "l", "m\\", "n"], ["k\nl", "m\nn"]),
     ],
 )
 def test_continuations(spark, lines, want):
@@ -32,35 +32,34 @@ def test_continuations(spark, lines, want):
     assert good.first().lines == want and bad.count() == 0
 
 
-@pytest.mark.parametrize("lines", [["a\\"], ["a", "b\\"], ["a\\", "b\\"]])
+@pytest.mark.parametrize("lines", [["\\"], ["", "end \\"], ["m\\", "n\\", "o\\"]])
 def test_dangling(spark, lines):
     good, bad = op.join_continuations(lined(spark, lines))
     assert good.count() == 0 and bad.count() == 1
 
 
-PROMPT = """sys: Use the functions only.
-func: get_topic
-# a comment
-
- sys: Be polite: always.
-usr: Hello.
-"""
+PROMPT = """# weather desk
+usr: Will it rain in Oslo?
+	
+ast: Let me see: one moment.
+   func: forecast
+sys: Answer in Celsius.
+# end"""
 
 
 def test_prompt_file(spark, tmp_path):
-    (tmp_path / "p.txt").write_text(PROMPT)
+    (tmp_path / "weather.txt").write_text(PROMPT)
     read = read_prompt_files(spark, str(tmp_path))
-    assert read.first().file_id.endswith("/p.txt")
-    assert [(r.n, r.line) for r in load_prompt_lines(read).orderBy("n").collect()][2] == (
-        4, "sys: Be polite: always."
-    )
-    good, bad = op.read_prompts(read, functions=["get_topic"])
+    assert read.first().file_id.endswith("/weather.txt")
+    lines = [(r.n, r.line) for r in load_prompt_lines(read).orderBy("n").collect()]
+    assert len(lines) == 4 and lines[1] == (3, "ast: Let me see: one moment.")
+    good, bad = op.read_prompts(read, functions=["forecast", "other"])
     rows = [(r.pos, r.kind, r.role, r.body) for r in good.orderBy("pos").collect()]
     assert rows == [
-        (0, "msg", "sys", "Use the functions only."),
-        (1, "func", "func", "get_topic"),
-        (2, "msg", "sys", "Be polite: always."),
-        (3, "msg", "usr", "Hello."),
+        (0, "msg", "usr", "Will it rain in Oslo?"),
+        (1, "msg", "ast", "Let me see: one moment."),
+        (2, "func", "func", "forecast"),
+        (3, "msg", "sys", "Answer in Celsius."),
     ]
     assert bad.count() == 0
 
@@ -94,21 +93,21 @@ def params(spark, **values):
     return spark.createDataFrame([(0, k, v) for k, v in values.items()], "file_id int, var string, value string")
 
 
-@pytest.mark.parametrize("value", ["World", "123", "{{X"])
+@pytest.mark.parametrize("value", ["7", "a {{ b", "$1 \\ end"])
 def test_template(spark, value):
-    good, bad = op.substitute(rows(spark, "Hello, {{NAME}}!"), params(spark, NAME=value))
-    assert good.first().body == f"Hello, {value}!" and bad.count() == 0
+    good, bad = op.substitute(rows(spark, "Use {{MAX}} of {{MAX}} words."), params(spark, MAX=value))
+    assert good.first().body == f"Use {value} of {value} words." and bad.count() == 0
 
 
 @pytest.mark.parametrize(
     "body, values, reason",
     [
-        ("Hello, {{NAME}}!", {"name": "x"}, "unknown parameter"),
-        ("Hello, {{ NAME }}!", {"name": "x"}, "unknown parameter"),
-        ("Hello, {{ NAME }}!", {"NAME": "x"}, "variable is left"),
-        ("Hello, World!", {"name": "x"}, "unknown parameter"),
-        ("Hello, {{NAME}}!", {}, "missing parameter"),
-        ("{{A}} and {{B}}", {"A": "x"}, "variable is left"),
+        ("Speak {{TONGUE}}.", {"Tongue": "fr"}, "unknown parameter"),
+        ("Speak {{TONGUE}}.", {"TONGUE": "fr", "MORE": "z"}, "unknown parameter"),
+        ("Speak {{TONGUE}} or {{ OTHER}}.", {"TONGUE": "fr"}, "variable is left"),
+        ("Speak up.", {"TONGUE": "fr"}, "unknown parameter"),
+        ("Speak {{TONGUE}}.", {}, "missing parameter"),
+        ("{{ONE}}{{TWO}}{{ONE}}", {"ONE": "1"}, "variable is left"),
     ],
 )
 def test_template_rejects(spark, body, values, reason):

@@ -11,41 +11,49 @@ from pyspark.sql import functions as F
 from convolytics.operators import terms as tm
 from convolytics.operators import vocab as vo
 
-FRUITS = ["apple", "banana", "cherry", "date", "elderberry", "fig", "grape", "honeydew"]
-COUNTS = [2, 1, 3, 1, 2, 1, 4, 0]
+#: term -> (uses, day of the first use, day of the last)
+LEDGER = {
+    "river": (6, 1, 9), "stone": (0, 2, 2), "bridge": (3, 3, 8), "boat": (3, 4, 4),
+    "reed": (1, 5, 7), "otter": (2, 6, 6),
+}
 
 
 @pytest.fixture(scope="module")
 def ledger(spark):
     rows = [
-        ("u", "en", f, n, datetime(2022, 1, i + 1) - timedelta(days=n), datetime(2022, 1, i + 1), i)
-        for i, (f, n) in enumerate(zip(FRUITS, COUNTS))
+        ("u", "en", t, n, datetime(2023, 5, first), datetime(2023, 5, last))
+        for t, (n, first, last) in LEDGER.items()
     ]
-    df = spark.createDataFrame(
-        rows, "uid string, bcp47 string, term string, n_usgs int, f timestamp, last timestamp, i int"
+    return spark.createDataFrame(
+        rows, "uid string, bcp47 string, term string, n_usgs int, first timestamp, last timestamp"
     )
-    # Ledger order is the order of first use; here the order of insertion.
-    return df.withColumn("first", F.timestamp_seconds("i")).drop("f", "i")
 
 
 @pytest.mark.parametrize(
     "args, want",
     [
-        ({"max_usg": 4}, [f for f in FRUITS if f != "grape"]),
-        ({"max_usg": 2}, ["banana", "date", "fig", "honeydew"]),
-        ({"n": 3}, ["honeydew", "fig", "elderberry"]),
-        ({"as_of": 6}, FRUITS[:6]),
-        ({"n": 4, "max_usg": 2, "as_of": 5}, ["banana", "date"]),
+        ({}, ["stone", "bridge", "boat", "reed", "otter"]),
+        ({"max_usg": 7}, list(LEDGER)),
+        ({"max_usg": 1}, ["stone"]),
+        ({"as_of": 6}, ["stone", "boat", "otter"]),
+        ({"as_of": 1}, []),
     ],
 )
 def test_select_vocabulary(ledger, args, want):
     if "as_of" in args:
-        args = {**args, "as_of": F.lit(f"2022-01-0{args['as_of']}").cast("timestamp")}
+        args = {**args, "as_of": F.lit(f"2023-05-0{args['as_of']}").cast("timestamp")}
     rows = vo.select_vocabulary(ledger, **args).orderBy("rank").collect()
     assert [r.term for r in rows] == want
     assert [r.rank for r in rows] == list(range(1, len(want) + 1))
 
 
+def test_select_few(ledger):
+    every = [r.term for r in vo.select_vocabulary(ledger).orderBy("rank").collect()]
+    for n in (1, 2, 4):
+        rows = vo.select_vocabulary(ledger, n=n).orderBy("rank").collect()
+        assert len(rows) == n and {r.term for r in rows} <= set(every)
+
+
 USES = "uid string, bcp47 string, term string, tid string, mid string, used_correctly boolean, when timestamp"
 
 
@@ -90,7 +98,7 @@ def test_first_use(spark):
 
 def test_pages(ledger):
     pages = {r.term: r.page for r in vo.paginate(ledger, 3).collect()}
-    assert [pages[f] for f in FRUITS] == [0, 0, 0, 1, 1, 1, 2, 2]
+    assert [pages[t] for t in LEDGER] == [0, 0, 0, 1, 1, 1]
 
 
 def test_terms(spark):
@@ -166,4 +174,4 @@ def test_json_entries_last_value_wins(spark):
 def test_select_keeps_no_clock(ledger):
     # Without as_of nothing is cut, whatever today is.
     late = ledger.withColumn("last", F.lit(datetime.now(UTC) + timedelta(days=900)))
-    assert vo.select_vocabulary(late).count() == 7
+    assert vo.select_vocabulary(late).count() == 5
