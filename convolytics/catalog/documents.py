@@ -103,6 +103,52 @@ def d4(spark, d):
     return op.set_docs(*old_new(spark, d), ["k"])
 
 
+def _repeated(spark, d):
+    """New documents, every third of them once more with another name."""
+    old, new = old_new(spark, d)
+    again = new.where("k % 3 = 0").withColumn("name", F.concat(F.lit("later "), F.col("k").cast("string")))
+    return old, new.withColumn("seq", F.lit(1)).unionByName(again.withColumn("seq", F.lit(2)))
+
+
+LATER = "CASE WHEN k % 3 = 0 THEN 'later ' || k ELSE name END"
+
+
+@query(
+    "d3_create_repeats",
+    DOCS + """ SELECT k, name, 'new' AS side FROM v_docs_new WHERE k NOT IN (SELECT k FROM v_docs_old)
+        UNION ALL SELECT k, name, 'old' FROM v_docs_old
+        UNION ALL SELECT k, name, 'conflict' FROM v_docs_new WHERE k IN (SELECT k FROM v_docs_old)
+        UNION ALL SELECT k, 'later ' || k, 'conflict' FROM v_docs_new WHERE k % 3 = 0""",
+)
+def d3_repeats(spark, d):
+    """Of two new documents with one key the first is created, the second a conflict."""
+    old, new = _repeated(spark, d)
+    made, conflicts = op.create_docs(old, new, ["k"], seq="seq")
+    known = old.select("k", F.lit("old").alias("side"))
+    side = made.join(known, "k", "left").select("k", "name", F.coalesce("side", F.lit("new")).alias("side"))
+    return side.unionByName(conflicts.select("k", "name", F.lit("conflict").alias("side")))
+
+
+@query(
+    "d4_set_repeats",
+    DOCS + f""" SELECT * FROM v_docs_old WHERE k NOT IN (SELECT k FROM v_docs_new)
+        UNION ALL SELECT k, {LATER}, language, amount FROM v_docs_new""",
+)
+def d4_repeats(spark, d):
+    return op.set_docs(*_repeated(spark, d), ["k"], seq="seq")
+
+
+@query(
+    "d5_merge_repeats",
+    DOCS + f""", n AS (SELECT k, {LATER} AS name, language, amount FROM v_docs_new)
+      SELECT coalesce(o.k, n.k) AS k, coalesce(n.name, o.name) AS name,
+        coalesce(n.language, o.language) AS language, coalesce(n.amount, o.amount) AS amount
+      FROM v_docs_old o FULL OUTER JOIN n ON o.k = n.k""",
+)
+def d5_repeats(spark, d):
+    return op.merge_docs(*_repeated(spark, d), ["k"], seq="seq")
+
+
 MAPS_SQL = """, o AS (SELECT *, 'old ' || k AS a, 'old ' || k AS b FROM v_docs_old),
     n AS (SELECT *, 'new ' || k AS b, 'new ' || k AS c FROM v_docs_new)"""
 

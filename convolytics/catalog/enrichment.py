@@ -28,7 +28,8 @@ FIRST = "messages[0].content"
 def scripted(expr: str):
     def answer(requests):
         asked = rq.distinct_requests(requests)
-        return replay(recorded_reply(asked.withColumn("reply", F.expr(expr))))(requests)
+        recorded = recorded_reply(asked.withColumn("reply", F.expr(expr)))
+        return replay(recorded, unique=True)(requests)
 
     return answer
 
@@ -346,12 +347,10 @@ def l10(spark, d):
 
 @query(
     "l11_explain_grammar",
-    M + f" SELECT uid, tid, {MID} AS mid, 'g ' || body AS grammar FROM v_messages "
-    "WHERE role <> 'ast'",
+    M + f" SELECT uid, tid, {MID} AS mid, 'g ' || body AS grammar FROM v_messages",
 )
 def l11(spark, d):
-    said = messages(spark, d).where(F.col("role") != "ast")
-    return fx.explain_grammar(said, scripted(f"'g ' || {LAST}"))[0]
+    return fx.explain_grammar(messages(spark, d), scripted(f"'g ' || {LAST}"))[0]
 
 
 # --- terms ----------------------------------------------------------------------------
@@ -363,8 +362,7 @@ BY_MODEL = f"""if(length({LAST}) % 7 = 0, 'sorry', '{{' || array_join(transform(
 
 
 def _by_model(spark, d):
-    said = messages(spark, d).where(F.col("role") == "usr")
-    return fx.extract_terms_by_model(said, scripted(BY_MODEL))
+    return fx.extract_terms_by_model(messages(spark, d), scripted(BY_MODEL))
 
 
 LEN = ", v_len AS (SELECT tid, turn, length(body) AS n FROM v_messages)"
@@ -373,7 +371,7 @@ LEN = ", v_len AS (SELECT tid, turn, length(body) AS n FROM v_messages)"
 @query(
     "l12_extract_terms_by_model",
     with_terms() + LEN + """ SELECT tid, mid, pos, term FROM v_terms JOIN v_len USING (tid, turn)
-      WHERE role = 'usr' AND n % 7 <> 0""",
+      WHERE n % 7 <> 0""",
 )
 def l12_model(spark, d):
     return _by_model(spark, d)[0].select("tid", "mid", "pos", "term")
@@ -382,7 +380,7 @@ def l12_model(spark, d):
 @query(
     "l12_terms_rejects",
     M + f""" SELECT tid, {MID} AS mid, 'reply is not a JSON object' AS reason FROM v_messages
-      WHERE role = 'usr' AND length(body) % 7 = 0""",
+      WHERE length(body) % 7 = 0""",
 )
 def l12_rejects(spark, d):
     return _by_model(spark, d)[1].select("tid", "mid", "reason")
@@ -443,13 +441,28 @@ def l13_rejects(spark, d):
     return _pos(spark, d)[1].select("tid", "mid", "reason")
 
 
-@query("l14_extract_defn", rows_sql("'d ' || term", "n % 5 <> 0 AND n % 3 <> 0"))
+def _defn(spark, d):
+    return fx.extract_defn(listed(spark, d), scripted(given(PAYLOAD, json_reply(SHOUTED, "'d ' || t"))))
+
+
+@query(
+    "l14_extract_defn",
+    with_terms() + LEN + """ SELECT tid, mid, pos, t AS term, 'd ' || t AS value FROM (
+        SELECT *, CASE WHEN n % 3 = 0 THEN translate(term, 'aeinrst', 'AEINRST') ELSE term END AS t
+        FROM v_terms JOIN v_len USING (tid, turn) WHERE n % 5 <> 0)""",
+)
 def l14(spark, d):
-    """Upper-case keys pass the size check here; they are left out to compare terms."""
-    df, _ = fx.extract_defn(listed(spark, d), scripted(given(PAYLOAD, json_reply(SHOUTED, "'d ' || t"))))
-    return df.join(
-        messages(spark, d).where(F.length("body") % 3 != 0), fx.MESSAGE, "left_semi"
-    ).select(*OUT)
+    """Every third message gets its keys in another case; terms are kept as replied."""
+    return _defn(spark, d)[0].select(*OUT)
+
+
+@query(
+    "l14_defn_rejects",
+    with_terms() + LEN + """ SELECT DISTINCT tid, mid, 'number of terms differs' AS reason
+      FROM v_terms JOIN v_len USING (tid, turn) WHERE n % 5 = 0""",
+)
+def l14_rejects(spark, d):
+    return _defn(spark, d)[1].select("tid", "mid", "reason")
 
 
 @query(

@@ -118,16 +118,23 @@ def p8(spark, d):
     return sc.rank_of(df, "name", "scale")[0].select("mid", "value")
 
 
+#: Which scale each type of event is rated on; all others: YesNo.
+SCALE_OF = {"signup": "Grade", "view": "Level"}
+
+
 @query(
     "p8_rankings",
-    "SELECT user_id, 'NO, SLIGHT, SOMEWHAT, MOSTLY, YES' AS ranking, count(*) AS n "
-    "FROM events GROUP BY user_id",
+    "SELECT user_id, CASE event_type "
+    + " ".join(f"WHEN '{e}' THEN '{dims.ranking(s)}'" for e, s in SCALE_OF.items())
+    + f" ELSE '{dims.ranking('YesNo')}' END AS ranking, count(*) AS n FROM events GROUP BY 1, 2",
 )
 def p8_rankings(spark, d):
-    """Rankings as prompts show them, next to the scores each user got on that scale."""
-    n = raw(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    scale = n.withColumn("scale", F.lit("YesNo"))
-    return scale.join(F.broadcast(sc.rankings(dims.ranks(spark))), "scale").drop("scale")
+    """Rankings of the scales that each user's events are rated on, as prompts show them."""
+    scale = F.lit("YesNo")
+    for event, name in SCALE_OF.items():
+        scale = F.when(F.col("event_type") == event, name).otherwise(scale)
+    n = raw(spark, d, "events").groupBy("user_id", scale.alias("scale")).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(sc.rankings(dims.ranks(spark))), "scale").drop("scale")
 
 
 @query(
@@ -220,11 +227,12 @@ def a2(spark, d):
 
 @query(
     "a2_dialogue_parts",
-    M + f""" SELECT uid, tid, part, {strip_sql(f"string_agg({LINE}, chr(10) ORDER BY i)")} AS text
-        FROM (SELECT *, (i - 1) // 3 AS part FROM (
+    M + f""" SELECT uid, tid, part, CASE WHEN part = max(part) OVER (PARTITION BY uid, tid)
+          THEN {strip_sql("text")} ELSE text END AS text
+        FROM (SELECT uid, tid, part, string_agg({LINE}, chr(10) ORDER BY i) AS text FROM (SELECT *, (i - 1) // 3 AS part FROM (
                 SELECT *, row_number() OVER (PARTITION BY uid, tid ORDER BY created_epoch, turn)
                             AS i FROM v_messages WHERE role IN ('ast', 'usr')))
-        GROUP BY uid, tid, part""",
+        GROUP BY uid, tid, part)""",
 )
 def a2_parts(spark, d):
     """Long dialogues go on in parts; here every three lines, through the hot-group path."""

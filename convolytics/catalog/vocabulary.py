@@ -67,8 +67,9 @@ def a4(spark, d):
 
 @query(
     "a4_user_vocab_parts",
-    with_terms() + """ SELECT uid, bcp47, term, part, count(*) AS n_usgs, min(at_epoch) AS first,
-        max(at_epoch) AS last,
+    with_terms() + """ SELECT uid, bcp47, term, part, count(*) AS n_usgs,
+        min(min(at_epoch)) OVER (PARTITION BY uid, bcp47, term) AS first,
+        max(max(at_epoch)) OVER (PARTITION BY uid, bcp47, term) AS last,
         string_agg(CAST(tid AS varchar) || '/' || mid, ',' ORDER BY at_epoch, tid, mid) AS uses
       FROM (SELECT *, (row_number() OVER (PARTITION BY uid, bcp47, term
                  ORDER BY at_epoch, tid, mid) - 1) // 4 AS part FROM v_uses)

@@ -20,12 +20,15 @@ NO_REPLY = "no recorded completion"
 COLUMNS = ["request_id", "choices", "usage", "attempts", "error"]
 
 
-def replay(recorded: DataFrame) -> Backend:
+def replay(recorded: DataFrame, unique: bool = False) -> Backend:
     """Answer requests from a table of recorded completions.
 
-    The table holds one row per request id, as ``batch`` and ``recorded_reply`` write it.
+    Of several rows of a request id one counts; ``unique`` says that there are none, as in
+    what ``batch`` and ``recorded_reply`` write.
     """
-    return lambda requests: recorded.select(*COLUMNS)
+    rows = recorded.select(*COLUMNS)
+    one = rows if unique else rows.dropDuplicates(["request_id"])
+    return lambda requests: one
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:

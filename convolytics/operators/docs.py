@@ -8,23 +8,47 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _arrival(new: DataFrame, k: Sequence[str], seq: str | None) -> Column:
+    """What orders rows of one key: ``seq``, then the content."""
+    fields = [c for c in new.columns if c not in (*k, seq)]
+    content = F.to_json(F.struct(*fields)) if fields else F.lit("")
+    return content if seq is None else F.struct(F.col(seq), content)
+
+
+def _latest(new: DataFrame, k: Sequence[str], seq: str | None) -> DataFrame:
+    """One row per key: the last to arrive."""
+    row = F.struct(*[c for c in new.columns if c != seq])
+    last = new.groupBy(*k).agg(F.max_by(row, _arrival(new, k, seq)).alias("_row"))
+    return last.select("_row.*")
+
+
 def create_docs(
-    target: DataFrame, new: DataFrame, k: Sequence[str]
+    target: DataFrame, new: DataFrame, k: Sequence[str], seq: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Insert documents whose key is absent; the others come back as conflicts."""
+    """Insert documents whose key is absent; the others come back as conflicts.
+
+    Of new rows with one key the first by ``seq`` (a column that is dropped; else by
+    content) is inserted, the later ones are conflicts.
+    """
     keys, known = list(k), target.select(*k)
-    added = new.join(known, keys, "left_anti")
-    return target.unionByName(added), new.join(known, keys, "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(_arrival(new, k, seq)))
+    rows = new.withColumn("_n", nth)
+    rows = rows.drop(seq) if seq else rows
+    fresh = rows.join(known, keys, "left_anti")
+    late = fresh.where(F.col("_n") > 1).unionByName(rows.join(known, keys, "left_semi"))
+    return target.unionByName(fresh.where(F.col("_n") == 1).drop("_n")), late.drop("_n")
 
 
-def set_docs(target: DataFrame, new: DataFrame, k: Sequence[str]) -> DataFrame:
-    """Replace whole documents, or insert them."""
-    return target.join(new.select(*k), list(k), "left_anti").unionByName(new)
+def set_docs(
+    target: DataFrame, new: DataFrame, k: Sequence[str], seq: str | None = None
+) -> DataFrame:
+    """Replace whole documents, or insert them; of new rows with one key the last counts."""
+    return target.join(new.select(*k), list(k), "left_anti").unionByName(_latest(new, k, seq))
 
 
 def _merge(old: Column, new: Column, kind: T.DataType) -> Column:
@@ -37,11 +61,15 @@ def _merge(old: Column, new: Column, kind: T.DataType) -> Column:
     return F.coalesce(new, old)
 
 
-def merge_docs(target: DataFrame, new: DataFrame, k: Sequence[str]) -> DataFrame:
+def merge_docs(
+    target: DataFrame, new: DataFrame, k: Sequence[str], seq: str | None = None
+) -> DataFrame:
     """Set the fields that are present (not NULL) and keep the rest.
 
-    Structs and maps merge by field and key; arrays are replaced.
+    Structs and maps merge by field and key; arrays are replaced. Of new rows with one key
+    the last by ``seq`` (a column that is dropped; else by content) counts.
     """
+    new = _latest(new, k, seq)
     fields = [f for f in target.schema if f.name not in k]
     old = target.withColumnsRenamed({f.name: f"_old_{f.name}" for f in fields})
     joined = old.join(new, list(k), "full_outer")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolytics.functions import dims
@@ -51,6 +51,25 @@ def match_language(
     ).withColumn("reason", F.lit("unknown language"))
 
 
+def _key() -> Column:
+    """A number per (text, source, target), so that joins don't move whole texts to compare."""
+    return F.xxhash64(F.coalesce("source", F.lit("\0")), F.coalesce("target", F.lit("\0")), "text")
+
+
+def _reduced(memory: DataFrame) -> DataFrame:
+    """One row per key."""
+    least = memory.groupBy(*TEXT).agg(F.min("translated").alias("translated"))
+    return least.withColumn("_h", _key())
+
+
+def _lookup(left: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    right = known.withColumnsRenamed({c: f"_{c}" for c in (*TEXT, "_h")})
+    same = F.col("_h") == F.col("__h")
+    for c in TEXT:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return left.withColumn("_h", _key()).join(right, same, how).drop("_h")
+
+
 def translate(
     df: DataFrame,
     memory: DataFrame,
@@ -60,17 +79,18 @@ def translate(
 
     Text already in the target language stays. Every other distinct text is looked up
     in ``memory``; only unknown ones go to ``backend``, a function from a DataFrame of
-    distinct (text, source, target) to the same with ``translated``.
+    distinct (text, source, target) to the same with ``translated``. A missing source is
+    a value like any other. Of several translations of a text the least counts.
     """
     foreign = df.where(~F.col("source").eqNullSafe(F.col("target")))
     asked = foreign.select(*TEXT).distinct()
-    new = backend(asked.join(memory.select(*TEXT), TEXT, "left_anti"))
-    known = memory.select(*TEXT, "translated").unionByName(new.select(*TEXT, "translated"))
-    done = foreign.join(known, TEXT, "left")
+    new = backend(_lookup(asked, _reduced(memory).select(*TEXT, "_h"), "left_anti"))
+    known = _reduced(memory.select(*TEXT, "translated").unionByName(new.select(*TEXT, "translated")))
+    done = _lookup(foreign, known, "left").select(*df.columns, "translated")
     same = df.where(F.col("source").eqNullSafe(F.col("target")))
     return done.unionByName(same.withColumn("translated", F.col("text")))
 
 
 def replay_translations(recorded: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A backend that answers from a table of recorded translations."""
-    return lambda asked: asked.join(recorded.select(*TEXT, "translated"), TEXT, "left")
+    return lambda asked: _lookup(asked, _reduced(recorded), "left").select(*asked.columns, "translated")

@@ -106,16 +106,15 @@ def dialogue(
 ) -> DataFrame:
     """``role: body`` lines in time order, ``''`` for listed transcripts without any.
 
-    Texts of more than ``part_rows`` lines go on in further parts; white space at the
-    end is dropped from the unfilled last part.
+    Texts of more than ``part_rows`` lines go on in further parts; white space at the end
+    is dropped from the last one.
     """
     parts = ordered_parts(
         filter_roles(messages, roles), keys, _by_time(order), chat_line(), part_rows, "_l", **scale
     )
     joined = F.array_join("_l", "\n")
-    texts = parts.withColumn(
-        "text", F.when(F.size("_l") < part_rows, py_strip(joined)).otherwise(joined)
-    ).drop("_l")
+    last = F.max("part").over(Window.partitionBy(*keys)) == F.col("part")
+    texts = parts.withColumn("text", F.when(last, py_strip(joined)).otherwise(joined)).drop("_l")
     if transcripts is None:
         return texts
     listed = transcripts.select(*keys).distinct()

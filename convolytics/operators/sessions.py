@@ -84,11 +84,15 @@ def transcripts_from_plans(plans: DataFrame, as_of: Column) -> DataFrame:
 def streaks(transcripts: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Current streak per learner: count of consecutive UTC days, last time, last transcript.
 
-    A day counts when a transcript became ``final`` on it. With ``as_of`` a streak that
-    ended before the day before is 0. Rows shrink to learner and day first.
+    A day counts when a transcript became ``final`` on it. With ``as_of`` later days don't
+    count, and a streak that ended before the day before is 0. Rows shrink to learner and
+    day first.
     """
+    done = F.col("status") == "final"
+    if as_of is not None:
+        done = done & (F.col("ended_at") <= as_of)
     days = (
-        transcripts.where(F.col("status") == "final")
+        transcripts.where(done)
         .groupBy("uid", F.to_date("ended_at").alias("day"))
         .agg(F.max(F.struct("ended_at", "tid")).alias("_last"))
     )

@@ -45,7 +45,7 @@ def summarize_usages(usages: DataFrame) -> DataFrame:
 
 
 def build_user_vocab(usages: DataFrame, part_rows: int = PART_ROWS, **scale: int) -> DataFrame:
-    """Ledger documents: uses in time order with first and last use of the document.
+    """Ledger documents: uses in time order with first and last use of the term.
 
     A term used more than ``part_rows`` times goes on in further parts.
     """
@@ -54,10 +54,12 @@ def build_user_vocab(usages: DataFrame, part_rows: int = PART_ROWS, **scale: int
         usages, LEDGER, [F.col("when"), F.col("tid"), F.col("mid")], use, part_rows, "usgs",
         **scale,
     )
+    # First and last of the term stand on each of its parts; parts of a term are few.
+    term = Window.partitionBy(*LEDGER)
     return parts.withColumns(
         {
-            "first": F.element_at("usgs", 1)["when"],
-            "last": F.element_at("usgs", -1)["when"],
+            "first": F.min(F.element_at("usgs", 1)["when"]).over(term),
+            "last": F.max(F.element_at("usgs", -1)["when"]).over(term),
         }
     )
 

@@ -28,7 +28,7 @@ def end_sessions(
     ``transcripts`` with status, ``usages`` with the new uses, ``plans`` with the
     vocabulary of each learner's next session, ``next_transcripts`` for those plans,
     and ``scores`` when there are any. With ``ledger_out`` the uses are written to
-    that folder first, and the plans are made from there instead of from the messages.
+    that new folder first, and the plans are made from there instead of from the messages.
     """
     final = ms.finalize(transcripts, messages)
     ended = final.where(F.col("status") == "final").select(*ms.KEY)
@@ -37,7 +37,8 @@ def end_sessions(
     columns = [*vo.USE, "used_correctly", "when"]
     every = vo.distinct_uses(old_usages.select(*columns).unionByName(uses.select(*columns)))
     if ledger_out is not None:
-        every.write.mode("overwrite").parquet(ledger_out)
+        # Never over an older version: the old uses may be read from it.
+        every.write.mode("errorifexists").parquet(ledger_out)
         every = messages.sparkSession.read.schema(every.schema).parquet(ledger_out)
     chosen = vo.select_vocabulary(vo.summarize_usages(every), n, max_usg, as_of)
     # At most n terms per learner and language are left to collect.

@@ -6,9 +6,11 @@ batch, so a replay leaves nothing twice.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,23 +31,21 @@ class _Counter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         n = self._count.get()[0] if self._count.exists() else 0
-        for frame in rows:
-            frame = frame.sort_values(["created_at", "turn"])
-            index = pd.Series(range(n, n + len(frame)), index=frame.index).astype(str)
-            n += len(frame)
-            yield frame.assign(mid=frame["role"].str.upper() + index)
-        self._count.update((n,))
+        # Rows come in chunks in any order: one order holds for all of the micro-batch.
+        frame = pd.concat(list(rows)).sort_values(["created_at", "turn"])
+        index = pd.Series(range(n, n + len(frame)), index=frame.index).astype(str)
+        self._count.update((n + len(frame),))
+        yield frame.assign(mid=frame["role"].str.upper() + index)
 
     def close(self) -> None:
         pass
 
 
 def stream_number(stream: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Add ``mid`` to live messages in order of arrival.
+    """Add ``mid`` to live messages: micro-batches in order of arrival, each in time order.
 
-    State is one number per transcript. Rows of a transcript pass in chunks and are
-    never gathered; chunks are put in time order. The numbers of one transcript must
-    follow each other, so the source's rate limit bounds the work of one key.
+    State is one number per transcript. What one transcript gets in a micro-batch is put in
+    order together, so the source's rate limit bounds the rows of one key.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = T.StructType([*stream.schema.fields, T.StructField("mid", T.StringType())])
@@ -116,13 +116,40 @@ def compact_ledger(spark: SparkSession, path: str, out: str) -> None:
     read_usages(spark, path).sort(*USE).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
 
 
-def stream_finalize(
-    stream: DataFrame, watermark: str = "1 day", when: str = "ended_at"
-) -> DataFrame:
-    """Let the first event of each (transcript, status) pass, within the watermark."""
-    return stream.withWatermark(when, watermark).dropDuplicatesWithinWatermark(
-        [*KEY, "status"]
-    )
+def stream_finalize(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Write the first event of each (transcript, status) as a mark, once for ever.
+
+    Marks are a table under ``path`` that any number of streams may add to, one after the
+    other. A batch is reduced to one row per mark and joined against the marks of other
+    batches; a batch that Spark replays overwrites its own folder.
+    """
+    mark = [*KEY, "status"]
+    rest = [c for c in events.columns if c not in mark]
+    source = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = f"source={source}/batch_id={batch_id}"
+        first = batch.groupBy(*mark).agg(F.min(F.struct(*rest)).alias("_r")).select(*mark, "_r.*")
+        known = marks(batch.sparkSession, path, first.schema)
+        if known is not None:
+            other = (F.col("source") != source) | (F.col("batch_id") != batch_id)
+            first = first.join(known.where(other).select(*mark), mark, "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/{own}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def marks(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """All marks under ``path``; None before the first batch."""
+    try:
+        reader = spark.read if schema is None else spark.read.schema(
+            T.StructType([*schema.fields, T.StructField("source", T.StringType()), T.StructField("batch_id", T.LongType())])
+        )
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def drain(writer: DataStreamWriter) -> None:
