@@ -13,6 +13,7 @@ from convolytics.functions import dims
 from convolytics.operators import effects as fx
 from convolytics.operators import messages as ms
 from convolytics.operators import requests as rq
+from convolytics.operators import scores as sc
 from convolytics.operators.backends import recorded_reply, replay
 from convolytics.operators.vocab import extract_terms
 from convolytics.plans.next_vocabulary import next_vocabulary
@@ -228,15 +229,33 @@ def l5_rejects(spark, d):
 
 @query(
     "l5_score_context",
-    M + """ SELECT uid, tid, CAST(CASE WHEN length(body) % 2 = 0 THEN 4 ELSE 0 END AS bigint) AS score,
-        n || ' messages' AS explain FROM (SELECT uid, tid, max_by(role, turn) AS role,
-          max_by(body, turn) AS body, count(*) + 3 AS n FROM v_messages GROUP BY uid, tid)
-      WHERE role <> 'ast'""",
+    M + f""" SELECT uid, tid, mid, CAST(CASE WHEN length(body) % 2 = 0 THEN 4 ELSE 0 END AS bigint)
+        AS score, n || ' messages' AS explain FROM (SELECT uid, tid, role, body, {MID} AS mid,
+          row_number() OVER (PARTITION BY uid, tid ORDER BY turn) + 3 AS n FROM v_messages)
+      WHERE role = 'usr'""",
 )
 def l5_context(spark, d):
     reply = f"if(length({LAST}) % 2 = 0, 'yes', 'NO') || '; ' || size(messages) || ' messages'"
     scores, _ = fx.score_messages(messages(spark, d), "context", scripted(reply))
-    return scores.select("uid", "tid", "score", "explain")
+    return scores.select("uid", "tid", "mid", "score", "explain")
+
+
+@query(
+    "l5_scores_rolled_up",
+    M + """, every AS (SELECT uid, tid, body, unnest(['idiom', 'polite', 'context'])
+        AS dim FROM v_messages WHERE role = 'usr'),
+      s AS (SELECT uid, tid, dim, CASE WHEN length(body) % 2 = 0 THEN 4 ELSE 0 END AS score FROM every)
+      SELECT uid, tid, dim, CAST(median(score) AS double) AS median, count(*) AS n FROM s
+      GROUP BY uid, tid, dim""",
+)
+def l5_rollup(spark, d):
+    """Scores of messages alone and in context are one frame, rolled up per transcript."""
+    reply = f"if(length({LAST}) % 2 = 0, 'yes', 'NO') || '; x'"
+    frames = [
+        fx.score_messages(messages(spark, d), dim, scripted(reply))[0] for dim in ("idiom", "polite", "context")
+    ]
+    scores = frames[0].unionByName(frames[1]).unionByName(frames[2]).withColumn("role", F.lit("usr"))
+    return sc.transcript_scores(scores).select("uid", "tid", "dim", "median", "n")
 
 
 # --- transcripts ----------------------------------------------------------------------

@@ -306,11 +306,22 @@ def j7_rejects(spark, d):
     return _repaired(spark, d)[1].select("tid", "turn", "reason")
 
 
-@query("j10_soft_match")
+@query(
+    "j10_soft_match",
+    with_terms() + """ SELECT uid, tid, mid, term, CASE WHEN length(term) % 3 = 0
+        THEN translate(term, 'aeinrst', 'AEINRST') ELSE term || '#' END AS reply_term,
+        CASE WHEN length(term) % 3 = 0 THEN 1.0::double
+          ELSE round(2.0::double * length(term) / (2 * length(term) + 1), 9) END AS ratio
+      FROM v_terms WHERE length(term) > 1""",
+)
 def j10(spark, d):
-    """Replies with the last letter of each long term doubled, or another case."""
+    """Replies in another case, or with a sign that no term has at the end.
+
+    The nearest reply is then the term's own: it shares all n characters, 2n / (2n + 1),
+    and any other lacks one of them at least.
+    """
     rows = terms(spark, d).select("uid", "tid", "mid", "term")
-    spelled = F.when(F.length("term") % 3 == 0, F.initcap("term")).otherwise(
-        F.concat("term", F.substring("term", -1, 1))
-    )
-    return tm.soft_match(rows, rows.withColumn("term", spelled), 0.8)
+    case = F.translate("term", "aeinrst", "AEINRST")
+    spelled = F.when(F.length("term") % 3 == 0, case).otherwise(F.concat("term", F.lit("#")))
+    found = tm.soft_match(rows, rows.withColumn("term", spelled), 0.8)
+    return found.withColumn("ratio", F.round("ratio", 9))

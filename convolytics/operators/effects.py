@@ -181,6 +181,23 @@ def _talk(messages: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     return fits, _reject(long, TRANSCRIPT, TOO_LONG)
 
 
+def _histories(messages: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Learner messages, each with the talk up to it as an array ``talk``."""
+    value = F.struct("role", "body", "mid")
+    order = [F.col("created_at"), F.col("mid")]
+    fits, long = bounded_lists(messages, TRANSCRIPT, order, value, limit, "_talk")
+    each = fits.select(*TRANSCRIPT, "_talk", F.posexplode("_talk").alias("_i", "_m"))
+    mine = each.where(F.col("_m.role") == "usr").select(
+        *TRANSCRIPT,
+        F.col("_m.mid").alias("mid"),
+        F.transform(
+            F.slice("_talk", F.lit(1), F.col("_i") + 1), lambda m: F.struct(m["role"], m["body"])
+        ).alias("talk"),
+    )
+    said = messages.where(F.col("role") == "usr").join(long, TRANSCRIPT, "left_semi")
+    return mine, _reject(said, MESSAGE, TOO_LONG)
+
+
 # --- scores ---------------------------------------------------------------------------
 
 
@@ -206,14 +223,13 @@ def score_messages(
 ) -> tuple[DataFrame, DataFrame]:
     """Score learner messages in one dimension.
 
-    ``context`` scores the last message of each transcript with all messages before
-    it; the other dimensions score every message alone.
+    ``context`` scores each message with all messages before it; the other dimensions
+    score it alone.
     """
     effect = SCORE_EFFECTS[dim]
     keys, rejects = MESSAGE, None
     if dim == "context":
-        talks, rejects = _talk(messages, max_messages)
-        keys = TRANSCRIPT
+        talks, rejects = _histories(messages, max_messages)
         df = talks.withColumn("chat", compose(prompt_messages(effect), F.col("talk")))
     else:
         one = F.array(F.struct("role", "body"))
