@@ -66,6 +66,25 @@ def act_types(spark: SparkSession) -> DataFrame:
     )
 
 
+# Withdrawn codes of languages and countries, and what stands for them.
+OLD_LANGUAGES = {"in": "id", "iw": "he", "ji": "yi", "jw": "jv", "mo": "ro", "tl": "fil"}
+OLD_COUNTRIES = {
+    "BU": "MM", "DD": "DE", "FX": "FR", "SU": "RU", "TP": "TL", "UK": "GB", "YD": "YE", "ZR": "CD",
+}
+
+# Languages that have a code of three letters only (code, name, native name).
+THREE_LETTERS = [
+    ("ast", "Asturian", "asturianu"), ("bho", "Bhojpuri", "भोजपुरी"), ("brx", "Bodo", "बर’"),
+    ("ceb", "Cebuano", "Cebuano"), ("chr", "Cherokee", "ᏣᎳᎩ"), ("ckb", "Central Kurdish", "کوردیی ناوەندی"),
+    ("doi", "Dogri", "डोगरी"), ("dsb", "Lower Sorbian", "dolnoserbšćina"), ("fil", "Filipino", "Filipino"),
+    ("fur", "Friulian", "furlan"), ("gsw", "Swiss German", "Schwiizertüütsch"),
+    ("haw", "Hawaiian", "ʻŌlelo Hawaiʻi"), ("hmn", "Hmong", "Hmoob"), ("hsb", "Upper Sorbian", "hornjoserbšćina"),
+    ("kab", "Kabyle", "Taqbaylit"), ("kok", "Konkani", "कोंकणी"), ("mai", "Maithili", "मैथिली"),
+    ("mni", "Manipuri", "মৈতৈলোন্"), ("nds", "Low German", "Neddersass’sch"), ("pap", "Papiamento", "Papiamentu"),
+    ("sah", "Yakut", "саха тыла"), ("sat", "Santali", "ᱥᱟᱱᱛᱟᱲᱤ"), ("scn", "Sicilian", "sicilianu"),
+    ("sco", "Scots", "Scots"), ("war", "Waray", "Winaray"), ("yue", "Cantonese", "粵語"),
+]
+
 _KNOWN: dict[str, list] = {}
 
 
@@ -78,7 +97,7 @@ def countries(spark: SparkSession) -> list[str]:
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    """ISO 639-1 languages with names, as the Java runtime knows them (under 200 rows)."""
+    """Languages with names: ISO 639-1 as the Java runtime knows them, and ``THREE_LETTERS``."""
     if "languages" not in _KNOWN:
         locale = spark.sparkContext._jvm.java.util.Locale
         tags = [(code, locale.forLanguageTag(code)) for code in locale.getISOLanguages()]
@@ -87,12 +106,20 @@ def languages(spark: SparkSession) -> DataFrame:
              tag.getDisplayLanguage(tag))
             for code, tag in tags
             if tag.getLanguage() == code  # leaves out withdrawn codes
-        ]
+        ] + [(code, code, name, native) for code, name, native in THREE_LETTERS]
     return spark.createDataFrame(
         _KNOWN["languages"], "code string, code3 string, name string, native string"
     )
 
 
+def short_codes(spark: SparkSession) -> dict[str, str]:
+    """The code in use for withdrawn codes and for three letters where two will do."""
+    languages(spark)
+    short = {code3: code for code, code3, _, _ in _KNOWN["languages"] if len(code) == 2}
+    short |= BIBLIOGRAPHIC | OLD_LANGUAGES
+    return {code: OLD_LANGUAGES.get(now, now) for code, now in short.items()}
+
+
 def language_aliases(iso: DataFrame) -> DataFrame:
     """One code per alias. Precedence: name, 3 letters, 2 letters, native name.
 

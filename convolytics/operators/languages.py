@@ -14,8 +14,13 @@ TEXT = ["text", "source", "target"]
 
 
 def parse_bcp47(df: DataFrame, col: str = "tag") -> DataFrame:
-    """Add ``language`` and ``territory`` of a tag and the tag in normal form."""
+    """Add ``language`` and ``territory`` of a tag and the tag in normal form.
+
+    Withdrawn codes and three letters where two will do become the code in use.
+    """
     lang, land = language_part(F.col(col)), territory_part(F.col(col))
+    lang = F.coalesce(dims.lookup(dims.short_codes(df.sparkSession), lang), lang)
+    land = F.coalesce(dims.lookup(dims.OLD_COUNTRIES, land), land)
     script = F.nullif(
         F.initcap(F.lower(F.regexp_extract(py_strip(F.col(col)), r"^[A-Za-z]{2,3}[-_]([A-Za-z]{4})(?:[-_]|$)", 1))),
         F.lit(""),
@@ -42,7 +47,7 @@ def match_country(
 def match_language(
     df: DataFrame, iso: DataFrame | None = None, col: str = "name"
 ) -> tuple[DataFrame, DataFrame]:
-    """Add the two-letter ``code`` of a language given by name, code or native name."""
+    """Add the ``code`` of a language (two letters, else three) given by name, code or native name."""
     iso = dims.languages(df.sparkSession) if iso is None else iso
     aliases = dims.language_aliases(iso).withColumnRenamed("alias", col)
     joined = df.join(aliases, col, "left")

@@ -14,7 +14,7 @@ NAMES = {
     "日本語": "ja", "한국어": "ko", "中文": "zh", "العربية": "ar", "हिन्दी": "hi", "বাংলা": "bn",
     "Português": "pt", "Türkçe": "tr", "italiano": "it", "Tiếng Việt": "vi", "ไทย": "th",
     "עברית": "he", "Nederlands": "nl", "Ελληνικά": "el", "čeština": "cs", "Svenska": "sv",
-    "Magyar": "hu", "jpn": "ja", "ja": "ja", "Spanish": "es", "ger": "de",
+    "Magyar": "hu", "Hawaiian": "haw", "ceb": "ceb", "Filipino": "fil", "jpn": "ja", "ja": "ja", "Spanish": "es", "ger": "de",
 }
 
 
@@ -33,6 +33,10 @@ def test_language_names(spark):
         ("zh-hans-cn", ("zh", "CN", "zh-Hans-CN")),
         ("en", ("en", None, "en")),
         ("es-419", ("es", "419", "es-419")),
+        ("spa_mx", ("es", "MX", "es-MX")),
+        ("iw-IL", ("he", "IL", "he-IL")),
+        ("cy-UK", ("cy", "GB", "cy-GB")),
+        ("haw-US", ("haw", "US", "haw-US")),
     ],
 )
 def test_tags(spark, tag, want):
