@@ -237,18 +237,20 @@ def remainder(doc_id: Column, n: int) -> Column:
 def learned(vectors: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Discriminant:
     """The model of the rows of ``vectors`` (doc_id, x) that ``labels`` (doc_id, quality) covers.
 
-    Only labels 0 and 1 count, each label row once; rows without doc_id are left out.
+    Only labels 0 and 1 count, each label row once; rows without doc_id are left out. Of
+    very many labels those whose hash lies in a range that holds half as many again as the
+    limit are joined, so that no task sorts more than a few times the limit.
     """
+    known = labels.select(
+        labels["doc_id"].cast("long").alias("doc_id"),
+        labels["quality"].cast("int").alias("quality"),
+    ).where("quality in (0, 1) and doc_id is not null")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = min(1.0, 1.5 * limit / max(1, known.count()))
     rows = (
         vectors.select("doc_id", "x")
-        .join(
-            labels.select(
-                labels["doc_id"].cast("long").alias("doc_id"),
-                labels["quality"].cast("int").alias("quality"),
-            ).where("quality in (0, 1)"),
-            "doc_id",
-        )
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x")
+        .join(known.where(place <= int(share * (1 << 30))), "doc_id")
+        .orderBy(place, "doc_id", "quality", "x")
         .limit(limit)
         .select("x", "quality")
         .collect()
