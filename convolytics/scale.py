@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from convolytics.session import cut
 
 ROWS_PER_TASK = 2_000_000
-MAX_HOT_GROUPS = 10_000
+#: Up to so many keys of hot groups are broadcast; more are joined.
+MAX_BROADCAST_KEYS = 10_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -44,18 +45,18 @@ def rank_rows(
     keys = list(keys)
     plain = Window.partitionBy(*keys).orderBy(*order)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    top = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
-    if (top.largest or 0) <= rows_per_task:
+    over = F.col("_n") > rows_per_task
+    top = sizes.agg(F.count_if(over).alias("groups"), F.sum(F.when(over, F.col("_n"))).alias("rows"))
+    groups, rows = top.first()
+    if not groups:
         return df.withColumn(name, (F.row_number().over(plain) - 1).cast("long"))
 
-    # At most MAX_HOT_GROUPS groups can be over the limit, so their keys can be broadcast.
-    limit = max(rows_per_task, top.total // MAX_HOT_GROUPS)
-    hot = F.broadcast(renamed(sizes.where(F.col("_n") > limit).select(*keys), keys))
+    hot = renamed(sizes.where(over).select(*keys), keys)
+    hot = F.broadcast(hot) if groups <= MAX_BROADCAST_KEYS else hot
     cold_rows = df.join(hot, same_keys(df, hot, keys), "left_anti")
     hot_rows = df.join(hot, same_keys(df, hot, keys), "left_semi")
     cold_rows = cold_rows.withColumn(name, (F.row_number().over(plain) - 1).cast("long"))
-    over = sizes.where(F.col("_n") > limit).agg(F.sum("_n")).first()[0]
-    tasks = max(2, -(-over // rows_per_task))
+    tasks = max(2, -(-rows // rows_per_task))
     return cold_rows.unionByName(_rank_hot(hot_rows, keys, order, name, tasks))
 
 
@@ -68,13 +69,11 @@ def _rank_hot(df, keys, order, name, tasks):
     counts = placed.groupBy("_task", *keys).agg(F.count(F.lit(1)).alias("_n"))
     # Ranges follow the key, so only the first group of a task can have begun in an
     # earlier task: fewer rows than tasks are left after the filter.
-    before = F.broadcast(
-        renamed(
-            counts.withColumn("_before", F.sum("_n").over(earlier))
-            .where(F.col("_before") > 0)
-            .drop("_n"),
-            ["_task", *keys],
-        )
+    before = renamed(
+        counts.withColumn("_before", F.sum("_n").over(earlier))
+        .where(F.col("_before") > 0)
+        .drop("_n"),
+        ["_task", *keys],
     )
     joined = placed.join(before, same_keys(placed, before, ["_task", *keys]), "left")
     position = F.row_number().over(here.orderBy(*order)) - 1 + F.coalesce("_before", F.lit(0))
