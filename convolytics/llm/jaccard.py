@@ -11,8 +11,9 @@ fragments, so that a document's set falls into one segment per fragment.
   of all places of a text: texts that share one passage hardly ever share a segment.
   The number of fragments follows the size: one cut per size class, and one per border of
   two classes for the pairs that lie across it.
-* *Filter.* A parity sketch of 256 bits (each n-gram flips one) differs in at most as many
-  bits as the sets differ in n-grams, so it drops pairs without losing one.
+* *Filter.* A parity sketch (each n-gram flips one of its bits) differs in at most as many
+  bits as the sets differ in n-grams, so it drops pairs without losing one: 256 bits where
+  candidates are found, 2048 bits before n-grams of a candidate pair are moved.
 * *Counts.* The overlap of a candidate is counted in each fragment separately and summed.
 * *Components.* Equal sets are one class from the start. Pairs are looked at in two passes:
   first the edges of a least spanning tree of each group of equal segments (never more than
@@ -39,6 +40,8 @@ PERCENT = 85
 COUNT_FRAGMENTS = 8
 #: Size classes grow by this factor (a trade between weak segments and repeated ones).
 GROWTH = 1.5
+#: Longs in the sketch of a text that is in a candidate pair (2048 bits).
+WIDE = 32
 #: The spanning tree of a larger group is made of blocks; the second pass covers the rest.
 BLOCK = 2048
 SKETCH = ["s0", "s1", "s2", "s3"]
@@ -203,6 +206,13 @@ def segment_rows(n: int, percent: int):
     return run
 
 
+def _near(n, m, sketch, other, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes and sketches allow the threshold, and the sketches' difference."""
+    far = np.bitwise_count(sketch ^ other).sum(axis=1, dtype=np.int64)
+    small, large = np.minimum(n, m), np.maximum(n, m)
+    return (far <= _allowed(n + m, percent)) & (100 * small >= percent * large), far
+
+
 def _spanning(nodes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int):
     """Edges of a least spanning forest over pairs that size and sketch allow."""
     n = len(nodes)
@@ -215,9 +225,7 @@ def _spanning(nodes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent:
         left[at] = False
         if link[at] >= 0:
             out.append((nodes[link[at]], nodes[at]))
-        far = np.bitwise_count(sketch ^ sketch[at]).sum(axis=1, dtype=np.int64)
-        small, large = np.minimum(sizes, sizes[at]), np.maximum(sizes, sizes[at])
-        ok = (far <= _allowed(small + large, percent)) & (100 * small >= percent * large)
+        ok, far = _near(sizes, sizes[at], sketch, sketch[at], percent)
         better = left & ok & (far < best)
         best[better], link[better] = far[better], at
         waiting = np.flatnonzero(left)
@@ -242,9 +250,15 @@ def tree_rows(percent: int):
             sketch = np.stack([batch.column(i).to_numpy() for i in range(3, 7)], axis=1)
             sketch = sketch.view(np.uint64)
             cuts = np.flatnonzero(np.diff(table[0])) + 1
-            for low, high in zip(
-                np.append(0, cuts).tolist(), np.append(cuts, len(table[0])).tolist(), strict=True
-            ):
+            first, last = np.append(0, cuts), np.append(cuts, len(table[0]))
+            # Most groups are two rows: those that lie inside the batch go together.
+            two = (last - first == 2) & (np.arange(len(first)) > 0) & (last < len(table[0]))
+            at = first[two]
+            if len(at):
+                ok = _near(table[2][at], table[2][at + 1], sketch[at], sketch[at + 1], percent)[0]
+                if ok.any():
+                    yield _pairs(np.stack([table[1][at[ok]], table[1][at[ok] + 1]], axis=1))
+            for low, high in zip(first[~two].tolist(), last[~two].tolist(), strict=True):
                 while low < high:
                     if held and (table[0][low] != sig or held >= BLOCK):
                         if held > 1:
@@ -267,12 +281,30 @@ def tree_rows(percent: int):
 
 
 def _pairs(found) -> pa.RecordBatch:
-    rows = np.array(sorted(found), np.int64)
+    rows = found if isinstance(found, np.ndarray) else np.array(sorted(found), np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(rows.min(axis=1)), pa.array(rows.max(axis=1))], ["a", "b"]
     )
 
 
+def wide_rows(n: int):
+    """Map (doc_id, text) to (node, n, wide): set size and a wide parity sketch."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, data, offsets in _rows_of(batch):
+                rows, grams = ngrams(data, offsets, n)
+                wide = np.zeros(len(ids) * WIDE, np.uint64)
+                at = rows * WIDE + ((grams >> np.uint64(6)) & np.uint64(WIDE - 1)).astype(np.int64)
+                np.bitwise_xor.at(wide, at, np.uint64(1) << (grams & np.uint64(63)))
+                sizes = np.bincount(rows, minlength=len(ids)).astype(np.int64)
+                flat = pa.array(np.arange(0, len(wide) + 1, WIDE, dtype=np.int32))
+                lists = pa.ListArray.from_arrays(flat, pa.array(wide.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), lists], ["node", "n", "wide"])
+
+    return run
+
+
 def gram_rows(n: int):
     """Map (doc_id, text) to (node, grams): one sorted list per counting fragment."""
 
@@ -293,19 +325,30 @@ def gram_rows(n: int):
     return run
 
 
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that are an end of a pair, one per doc_id."""
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    return texts.join(sized(keep(ends.distinct(), "jaccard-ids")), "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose texts' sets reach the threshold, counted exactly."""
-    ids = keep(
-        pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-ids"
-    )
-    sets = texts.join(sized(ids), "doc_id", "left_semi").mapInArrow(
-        gram_rows(n), "node long, grams array<array<long>>"
+    """The pairs (a, b) of ``pairs`` whose texts' sets reach the threshold, counted exactly.
+
+    Wide sketches travel first, n-grams only for the pairs that these let through.
+    """
+    wide = _texts_of(pairs, texts).mapInArrow(wide_rows(n), "node long, n long, wide array<long>")
+    wide = keep(wide.dropDuplicates(["node"]), "jaccard-wide")
+    sketched = pairs.join(wide.toDF("a", "na", "wa"), "a").join(wide.toDF("b", "nb", "wb"), "b")
+    far = F.aggregate(
+        F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda acc, x: acc + x,
     )
+    may = far * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    near = keep(sketched.where(may).select("a", "b"), "jaccard-near")
+    sets = _texts_of(near, texts).mapInArrow(gram_rows(n), "node long, grams array<array<long>>")
     sets = keep(sets.dropDuplicates(["node"]), "jaccard-sets")
-    joined = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    )
+    joined = near.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
     size = lambda g: F.aggregate(g, F.lit(0), lambda acc, x: acc + F.size(x))
     partial = F.zip_with("ga", "gb", lambda x, y: F.size(F.array_intersect(x, y)))
     both = F.aggregate(partial, F.lit(0), lambda acc, x: acc + x)
@@ -321,7 +364,8 @@ def linked(documents: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
     Two rows link if 100 * |intersection| >= percent * |union| of their sets of distinct
     word n-grams; component_id is the least doc_id that links reach. Rows without words
     (null or empty text) are components of their own. Rows that share a doc_id share its
-    component; a row without doc_id has no component (null) and links nothing. An empty
+    component (a doc_id is meant to name one text); a row without doc_id has no component
+    (null) and links nothing. An empty
     table gives an empty result. Other columns are not read.
     """
     texts = documents.select(
