@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolytics.llm import words as W
-from convolytics.llm.common import text_column
+from convolytics.llm.common import sized, text_column
 from convolytics.llm.quality import remainder
 
 #: The training sample: rows per language with the least hash of doc_id, and words of each,
@@ -270,8 +270,15 @@ def sample_of(documents: DataFrame) -> list[tuple[str, str]]:
     ids = documents.select(
         documents["doc_id"].cast("long").alias("doc_id"), documents["lang"].cast("string").alias("lang")
     ).where((remainder(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= ROWS_PER_LANGUAGE)
+    # Of a common language only the rows in a range of hashes that holds half as many again
+    # as are wanted are ranked, so that no task ranks all rows of a language.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("_c"))
+    near = ids.join(sized(sizes), "lang").where(
+        place.cast("double") * F.col("_c") <= 1.5 * ROWS_PER_LANGUAGE * (1 << 30)
+    )
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    picked = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= ROWS_PER_LANGUAGE)
     rows = documents.select(
         documents["doc_id"].cast("long").alias("doc_id"),
         documents["lang"].cast("string").alias("lang"),
