@@ -13,6 +13,16 @@ from convolytics.session import shared_dir
 MAX_BROADCAST_ROWS = 1_000_000
 
 
+#: Rows per Arrow batch: texts may be long, and a batch lies in memory on both sides.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Set the session's Arrow batches to ``BATCH_ROWS`` rows, as texts need."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from convolytics.llm import fingerprints, jaccard, languages, leaks, pieces, quality, secrets, substrings, urls, warc
+from convolytics.llm.common import small_batches
 
 QUERIES = {}
 ORACLES = {}
@@ -16,7 +17,7 @@ def query(fn):
 
 
 def table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query

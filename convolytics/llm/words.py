@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Rows are handled in slices of about so many bytes, so that temporary arrays stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
