@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from convolytics.llm import jaccard, leaks, pieces, quality, secrets
-from convolytics.llm.common import keep
+from convolytics.llm.common import keep, small_batches
 from convolytics.llm.queries import table
 
 
@@ -25,6 +25,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id, with shingles of
     five words and a similarity of 0.8."""
+    small_batches(spark)
     return jaccard.representatives(docs, n=5, percent=80)
 
 
@@ -35,11 +36,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, secrets in its text replaced by a mark."""
+    small_batches(spark)
     return secrets.without_secrets(docs)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
+    small_batches(spark)
     return pieces.token_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
