@@ -52,11 +52,14 @@ def records(pages: DataFrame) -> DataFrame:
         text_column(pages, "html").alias("html"),
     )
     rows = rows.withColumn("size", F.octet_length("html"))
-    key = F.when(F.col("size") >= LEAST_BYTES, F.sha2("html", 256))
+    large = F.col("size") >= LEAST_BYTES
+    # Small payloads match nothing; keys of their own spread them over the join's tasks.
+    own = F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(" "), "url")
+    key = F.when(large, F.sha2("html", 256)).otherwise(own)
     # Copies meet in a partial aggregation; only payloads that repeat are joined back.
     last = (
-        rows.select(key.alias("key"), "page_id")
-        .where("key is not null")
+        rows.where(large)
+        .select(key.alias("key"), "page_id")
         .groupBy("key")
         .agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 and response is not null")
