@@ -3,7 +3,7 @@
 A window is 13 consecutive words. It goes if its words also start in a document with a
 smaller doc_id.
 
-1. *Chunks.* Each task looks at chunks of about 8 MB of text. Windows that an earlier
+1. *Chunks.* Each task looks at chunks of about 5 MB of text. Windows that an earlier
    document of the chunk holds are settled there, so a passage that very many documents
    share leaves a chunk once per document that first holds it, not once per document.
 2. *Super-k-mers.* Of the other windows, consecutive ones with the same minimiser (the least
@@ -31,7 +31,7 @@ from convolytics.llm import words as W
 from convolytics.llm.common import keep, text_column
 
 WINDOW = 13
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 #: Bytes of text per bucket (about three times as many bytes of super-k-mers).
 BUCKET_BYTES = 4 << 20
 ROW = "bucket int, ids binary, starts binary, strings binary"
@@ -338,10 +338,12 @@ def repeated_runs(documents: DataFrame, size: int = WINDOW, buckets: int | None
         documents["doc_id"].cast("long").alias("doc_id"),
         text_column(documents, "text").alias("text"),
     ).where("doc_id is not null")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if buckets is None:
         total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = int(min(2**31 - 1, 1 + total // BUCKET_BYTES))
-    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # Several per task at least, so that tasks come out even.
+        buckets = int(min(2**31 - 1, max(1 + total // BUCKET_BYTES, 4 * parts)))
+    parts = max(parts, buckets // 4)
     packed = texts.mapInArrow(super_kmers(size, buckets), ROW)
     return (
         packed.repartition(parts, "bucket")
