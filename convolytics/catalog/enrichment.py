@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from convolytics.catalog.common import messages, query, strip_sql, transcripts, with_terms
 from convolytics.functions import dims
 from convolytics.operators import effects as fx
-from convolytics.operators import messages as ms
 from convolytics.operators import requests as rq
 from convolytics.operators import scores as sc
 from convolytics.operators.backends import recorded_reply, replay
@@ -35,6 +34,30 @@ def scripted(expr: str):
     return answer
 
 
+def scripted_talks(expr: str):
+    """``scripted`` for requests in parts, from ``head`` (the first three messages), ``tail``
+    (the last text of the last part), ``n`` messages and ``chars`` of the last texts."""
+
+    def answer(requests):
+        seen = requests.groupBy("request_id", "part").agg(
+            F.first("n").alias("n"),
+            F.first("params").alias("params"),
+            F.first(F.slice("messages", 1, 3)).alias("head"),
+            F.first(F.element_at("messages", -1)["content"]).alias("tail"),
+        )
+        asked = seen.groupBy("request_id").agg(
+            F.first("n").alias("n"),
+            F.first("params").alias("params"),
+            F.min_by("head", "part").alias("head"),
+            F.max_by("tail", "part").alias("tail"),
+            F.sum(F.length("tail")).alias("chars"),
+        )
+        recorded = recorded_reply(asked.withColumn("reply", F.expr(expr)))
+        return replay(recorded, unique=True)(requests)
+
+    return answer
+
+
 # --- requests -------------------------------------------------------------------------
 
 
@@ -235,7 +258,7 @@ def l5_rejects(spark, d):
       WHERE role = 'usr'""",
 )
 def l5_context(spark, d):
-    reply = f"if(length({LAST}) % 2 = 0, 'yes', 'NO') || '; ' || size(messages) || ' messages'"
+    reply = f"if(length({LAST}) % 2 = 0, 'yes', 'NO') || '; ' || n || ' messages'"
     scores, _ = fx.score_messages(messages(spark, d), "context", scripted(reply))
     return scores.select("uid", "tid", "mid", "score", "explain")
 
@@ -270,8 +293,8 @@ GRADES = "', '".join(dims.SCALES["Grade"])
     FIRST_SQL + " SELECT uid, tid, length(body) % 16 AS grade FROM f WHERE length(body) % 16 < 15",
 )
 def l6(spark, d):
-    reply = f"' ' || array('{GRADES}', 'NOBODY')[length({FIRST}) % 16] || ' '"
-    return fx.grade_transcripts(messages(spark, d), scripted(reply))[0]
+    reply = f"' ' || array('{GRADES}', 'NOBODY')[length(head[0].content) % 16] || ' '"
+    return fx.grade_transcripts(messages(spark, d), scripted_talks(reply), None)[0]
 
 
 @query(
@@ -280,8 +303,8 @@ def l6(spark, d):
     "WHERE length(body) % 16 = 15",
 )
 def l6_rejects(spark, d):
-    reply = f"' ' || array('{GRADES}', 'NOBODY')[length({FIRST}) % 16] || ' '"
-    return fx.grade_transcripts(messages(spark, d), scripted(reply))[1]
+    reply = f"' ' || array('{GRADES}', 'NOBODY')[length(head[0].content) % 16] || ' '"
+    return fx.grade_transcripts(messages(spark, d), scripted_talks(reply), None)[1]
 
 
 LANG_NAME = """CASE bcp47 WHEN 'en-US' THEN 'English' WHEN 'es-MX' THEN 'Spanish'
@@ -294,8 +317,8 @@ LANG_NAME = """CASE bcp47 WHEN 'en-US' THEN 'English' WHEN 'es-MX' THEN 'Spanish
         || {LANG_NAME} || ', with examples from the talk.' AS assessment FROM f""",
 )
 def l7(spark, d):
-    reply = f"' ' || length(messages[1].content) || ' of ' || size(messages) || ' ' || {LAST}"
-    return fx.assess_skills(messages(spark, d), transcripts(spark, d), scripted(reply))[0]
+    reply = "' ' || length(head[1].content) || ' of ' || n || ' ' || tail"
+    return fx.assess_skills(messages(spark, d), transcripts(spark, d), scripted_talks(reply))[0]
 
 
 def _split(spark, d):
@@ -334,9 +357,9 @@ def l8_rejects(spark, d):
       ON t.uid = m.uid AND t.tid = m.tid""",
 )
 def l9(spark, d):
-    lang = "regexp_extract(messages[2].content, 'Answer in (.*)[.]', 1)"
+    lang = "regexp_extract(head[2].content, 'Answer in (.*)[.]', 1)"
     df, _ = fx.extract_topics(
-        messages(spark, d), transcripts(spark, d), scripted(f"{lang} || ', x' || length({LAST})")
+        messages(spark, d), transcripts(spark, d), scripted_talks(f"{lang} || ', x' || chars")
     )
     return df.select("uid", "tid", F.array_join("topics", "|").alias("topics"))
 
@@ -360,7 +383,7 @@ def l10(spark, d):
     def translator(asked):
         return asked.withColumn("translated", F.concat(F.lit("new "), "target", F.lit(" "), "text"))
 
-    reply = scripted(f"{LAST} || ' ' || length({FIRST})")
+    reply = scripted_talks("tail || ' ' || length(head[0].content)")
     return fx.summarize(m, reply, memory, translator)[0]
 
 
@@ -582,10 +605,7 @@ SESSIONS = M + f""", s AS (SELECT *, {REASON} AS reason FROM (SELECT uid, tid, c
 
 
 def _replies(spark, d):
-    order = [F.col("created_at"), F.col("mid")]
-    talks, _ = ms.bounded_lists(
-        messages(spark, d), ms.KEY, order, F.struct("role", "body"), fx.MAX_MESSAGES, "talk"
-    )
+    talks, _ = fx.talk_parts(messages(spark, d))
     act = F.expr(ACT)
     base = F.array(rq.message("sys", F.lit("You are a tutor.")))
     more = F.array(rq.message("sys", F.lit("Talk about food.")))
@@ -598,8 +618,8 @@ def _replies(spark, d):
             "logit_bias": F.create_map(F.lit("7"), F.lit(5.0)),
         }
     )
-    reply = f"size(messages) || ' ' || params.logit_bias['7'] || ' ' || {LAST}"
-    return fx.batch_replies(sessions, scripted(reply))
+    reply = "n || ' ' || params.logit_bias['7'] || ' ' || tail"
+    return fx.batch_replies(sessions, scripted_talks(reply))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from convolytics.catalog.common import messages, query, strip_sql
 from convolytics.operators import messages as ms
 from convolytics.operators import prompts as op
+from convolytics.scale import ordered_parts
 from convolytics.sources.prompts import clean_lines, load_prompt_lines
 from convolytics.sources.views import raw, with_views
 
@@ -206,9 +207,12 @@ def r5_rejects(spark, d):
 )
 def r6(spark, d):
     one = F.struct("role", "body")
-    talks, _ = ms.bounded_lists(
-        messages(spark, d), ["tid"], [F.col("turn")], one, ms.PART_ROWS, "talk"
+    # A row of the result holds a whole talk, so the parts of one meet in a row as well.
+    parts = ordered_parts(messages(spark, d), ["tid"], [F.col("turn")], one, ms.PART_ROWS, "talk")
+    lists = parts.groupBy("tid").agg(
+        F.array_sort(F.collect_list(F.struct("part", "talk"))).alias("_p")
     )
+    talks = lists.select("tid", F.flatten(F.transform("_p", lambda p: p["talk"])).alias("talk"))
 
     def block(words):
         return F.array(*[

@@ -17,6 +17,7 @@ from convolytics.session import cut
 # by request id. There may be completions of other requests as well.
 Backend = Callable[[DataFrame], DataFrame]
 NO_REPLY = "no recorded completion"
+TOO_LONG = "transcript too long for a request"
 COLUMNS = ["request_id", "choices", "usage", "attempts", "error"]
 
 
@@ -32,9 +33,34 @@ def replay(recorded: DataFrame, unique: bool = False) -> Backend:
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:
-    """One row per request id; equal requests are merged before the shuffle."""
-    parts = ["effect", "model", "messages", "params"]
-    return requests.groupBy("request_id").agg(*[F.first(c).alias(c) for c in parts])
+    """One row per request id; equal requests are merged before the shuffle.
+
+    Of a request in parts that is its last part, with ``n``, the messages of all parts.
+    """
+    fields = ["effect", "model", "messages", "params"]
+    if "part" in requests.columns:
+        requests, fields = requests.where("last"), [*fields, "n"]
+    return requests.groupBy("request_id").agg(*[F.first(c).alias(c) for c in fields])
+
+
+def whole_requests(requests: DataFrame) -> DataFrame:
+    """One row per request id with all its messages, as a client needs them."""
+    if "part" not in requests.columns:
+        return distinct_requests(requests)
+    fields = ["effect", "model", "messages", "params", "joined"]
+    parts = requests.groupBy("request_id", "part").agg(*[F.first(c).alias(c) for c in fields])
+    rows = parts.groupBy("request_id").agg(
+        *[F.first(c).alias(c) for c in ("effect", "model", "params", "joined")],
+        F.array_sort(F.collect_list(F.struct("part", "messages"))).alias("_p"),
+    )
+    lists = F.transform("_p", lambda p: p["messages"])
+    # Joined: the last message goes on from part to part.
+    start = F.element_at(lists, 1)
+    text = F.array_join(F.transform(lists, lambda m: F.element_at(m, -1)["content"]), "")
+    long = F.struct(F.element_at(start, -1)["role"].alias("role"), text.alias("content"))
+    joined = F.concat(F.slice(start, F.lit(1), F.size(start) - 1), F.array(long))
+    messages = F.when(F.col("joined"), joined).otherwise(F.flatten(lists))
+    return rows.select("request_id", "effect", "model", messages.alias("messages"), "params")
 
 
 def recorded_reply(replies: DataFrame, reply: str = "reply") -> DataFrame:
@@ -60,11 +86,14 @@ def batch(
     retries: int = 3,
     backoff_sec: float = 5.0,
     partitions: int | None = None,
+    max_messages: int | None = None,
 ) -> Backend:
     """Call a client once for each distinct request that ``known`` does not answer.
 
     ``make_client`` runs once per task and gives a function from a request (dict) to
-    ``{"choices": [...], "usage": {...}}``. A call is tried again ``retries`` times;
+    ``{"choices": [...], "usage": {...}}``. Requests in parts are put together for it;
+    those of more than ``max_messages`` messages, if given, become an error without a
+    call. A call is tried again ``retries`` times;
     then its error becomes the row. ``partitions`` bounds how many calls run at once.
     New completions are written to the shared folder before anything uses them, so a
     lost executor does not lead to a second round of calls.
@@ -78,12 +107,20 @@ def batch(
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     def answer(requests: DataFrame) -> DataFrame:
-        new = distinct_requests(requests)
+        new = requests
         if known is not None:
             new = new.join(known.select("request_id"), "request_id", "left_anti")
+        refused = None
+        if max_messages is not None:
+            n = F.col("n") if "part" in new.columns else F.size("messages")
+            refused = new.where(n > max_messages).select("request_id").distinct()
+            new = new.where(n <= max_messages)
+        new = whole_requests(new)
         if partitions is not None:
             new = new.repartition(partitions)
         called = cut(new.mapInPandas(call, schema))
+        if refused is not None:
+            called = called.unionByName(_refused(refused))
         if known is None:
             return called
         return called.unionByName(known.select(*COLUMNS))
@@ -91,6 +128,11 @@ def batch(
     return answer
 
 
+def _refused(ids: DataFrame) -> DataFrame:
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in T.StructType.fromDDL(COMPLETION)[1:]}
+    return ids.withColumns(nothing | {"attempts": F.lit(0), "error": F.lit(TOO_LONG)})
+
+
 def _try(client, request: dict, retries: int, backoff_sec: float) -> dict:
     error = None
     for attempt in range(1, retries + 2):

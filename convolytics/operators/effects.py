@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolytics.functions import dims
-from convolytics.functions.scalars import language_part, let, once, py_strip, terms_of
-from convolytics.operators.backends import Backend
+from convolytics.functions.scalars import WHITE, language_part, let, once, py_strip, terms_of
+from convolytics.operators import requests as rq
+from convolytics.operators.backends import TOO_LONG, Backend
 from convolytics.operators.languages import translate
-from convolytics.operators.messages import bounded_lists, capped_lists, chat_line, filter_roles
-from convolytics.operators.prompts import compose
-from convolytics.operators.requests import Effect, ask, message, prompt_messages
+from convolytics.operators.messages import chat_line, filter_roles
+from convolytics.operators.prompts import compose, compose_parts
+from convolytics.operators.requests import Effect, ask, ask_in_parts, message, prompt_messages
 from convolytics.operators.scores import rank_value
 from convolytics.operators.terms import (
     SIZE_DIFFERS,
@@ -25,13 +26,13 @@ from convolytics.operators.terms import (
     same_keys,
     stripped,
 )
+from convolytics.scale import ordered_parts
 
 MESSAGE = ["uid", "tid", "mid"]
 TRANSCRIPT = ["uid", "tid"]
-MAX_MESSAGES = 10_000  # per request; longer transcripts are rejects
+MAX_MESSAGES = 10_000  # default limit of grades; nothing else has one unless given
 JSON = "json_object"
 NOT_JSON = "reply is not a JSON object"
-TOO_LONG = "transcript too long for a request"
 
 # Models that answer in JSON, for terms and for all other annotations.
 TERMS_MODEL = "gpt-4-1106-preview"
@@ -173,29 +174,61 @@ def _reject(df: DataFrame, keys: Sequence[str], reason: str) -> DataFrame:
     return df.select(*keys, F.lit(reason).alias("reason"))
 
 
-def _talk(messages: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Transcripts with their messages as an array ``talk``; too long ones are rejects."""
-    value = F.struct("role", "body")
+def talk_parts(
+    messages: DataFrame, limit: int | None = None, value: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Transcripts in rows of bounded, ordered parts, and the keys of those over a limit.
+
+    Rows have ``part``, ``parts``, ``n`` (messages of the transcript) and the array ``talk``.
+    """
+    size = rq.PART_MESSAGES
+    value = F.struct("role", "body") if value is None else value
     order = [F.col("created_at"), F.col("mid")]
-    fits, long = bounded_lists(messages, TRANSCRIPT, order, value, limit, "talk")
-    return fits, _reject(long, TRANSCRIPT, TOO_LONG)
+    rows = ordered_parts(messages, TRANSCRIPT, order, value, size, "talk")
+    counts = messages.groupBy(*TRANSCRIPT).agg(F.count(F.lit(1)).alias("n"))
+    rows = rq.lookup(rows, counts, TRANSCRIPT).withColumn("parts", F.ceil(F.col("n") / size))
+    over = F.lit(False) if limit is None else F.col("n") > limit
+    return rows.where(~over), counts.where(over).select(*TRANSCRIPT)
 
 
-def _histories(messages: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Learner messages, each with the talk up to it as an array ``talk``."""
-    value = F.struct("role", "body", "mid")
-    order = [F.col("created_at"), F.col("mid")]
-    fits, long = bounded_lists(messages, TRANSCRIPT, order, value, limit, "_talk")
-    each = fits.select(*TRANSCRIPT, "_talk", F.posexplode("_talk").alias("_i", "_m"))
-    mine = each.where(F.col("_m.role") == "usr").select(
-        *TRANSCRIPT,
-        F.col("_m.mid").alias("mid"),
-        F.transform(
-            F.slice("_talk", F.lit(1), F.col("_i") + 1), lambda m: F.struct(m["role"], m["body"])
-        ).alias("talk"),
-    )
-    said = messages.where(F.col("role") == "usr").join(long, TRANSCRIPT, "left_semi")
-    return mine, _reject(said, MESSAGE, TOO_LONG)
+def _talk(messages: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    rows, long = talk_parts(messages, limit)
+    return rows, _reject(long, TRANSCRIPT, TOO_LONG)
+
+
+def _asked(prompt: Sequence, n: str = "n") -> Column:
+    """Messages of a request: those of the talk and the prompt."""
+    return F.col(n) + F.lit(len(prompt))
+
+
+def _ask_context(messages: DataFrame, effect: Effect, backend: Backend, limit: int | None):
+    """Ask about each learner message with the talk up to it.
+
+    A message carries the part it is in up to itself; earlier parts are shared.
+    """
+    rows, long = talk_parts(messages, limit, F.struct("role", "body", "mid"))
+    prompt = prompt_messages(effect)
+
+    def chat(talk: Column) -> Column:
+        return F.concat(
+            F.when(F.col("part") == 0, prompt).otherwise(F.slice(prompt, F.lit(1), F.lit(0))),
+            F.transform(talk, lambda m: F.struct(m["role"], m["body"])),
+        )
+
+    def ends(marked: DataFrame) -> DataFrame:
+        each = marked.select(
+            *TRANSCRIPT, "part", "before", "unfilled", "talk", F.posexplode("talk").alias("_i", "_m")
+        )
+        n = F.col("part") * rq.PART_MESSAGES + F.col("_i") + 1 + len(effect.prompt)
+        return each.where(F.col("_m.role") == "usr").select(
+            *TRANSCRIPT, F.col("_m.mid").alias("mid"), "part", "before", "unfilled",
+            n.alias("n"), chat(F.slice("talk", F.lit(1), F.col("_i") + 1)).alias("chat"),
+        )
+
+    parts = rows.withColumn("chat", chat(F.col("talk")))
+    answers, failed = ask_in_parts(parts, effect, TRANSCRIPT, backend, ends, MESSAGE)
+    said = rq.lookup(messages.where(F.col("role") == "usr"), long, TRANSCRIPT, "left_semi")
+    return answers, failed.unionByName(_reject(said, MESSAGE, TOO_LONG))
 
 
 # --- scores ---------------------------------------------------------------------------
@@ -219,7 +252,7 @@ def parse_score(answers: DataFrame, scale: str, keys: Sequence[str]):
 
 
 def score_messages(
-    messages: DataFrame, dim: str, backend: Backend, max_messages: int = MAX_MESSAGES
+    messages: DataFrame, dim: str, backend: Backend, max_messages: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Score learner messages in one dimension.
 
@@ -227,32 +260,28 @@ def score_messages(
     score it alone.
     """
     effect = SCORE_EFFECTS[dim]
-    keys, rejects = MESSAGE, None
     if dim == "context":
-        talks, rejects = _histories(messages, max_messages)
-        df = talks.withColumn("chat", compose(prompt_messages(effect), F.col("talk")))
+        answers, failed = _ask_context(messages, effect, backend, max_messages)
     else:
         one = F.array(F.struct("role", "body"))
         mine = messages.where(F.col("role") == "usr")
         df = mine.withColumn("chat", compose(prompt_messages(effect), one))
-    answers, failed = ask(df, effect, keys, backend)
-    scores, odd = parse_score(answers, dims.SCORE_DIMS[dim], keys)
-    rejects = failed.unionByName(odd) if rejects is None else rejects.unionByName(
-        failed
-    ).unionByName(odd)
-    return scores.withColumn("dim", F.lit(dim)), rejects
+        answers, failed = ask(df, effect, MESSAGE, backend)
+    scores, odd = parse_score(answers, dims.SCORE_DIMS[dim], MESSAGE)
+    return scores.withColumn("dim", F.lit(dim)), failed.unionByName(odd)
 
 
 # --- transcripts ----------------------------------------------------------------------
 
 
 def grade_transcripts(
-    messages: DataFrame, backend: Backend, max_messages: int = MAX_MESSAGES
+    messages: DataFrame, backend: Backend, max_messages: int | None = MAX_MESSAGES
 ) -> tuple[DataFrame, DataFrame]:
     """Overall grade of each transcript that has messages."""
     talks, long = _talk(messages, max_messages)
-    df = talks.withColumn("chat", compose(prompt_messages(GRADE), F.col("talk"), "prepend"))
-    answers, failed = ask(df, GRADE, TRANSCRIPT, backend)
+    chat = compose_parts(prompt_messages(GRADE), F.col("talk"), "prepend")
+    df = talks.withColumns({"chat": chat, "n": _asked(GRADE.prompt)})
+    answers, failed = ask_in_parts(df, GRADE, TRANSCRIPT, backend)
     graded = answers.withColumn("grade", rank_value(py_strip(F.col("reply")), F.lit("Grade")))
     odd = _reject(graded.where(F.col("grade").isNull()), TRANSCRIPT, "grade not understood")
     good = graded.where(F.col("grade").isNotNull()).drop("reply")
@@ -263,14 +292,15 @@ def assess_skills(
     messages: DataFrame,
     transcripts: DataFrame,
     backend: Backend,
-    max_messages: int = MAX_MESSAGES,
+    max_messages: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Skill assessment of each transcript, in its language."""
     talks, long = _talk(messages, max_messages)
     named = _langname(talks.join(transcripts.select(*TRANSCRIPT, "bcp47"), TRANSCRIPT))
     prompt = prompt_messages(SKILLS, LANGUAGE=F.col("langname"))
-    df = named.withColumn("chat", compose(prompt, F.col("talk"), "insert"))
-    answers, failed = ask(df, SKILLS, TRANSCRIPT, backend)
+    chat = compose_parts(prompt, F.col("talk"), "insert")
+    df = named.withColumns({"chat": chat, "n": _asked(SKILLS.prompt)})
+    answers, failed = ask_in_parts(df, SKILLS, TRANSCRIPT, backend)
     good = answers.select(*TRANSCRIPT, py_strip(F.col("reply")).alias("assessment"))
     return good, long.unionByName(failed)
 
@@ -303,22 +333,33 @@ def extract_topics(
     messages: DataFrame,
     transcripts: DataFrame,
     backend: Backend,
-    max_messages: int = MAX_MESSAGES,
+    max_messages: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Topic tags of each transcript, from its dialogue text and in its language."""
-    order = [F.col("created_at"), F.col("mid")]
-    lines = capped_lists(
-        filter_roles(messages), TRANSCRIPT, order, chat_line(), max_messages, "lines"
+    lines = filter_roles(messages).where(chat_line().isNotNull())
+    talks, over = talk_parts(lines, max_messages, chat_line())
+    every = transcripts.select(*TRANSCRIPT, "bcp47")
+    # A transcript without lines is one empty part.
+    rows = every.join(talks, TRANSCRIPT, "left").withColumns(
+        {"part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))}
     )
-    every = transcripts.select(*TRANSCRIPT, "bcp47").join(lines, TRANSCRIPT, "left")
-    too_long = F.coalesce(F.size("lines"), F.lit(0)) > max_messages
-    text = F.coalesce(py_strip(F.array_join("lines", "\n")), F.lit(""))
-    named = _langname(every.where(~too_long).withColumn("text", text))
-    quoted = F.concat(F.lit('"""\n'), F.col("text"), F.lit('\n"""'))
+    rows = rows.join(over, TRANSCRIPT, "left_anti")
+    first, last = F.col("part") == 0, F.col("part") == F.col("parts") - 1
+    text = F.coalesce(F.array_join("talk", "\n"), F.lit(""))
+    text = F.when(first & last, py_strip(text)).when(last, F.rtrim(text, F.lit(WHITE))).otherwise(
+        F.when(first, F.ltrim(text, F.lit(WHITE))).otherwise(text)
+    )
+    quoted = F.concat(
+        F.when(first, F.lit('"""\n')).otherwise(F.lit("\n")), text,
+        F.when(last, F.lit('\n"""')).otherwise(F.lit("")),
+    )
+    named = _langname(rows)
     prompt = prompt_messages(TOPICS, LANGUAGE=F.col("langname"))
-    df = named.withColumn("chat", F.concat(prompt, F.array(message("usr", quoted))))
-    answers, failed = ask(df, TOPICS, TRANSCRIPT, backend)
-    long = _reject(every.where(too_long), TRANSCRIPT, TOO_LONG)
+    said = F.array(message("usr", quoted))
+    chat = F.when(first, F.concat(prompt, said)).otherwise(said)
+    df = named.withColumns({"chat": chat, "n": F.coalesce("n", F.lit(0)) + len(TOPICS.prompt)})
+    answers, failed = ask_in_parts(df, TOPICS, TRANSCRIPT, backend, joined=True)
+    long = _reject(every.join(over, TRANSCRIPT, "left_semi"), TRANSCRIPT, TOO_LONG)
     return answers.select(*TRANSCRIPT, F.split("reply", ", ").alias("topics")), (
         failed.unionByName(long)
     )
@@ -332,7 +373,7 @@ def summarize(
     nwords: int = 5,
     bcp47: Column | None = None,
     source: str = "en-US",
-    max_messages: int = MAX_MESSAGES,
+    max_messages: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Summary of each transcript in ``nwords`` words.
 
@@ -351,8 +392,9 @@ def summarize(
     )
     ready = translate(asked, memory, translator)
     last = F.array(message("sys", F.col("translated")))
-    df = ready.withColumn("chat", compose(last, F.col("talk"), "prepend"))
-    answers, failed = ask(df, effect, TRANSCRIPT, backend)
+    chat = compose_parts(last, F.col("talk"), "prepend")
+    df = ready.withColumns({"chat": chat, "n": F.col("n") + 1})
+    answers, failed = ask_in_parts(df, effect, TRANSCRIPT, backend)
     return answers.withColumnRenamed("reply", "summary"), long.unionByName(failed)
 
 
@@ -542,19 +584,24 @@ def batch_replies(
     """Next reply of each open session.
 
     ``sessions`` has ``uid``, ``tid``, ``act_type``, ``plan_type``, the arrays
-    ``act_prompt``, ``plan_prompt`` and ``talk`` of (role, body), and ``logit_bias``.
+    ``act_prompt``, ``plan_prompt`` and ``talk`` of (role, body), and ``logit_bias``. Long
+    talks come in rows of parts (``talk_parts``), with ``part``, ``parts`` and ``n``.
     Type ``min`` has a fixed reply, ``unstr`` asks the model; others are rejects.
     """
     a, p = F.col("act_type"), F.col("plan_type")
     reason = F.when(~a.eqNullSafe(p), "plan is of another type").when(
         ~a.isin(*dims.RUNNABLE_TYPES), "unsupported activity type"
     )
+    if "part" not in sessions.columns:
+        one = {"part": F.lit(0).cast("long"), "parts": F.lit(1), "n": F.size("talk")}
+        sessions = sessions.withColumns(one)
     marked = sessions.withColumn("reason", reason)
     ok = marked.where(F.col("reason").isNull())
-    fixed = ok.where(a == "min").select(*TRANSCRIPT, F.lit(FIXED_REPLY).alias("reply"))
-    open_ = ok.where(a == "unstr").withColumn(
-        "chat", compose(F.col("act_prompt"), F.col("talk"), extra=F.col("plan_prompt"))
-    )
-    answers, failed = ask(open_, REPLY, TRANSCRIPT, backend, bias="logit_bias")
-    odd = marked.where(F.col("reason").isNotNull()).select(*TRANSCRIPT, "reason")
+    begin = F.col("part") == 0
+    fixed = ok.where((a == "min") & begin).select(*TRANSCRIPT, F.lit(FIXED_REPLY).alias("reply"))
+    chat = compose_parts(F.col("act_prompt"), F.col("talk"), extra=F.col("plan_prompt"))
+    n = F.col("n") + F.size("act_prompt") + F.size("plan_prompt")
+    open_ = ok.where(a == "unstr").withColumns({"chat": chat, "n": n})
+    answers, failed = ask_in_parts(open_, REPLY, TRANSCRIPT, backend, bias="logit_bias")
+    odd = marked.where(F.col("reason").isNotNull() & begin).select(*TRANSCRIPT, "reason")
     return fixed.unionByName(answers), odd.unionByName(failed)

@@ -204,3 +204,22 @@ def compose(base: Column, messages: Column, mode: str = "append", extra: Column
             F.slice(base, F.lit(1), head), messages, F.slice(base, head + 1, F.lit(4))
         )
     raise ValueError(f"unknown mode {mode}")
+
+
+def compose_parts(base: Column, messages: Column, mode: str = "append", extra: Column | None = None):
+    """``compose`` for one part of a long list (columns ``part`` and ``parts``): what comes
+    before the messages goes to the first part, what comes after them to the last."""
+    none = F.slice(base, F.lit(1), F.lit(0))
+    head = F.greatest(F.size(base) - 4, F.lit(0))
+    if mode == "append":
+        before, after = base if extra is None else F.concat(base, extra), none
+    elif mode == "prepend":
+        before, after = none, base
+    elif mode == "insert":
+        before, after = F.slice(base, F.lit(1), head), F.slice(base, head + 1, F.lit(4))
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    first, last = F.col("part") == 0, F.col("part") == F.col("parts") - 1
+    return F.concat(
+        F.when(first, before).otherwise(none), messages, F.when(last, after).otherwise(none)
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from convolytics.functions import dims
 from convolytics.functions.scalars import let, once, template_var
 from convolytics.operators.backends import NO_REPLY, Backend, distinct_requests
+from convolytics.scale import renamed, same_keys
 from convolytics.schemas import CHAT
 
 EMPTY_BIAS = "map<string,double>"
+#: Messages to a part of a request about a long talk.
+PART_MESSAGES = 1_000
 
 
 @dataclass(frozen=True)
@@ -72,6 +75,21 @@ def params_of(effect: Effect, bias: Column | None = None) -> Column:
     )
 
 
+def _unfilled(talk: Column) -> Column:
+    left = F.exists(talk, lambda m: (m["role"] == "sys") & template_var(m["body"]).isNotNull())
+    return F.coalesce(left, F.lit(False))
+
+
+def _wire(talk: Column) -> Column:
+    wire = F.transform(
+        talk,
+        lambda m: F.struct(
+            dims.lookup(dims.ROLES, m["role"]).alias("role"), m["body"].alias("content")
+        ),
+    )
+    return wire.cast(f"array<{CHAT}>")
+
+
 def build_requests(
     df: DataFrame,
     effect: Effect,
@@ -84,27 +102,22 @@ def build_requests(
 
     Adds ``request_id``, ``effect``, ``model``, ``messages`` and ``params``; equal
     requests have equal ids. Rejects: a template variable is left, or the last message
-    is already the assistant's (with ``check_user``).
+    is already the assistant's (with ``check_user``). Rows of last parts come with the
+    hash of the parts ``before`` them and whether a variable is left there (``unfilled``).
     """
+    in_parts = "before" in df.columns
+
     def read(talk: Column) -> Column:
-        unfilled = F.exists(
-            talk, lambda m: (m["role"] == "sys") & template_var(m["body"]).isNotNull()
-        )
+        unfilled = _unfilled(talk)
+        if in_parts:
+            unfilled = unfilled | F.coalesce("unfilled", F.lit(False))
         reason = F.when(F.size(talk) == 0, "no messages").when(
             F.coalesce(unfilled, F.lit(False)), "template not substituted"
         )
         if check_user:
             last = F.try_element_at(F.transform(talk, lambda m: m["role"]), F.lit(-1))
             reason = reason.when(last == "ast", "the last message is from the assistant")
-        wire = F.transform(
-            talk,
-            lambda m: F.struct(
-                dims.lookup(dims.ROLES, m["role"]).alias("role"), m["body"].alias("content")
-            ),
-        )
-        return F.struct(
-            reason.alias("reason"), wire.cast(f"array<{CHAT}>").alias("messages")
-        )
+        return F.struct(reason.alias("reason"), _wire(talk).alias("messages"))
 
     marked = once(df, _c=let(F.col(chat), read))
     built = marked.where(F.col("_c.reason").isNull()).withColumns(
@@ -115,7 +128,10 @@ def build_requests(
             "params": params_of(effect, None if bias is None else F.col(bias)),
         }
     )
-    ident = F.to_json(F.struct("effect", "model", "messages", "params"))
+    # Where nothing lies before, it is NULL and not part of the text.
+    ident = F.to_json(
+        F.struct("effect", "model", "messages", "params", *(["before"] if in_parts else []))
+    )
     # Never NULL, and known to be so: a join on it needs no check that hashes again.
     request_id = F.coalesce(F.sha2(ident, 256), F.lit(""))
     rejects = marked.where(F.col("_c.reason").isNotNull())
@@ -155,9 +171,13 @@ def ask(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of ``keys``, ``keep`` and ``reply``, and rejects of ``keys`` and ``reason``."""
     requests, rejects = build_requests(df, effect, keys, chat, bias)
+    return _answered(requests, requests, rejects, keys, keep, backend)
+
+
+def _answered(requests, sent, rejects, keys, keep, backend):
     # Rows look their completion up directly: only a backend that sends requests has
     # to make them distinct.
-    picked = pick(backend(requests)).withColumn("_found", F.lit(True))
+    picked = pick(backend(sent)).withColumn("_found", F.lit(True))
     joined = requests.select(*keys, *keep, "request_id").join(picked, "request_id", "left")
     good = joined.where(F.col("_found") & F.col("error").isNull()).select(*keys, *keep, "reply")
     reason = F.when(F.col("_found"), F.col("error")).otherwise(F.lit(NO_REPLY)).alias("reason")
@@ -165,6 +185,68 @@ def ask(
     return good, rejects.unionByName(failed.select(*keys, reason))
 
 
+def lookup(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """A join by ``keys`` in which NULL equals NULL."""
+    right = renamed(right, keys)
+    return df.join(right, same_keys(df, right, keys), how).drop(*[f"r_{k}" for k in keys])
+
+
+def _parts_before(earlier: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For each part but the first: the hash of all parts before it, from their hashes."""
+    mark = F.struct(
+        "part", F.sha2(F.to_json("messages"), 256).alias("hash"), F.col("_unfilled").alias("left")
+    )
+    lists = earlier.groupBy(*keys).agg(F.array_sort(F.collect_list(mark)).alias("_l"))
+    each = lists.select(*keys, "_l", F.explode(F.sequence(F.lit(1), F.size("_l"))).alias("part"))
+    upto = F.slice("_l", F.lit(1), F.col("part"))
+    return each.select(
+        *keys,
+        F.col("part").cast("long").alias("part"),
+        F.sha2(F.array_join(F.transform(upto, lambda x: x["hash"]), ""), 256).alias("before"),
+        F.exists(upto, lambda x: x["left"]).alias("unfilled"),
+    )
+
+
+def ask_in_parts(
+    parts: DataFrame,
+    effect: Effect,
+    group: Sequence[str],
+    backend: Backend,
+    ends: Callable[[DataFrame], DataFrame] | None = None,
+    keys: Sequence[str] | None = None,
+    bias: str | None = None,
+    joined: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """``ask`` about lists of any length, which come in rows of bounded parts.
+
+    ``parts`` has ``group``, ``part`` (from 0), ``parts``, ``n`` (messages of the request)
+    and ``chat``, the messages of the part. ``ends`` makes the last parts of requests from
+    these rows, with ``keys``; it is the last part of each group unless given. The request
+    id is that of the last part and the hashes of the parts before it; a request of one
+    part has the id that ``ask`` gives. The backend gets a row per part, with ``part``,
+    ``last``, ``n`` and ``joined`` (the last message goes on in the next part). What reads
+    the rows of ``last`` only never makes the others.
+    """
+    group, keys = list(group), list(keys or group)
+    inner = parts.where(F.col("part") < F.col("parts") - 1)
+    earlier = inner.select(
+        *group, "part", _wire(F.col("chat")).alias("messages"), _unfilled(F.col("chat")).alias("_unfilled")
+    )
+    marked = lookup(parts, _parts_before(earlier, group), [*group, "part"])
+    last = marked.where(F.col("part") == F.col("parts") - 1) if ends is None else ends(marked)
+    built, rejects = build_requests(last, effect, keys, bias=bias)
+    fields = ["request_id", "effect", "model", "params", "n"]
+    sent = built.select(*fields, "messages", "part", F.lit(True).alias("last"))
+    longer = built.where(F.col("part") > 0).select(*group, *fields, F.col("part").alias("_upto"))
+    others = lookup(longer, earlier.drop("_unfilled"), group, "inner").where(
+        F.col("part") < F.col("_upto")
+    )
+    sent = sent.unionByName(
+        others.select(*fields, "messages", "part", F.lit(False).alias("last"))
+    ).withColumn("joined", F.lit(joined))
+    return _answered(built, sent, rejects, keys, (), backend)
+
+
 def logit_bias(
     vocab: DataFrame,
     token_table: DataFrame,

@@ -169,3 +169,120 @@ def test_no_reply_is_a_reject(spark):
         said(spark, "a"), bk.replay(bk.recorded_reply(spark.createDataFrame([], "request_id string, reply string")))
     )
     assert good.count() == 0 and [r.reason for r in bad.collect()] == [bk.NO_REPLY]
+
+
+def long_talk(spark, n):
+    """A talk of ``n`` messages by turns, the learner's first; equal texts seven apart."""
+    return spark.range(n).select(
+        F.lit("u").alias("uid"), F.lit("long").alias("tid"), F.format_string("M%06d", "id").alias("mid"),
+        F.when(F.col("id") % 2 == 0, "usr").otherwise("ast").alias("role"),
+        F.concat(F.lit("text "), (F.col("id") % 7).cast("string")).alias("body"),
+        F.timestamp_seconds("id").alias("created_at"), F.lit("en-US").alias("bcp47"),
+    )
+
+
+def echo():
+    """Makers of a client that tells the number of messages and a hash of what it was sent."""
+
+    def make_client():
+        import hashlib
+
+        def call(request):
+            said = [(m["role"], m["content"]) for m in request["messages"]]
+            text = f"{len(said)} {hashlib.md5(repr(said).encode()).hexdigest()}"
+            return {"choices": [{"index": 0, "finish_reason": "stop", "role": "assistant", "content": text}]}
+
+        return call
+
+    return make_client
+
+
+def sent(*messages):
+    import hashlib
+
+    return f"{len(messages)} {hashlib.md5(repr(list(messages)).encode()).hexdigest()}"
+
+
+N_LONG = 10_001
+SAYS = {"usr": "user", "ast": "assistant"}
+
+
+def lines_of(n):
+    return [("usr" if i % 2 == 0 else "ast", f"text {i % 7}") for i in range(n)]
+
+
+def test_a_client_gets_whole_long_talks(spark):
+    talk = [(SAYS[r], b) for r, b in lines_of(N_LONG)]
+    messages = long_talk(spark, N_LONG)
+    header = messages.select("uid", "tid", "bcp47").distinct()
+    backend = bk.batch(echo(), retries=0)
+
+    grades, bad = fx.grade_transcripts(messages, backend, None)
+    assert grades.count() == 0 and [r.reason for r in bad.collect()] == ["grade not understood"]
+    good, bad = fx.assess_skills(messages, header, backend)
+    prompt = [("system", t.replace("{{LANGUAGE}}", "English")) for _, t in fx.SKILLS.prompt]
+    assert [r.assessment for r in good.collect()] == [sent(*talk, *prompt)] and bad.count() == 0
+
+    good, bad = fx.extract_topics(messages, header, backend)
+    text = "\n".join(f"{r}: {b}" for r, b in lines_of(N_LONG))
+    prompt = [
+        ("system", t.replace("{{LANGUAGE}}", "English").replace("{{MAX_RESPONSES}}", "five"))
+        for _, t in fx.TOPICS.prompt
+    ]
+    assert [r.topics for r in good.collect()] == [[sent(*prompt, ("user", f'"""\n{text}\n"""'))]]
+    assert bad.count() == 0
+
+    memory = spark.createDataFrame([], "text string, source string, target string, translated string")
+    good, bad = fx.summarize(messages, backend, memory, lambda df: df.withColumn("translated", F.col("text")))
+    assert [r.summary for r in good.collect()] == [sent(*talk, ("system", "Sum up the talk in 5 words."))]
+    assert bad.count() == 0
+
+    session = fx.talk_parts(messages)[0].select(
+        "*", F.lit("unstr").alias("act_type"), F.lit("unstr").alias("plan_type"),
+        F.array(rq.message("sys", F.lit("a"))).alias("act_prompt"),
+        F.array(rq.message("sys", F.lit("b"))).alias("plan_prompt"),
+        F.create_map(F.lit("7"), F.lit(5.0)).alias("logit_bias"),
+    )
+    good, bad = fx.batch_replies(session, backend)
+    assert [r.reply for r in good.collect()] == [sent(("system", "a"), ("system", "b"), *talk)]
+    assert bad.count() == 0
+
+    good, bad = fx.assess_skills(messages, header, bk.batch(echo(), retries=0, max_messages=N_LONG))
+    assert good.count() == 0 and [r.reason for r in bad.collect()] == [bk.TOO_LONG]
+
+
+def test_context_of_every_message_of_a_long_talk(spark):
+    reply = f"'YES; ' || n || ' ' || {LAST}"
+    good, bad = fx.score_messages(long_talk(spark, N_LONG), "context", scripted(reply))
+    prompt = len(fx.SCORE_EFFECTS["context"].prompt)
+    want = {f"M{i:06d}": f"{prompt + i + 1} text {i % 7}" for i in range(0, N_LONG, 2)}
+    assert {r.mid: r.explain for r in good.collect()} == want and bad.count() == 0
+
+
+def test_context_in_parts_is_the_talk_so_far(spark, monkeypatch):
+    talk = [(SAYS[r], b) for r, b in lines_of(24)]
+    rules = fx.SCORE_EFFECTS["context"]
+    scale = rules.fixed["RANKING"]
+    prompt = [("system", t.replace("{{RANKING}}", scale)) for _, t in rules.prompt]
+
+    def asked(size):
+        monkeypatch.setattr(rq, "PART_MESSAGES", size)
+        seen = {}
+
+        def answer(requests):
+            seen["ids"] = [r.request_id for r in requests.where("last").collect()]
+            seen["whole"] = {
+                tuple((m.role, m.content) for m in r.messages) for r in bk.whole_requests(requests).collect()
+            }
+            return bk.replay(bk.recorded_reply(requests.select("request_id", F.lit("YES; x").alias("reply"))))(requests)
+
+        good, bad = fx.score_messages(long_talk(spark, 24), "context", answer)
+        assert good.count() == 12 and bad.count() == 0
+        return seen
+
+    want = {(*prompt, *talk[: i + 1]) for i in range(0, 24, 2)}
+    parts, one = asked(5), asked(100)
+    assert parts["whole"] == one["whole"] == want
+    assert len(set(parts["ids"])) == len(set(one["ids"])) == 12
+    # A talk within a part has the id of an ordinary request.
+    assert len(set(parts["ids"]) & set(one["ids"])) == 3
