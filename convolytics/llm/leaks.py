@@ -12,6 +12,9 @@ that no fingerprint within the radius is missed. What the table lets through is
 full, and the windows around a hit are verified by the exact weighted Jaccard similarity of
 their five-word shingles (weight: how often a shingle occurs).
 
+A row with fewer words than an item, but enough of them for the limit, is one window of its
+own: its fingerprint is compared with those of whole items, and the row is verified whole.
+
 The benchmark is the query set: its index goes to the tasks in blocks of bounded size, one
 pass over the documents for each.
 """
@@ -32,6 +35,8 @@ from convolytics.llm.common import keep, text_column
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15
+#: For rows shorter than an item: one fingerprint each, so a wider radius costs little.
+ROW_RADIUS = 20
 #: Items per pass over the documents; bounds the index in each task.
 ITEMS_PER_PASS = 5_000
 RESULT = "doc_id long, item_id long, start long, end long, similarity double"
@@ -114,9 +119,16 @@ class Index:
         masks = [sum(1 << b for b in c) for k in range(near + 1) for c in combinations(range(16), k)]
         masks = np.array(masks, np.uint16)
         by_size: dict[int, list] = {}
+        whole = []
         for (item, _), hashes in zip(items, word_hashes([t for _, t in items]), strict=True):
             if len(hashes):
                 by_size.setdefault(window_size(len(hashes)), []).append((item, hashes))
+            if len(hashes) > SHINGLE:
+                whole.append((len(hashes), item, simhash(hashes), shingles(hashes.tolist())))
+        whole.sort(key=lambda x: x[0])
+        self.whole = [(item, wanted) for _, item, _, wanted in whole]
+        self.lengths = np.array([n for n, *_ in whole], np.int64)
+        self.prints = np.array([p for _, _, p, _ in whole], np.uint64)
         self.groups = []
         for size, group in sorted(by_size.items()):
             skips = [(len(h) - size) // 2 for _, h in group]
@@ -164,6 +176,28 @@ class Index:
                 for place in (at[close] * step).tolist():
                     yield item, size, place
 
+    def short_rows(self, hashes: np.ndarray, first: np.ndarray):
+        """(row, item_id, similarity) of rows that have fewer words than an item."""
+        sizes = np.diff(first)
+        # A row has at most all of its shingles in common with the item.
+        most = ((sizes - SHINGLE + 1) / SIMILARITY + 1e-9).astype(np.int64) + SHINGLE - 1
+        low = np.searchsorted(self.lengths, sizes, side="right")
+        high = np.searchsorted(self.lengths, most, side="right")
+        for row in np.flatnonzero((sizes >= SHINGLE) & (low < high)).tolist():
+            own = hashes[first[row] : first[row + 1]]
+            there = slice(low[row], high[row])
+            distance = np.bitwise_count(self.prints[there] ^ np.uint64(simhash(own)))
+            near = np.flatnonzero(distance <= ROW_RADIUS)
+            if not len(near):
+                continue
+            have = shingles(own.tolist())
+            for item, wanted in (self.whole[there.start + k] for k in near):
+                if wanted.keys().isdisjoint(have):
+                    continue
+                s = similarity(have, wanted)
+                if s >= SIMILARITY:
+                    yield row, item, s
+
     def matches(self, hashes: np.ndarray, first: np.ndarray):
         """(row, item_id, start, end, similarity): the best window of each row and item."""
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -187,6 +221,10 @@ class Index:
                     if s >= SIMILARITY and (s, -p) > best.get((row, item), (0.0, 0)):
                         best[row, item] = (s, -p, length)
                 row += 1
+        for row, item, s in self.short_rows(hashes, first):
+            # Items of other lengths may have the same id.
+            if (s, -first[row]) > best.get((row, item), (0.0, 0)):
+                best[row, item] = (s, -int(first[row]), int(first[row + 1] - first[row]))
         for (row, item), (s, p, length) in best.items():
             start = -p - int(first[row])
             yield row, item, start, start + length, s
@@ -224,8 +262,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, similarity): where a benchmark item lies in a document.
 
     One row per document row and item: the window of the item's length (in words,
-    lower-cased) with the greatest similarity, at least 0.8; the first of equal ones. An
-    item of fewer than five words is one shingle. Null or empty items and texts match
+    lower-cased) with the greatest similarity, at least 0.8; the first of equal ones. A row
+    with fewer words than the item is one window. An item of fewer than five words is one shingle. Null or empty items and texts match
     nothing; equal items are reported each. Rows without doc_id are reported with null. Empty
     tables give an empty result. Other columns are not read.
     """

@@ -75,3 +75,42 @@ def test_empty(spark, docs, empty, benchmark):
     assert leaks.leaks(empty, benchmark).count() == 0
     assert leaks.leaks(docs, benchmark.limit(0)).count() == 0
     assert leaks.clean(docs, benchmark.limit(0)).count() == docs.count()
+
+
+def test_rows_shorter_than_an_item(spark):
+    """Whole rows that are an item with words missing, next to a brute force over whole rows."""
+    rng = random.Random(12)
+    items = [(i, tables.text_of(rng, n)) for i, n in enumerate([5, 6, 7, 9, 12, 16, 23, 40, 59, 130, 300])]
+    texts = []
+    for _, text in items:
+        words = text.split()
+        n = len(words)
+        for k in sorted({1, 2, n // 12, n // 8, n // 6, n // 5, n // 4}):
+            texts += [" ".join(words[: n - k]), " ".join(words[k:])]
+            texts.append(" ".join(words[k // 2 : n - (k - k // 2)]))
+            middle = rng.randrange(n - k + 1)
+            texts.append(" ".join(words[:middle] + words[middle + k :]))
+    want = {}
+    for d, text in enumerate(texts):
+        words = text.split()
+        for item, other in items:
+            wanted = other.split()
+            if len(words) < len(wanted):
+                s = leaks.similarity(leaks.shingles(words), leaks.shingles(wanted))
+                if s >= 0.8:
+                    want[d, item] = (0, len(words), s)
+    assert len({item for _, item in want}) >= 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.end, r.similarity) for r in leaks.leaks(docs, benchmark).collect()}
+    assert {k: v for k, v in got.items() if k in want} == want
+    assert {d for d, _ in want}.isdisjoint(r.doc_id for r in leaks.clean(docs, benchmark).collect())
+
+
+def test_an_item_less_its_last_word_is_a_leak():
+    rng = random.Random(2)
+    text = tables.text_of(rng, 59)
+    index = leaks.Index([(7, text)])
+    words = leaks.word_hashes([text.rsplit(" ", 1)[0]])[0]
+    ((row, item, start, end, s),) = index.matches(words, np.array([0, len(words)]))
+    assert (row, item, start, end) == (0, 7, 0, 58) and s == 54 / 55
