@@ -434,9 +434,12 @@ def _about_terms(
     backend: Backend,
     read: Callable[[Column, Column], Column],
     with_body: bool = True,
+    token_table: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Entries of a JSON reply about the terms of each message.
 
+    With a ``token_table`` (``term``, ``token_ids``) requests lean towards the terms asked.
+
     ``read`` turns the requested terms and the parsed entries into the final ones, or
     NULL when they do not fit.
     """
@@ -446,7 +449,11 @@ def _about_terms(
     asked = message("usr", F.to_json(payload))
     chat = F.concat(prompt_messages(effect, **variables), F.array(asked))
     rows = named.where(F.size("terms") > 0).withColumn("chat", chat)
-    answers, failed = ask(rows, effect, MESSAGE, backend, keep=["terms"])
+    bias = None
+    if token_table is not None:
+        bias = "logit_bias"
+        rows = rq.logit_bias(rows.withColumn("vocab", F.col("terms")), token_table, MESSAGE)
+    answers, failed = ask(rows, effect, MESSAGE, backend, keep=["terms"], bias=bias)
 
     def final(entries: Column) -> Column:
         return F.struct(
@@ -476,11 +483,14 @@ def _rows(df: DataFrame, keys: Sequence[str] = MESSAGE, extra: Sequence[str] = (
     )
 
 
-def extract_pos(df: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
+def extract_pos(
+    df: DataFrame, backend: Backend, token_table: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Part of speech per term. Reply keys that differ are repaired by position."""
     good, bad = _about_terms(
-        df, POS, backend, lambda t, e: let(stripped(e, py_strip), lambda x: repaired(t, x))
-    )
+        df, POS, backend, lambda t, e: let(stripped(e, py_strip), lambda x: repaired(t, x)),
+        token_table=token_table,
+    )
     return _rows(good), bad
 
 
@@ -492,9 +502,11 @@ def extract_defn(df: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]
     return _rows(good), bad
 
 
-def extract_udefn(df: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
+def extract_udefn(
+    df: DataFrame, backend: Backend, token_table: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Definition in a few words per term, whatever terms come back."""
-    good, bad = _about_terms(df, UDEFN, backend, _as_is)
+    good, bad = _about_terms(df, UDEFN, backend, _as_is, token_table=token_table)
     return _rows(good), bad
 
 
@@ -553,22 +565,26 @@ def extract_detail(term_rows: DataFrame, backend: Backend) -> tuple[DataFrame, D
     return answers.withColumnRenamed("reply", "detail"), failed
 
 
-def extract_msgv(messages: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
+def extract_msgv(
+    messages: DataFrame, backend: Backend, token_table: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Vocabulary of messages: terms with micro-definition and part of speech."""
     listed = term_lists(messages)
-    poss, bad_pos = extract_pos(listed, backend)
-    udefns, bad_udefn = extract_udefn(listed, backend)
+    poss, bad_pos = extract_pos(listed, backend, token_table)
+    udefns, bad_udefn = extract_udefn(listed, backend, token_table)
     terms = listed.select(*MESSAGE, "bcp47", F.posexplode("terms").alias("pos", "term"))
     return annotate_terms(terms, udefns, poss), bad_pos.unionByName(bad_udefn)
 
 
-def extract_all(messages: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
+def extract_all(
+    messages: DataFrame, backend: Backend, token_table: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Curriculum rows of messages: all annotations of every term."""
     listed = term_lists(messages)
     defns, bad1 = extract_defn(listed, backend)
-    udefns, bad2 = extract_udefn(listed, backend)
+    udefns, bad2 = extract_udefn(listed, backend, token_table)
     roots, bad3 = extract_root(listed, backend)
-    poss, bad4 = extract_pos(listed, backend)
+    poss, bad4 = extract_pos(listed, backend, token_table)
     conju, bad5 = extract_conjugation(listed, poss, backend)
     terms = listed.select(*MESSAGE, "bcp47", F.posexplode("terms").alias("pos", "term"))
     rejects = bad1.unionByName(bad2).unionByName(bad3).unionByName(bad4).unionByName(bad5)

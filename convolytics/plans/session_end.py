@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convolytics.operators import effects as fx
 from convolytics.operators import messages as ms
 from convolytics.operators import scores as sc
 from convolytics.operators import sessions as se
 from convolytics.operators import vocab as vo
+from convolytics.operators.backends import Backend
 
 
 def end_sessions(
@@ -22,6 +26,9 @@ def end_sessions(
     max_usg: int = 4,
     scores: DataFrame | None = None,
     ledger_out: str | None = None,
+    backend: Backend | None = None,
+    memory: DataFrame | None = None,
+    translator=None,
 ) -> dict[str, DataFrame]:
     """The results of one run over all transcripts that ended.
 
@@ -29,6 +36,9 @@ def end_sessions(
     vocabulary of each learner's next session, ``next_transcripts`` for those plans,
     and ``scores`` when there are any. With ``ledger_out`` the uses are written to
     that new folder first, and the plans are made from there instead of from the messages.
+    With a ``backend`` there are ``grades``, ``skills``, ``topics`` and, given a translation
+    ``memory`` and a ``translator``, ``summaries`` of the finalised transcripts, and
+    ``effect_rejects`` with the name of the effect. ``transcripts`` then needs ``bcp47``.
     """
     final = ms.finalize(transcripts, messages)
     ended = final.where(F.col("status") == "final").select(*ms.KEY)
@@ -55,4 +65,24 @@ def end_sessions(
     }
     if scores is not None:
         out["scores"] = sc.transcript_scores(scores)
+    if backend is not None:
+        out |= _effects(messages, final, backend, memory, translator)
     return out
+
+
+def _effects(messages, final, backend, memory, translator) -> dict[str, DataFrame]:
+    """What models say about the finalised transcripts."""
+    heads = final.where(F.col("status") == "final")
+    talks = messages.join(heads.select(*ms.KEY), ms.KEY, "left_semi")
+    assessed, bad = fx.assess_skills(talks, heads, backend)
+    split, odd = fx.split_skills(assessed, backend)
+    done = {
+        "grades": fx.grade_transcripts(talks, backend, None),
+        "skills": (assessed.join(split, ms.KEY, "left"), bad.unionByName(odd)),
+        "topics": fx.extract_topics(talks, heads, backend),
+    }
+    if translator is not None:
+        done["summaries"] = fx.summarize(talks, backend, memory, translator)
+    out = {name: good for name, (good, _) in done.items()}
+    rejects = [r.withColumn("effect", F.lit(name)) for name, (_, r) in done.items()]
+    return out | {"effect_rejects": reduce(DataFrame.unionByName, rejects)}

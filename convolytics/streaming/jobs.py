@@ -97,18 +97,26 @@ def stream_vocab(usages: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     return usages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def read_usages(spark: SparkSession, path: str) -> DataFrame:
-    return distinct_uses(spark.read.parquet(path).select(*USAGE_COLUMNS))
+def read_usages(spark: SparkSession, path: str, final: DataFrame | None = None) -> DataFrame:
+    """The uses in the folder; with ``final`` (uid, tid) only those of these transcripts.
+
+    The gate is on reading, so uses that came in before their transcript ended count once
+    it has.
+    """
+    rows = spark.read.parquet(path).select(*USAGE_COLUMNS)
+    if final is not None:
+        rows = rows.join(final.select("uid", "tid"), ["uid", "tid"], "left_semi")
+    return distinct_uses(rows)
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, final: DataFrame | None = None) -> DataFrame:
     """Count, first and last of each term over all batches."""
-    return summarize_usages(read_usages(spark, path))
+    return summarize_usages(read_usages(spark, path, final))
 
 
-def read_user_vocab(spark: SparkSession, path: str) -> DataFrame:
+def read_user_vocab(spark: SparkSession, path: str, final: DataFrame | None = None) -> DataFrame:
     """Ledger documents over all batches."""
-    return build_user_vocab(read_usages(spark, path))
+    return build_user_vocab(read_usages(spark, path, final))
 
 
 def compact_ledger(spark: SparkSession, path: str, out: str) -> None:

@@ -286,3 +286,19 @@ def test_context_in_parts_is_the_talk_so_far(spark, monkeypatch):
     assert len(set(parts["ids"])) == len(set(one["ids"])) == 12
     # A talk within a part has the id of an ordinary request.
     assert len(set(parts["ids"]) & set(one["ids"])) == 3
+
+
+def test_terms_asked_about_bias_the_request(spark):
+    listed = fx.term_lists(said(spark, "red fox", "zebra"))
+    table = spark.createDataFrame([("red", [1, 2]), ("fox", [2, 3])], "term string, token_ids array<int>")
+    reply = "'{}'"
+    for effect in (fx.extract_pos, fx.extract_udefn):
+        for given, want in ((table, [{}, {"1": 5.0, "2": 5.0, "3": 5.0}]), (None, [None, None])):
+            seen = []
+
+            def answer(requests, seen=seen):
+                seen.extend(r.params.logit_bias for r in requests.collect())
+                return scripted(reply)(requests)
+
+            effect(listed, answer, given)
+            assert sorted(seen, key=lambda b: len(b or {})) == want

@@ -1,6 +1,8 @@
 """Drained streams equal the batch operators on the same rows."""
 
 import pytest
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from convolytics.catalog.common import messages
@@ -127,3 +129,13 @@ def test_finalize_passes_each_mark_once(spark, tmp_path):
     assert _set(got, "uid", "tid", "status") == _set(
         rows.select("uid", "tid", "status").distinct(), "uid", "tid", "status"
     )
+
+
+def test_ledger_of_finalised_transcripts(spark, tmp_path):
+    names = "uid string, bcp47 string, term string, tid string, mid string, used_correctly boolean, when timestamp"
+    when = datetime(2024, 1, 1)
+    uses = spark.createDataFrame([("u", "en-US", "fox", t, "USR0", None, when) for t in ("t1", "t2")], names)
+    uses.write.parquet(f"{tmp_path}/batch_id=0")
+    final = spark.createDataFrame([("u", "t1")], "uid string, tid string")
+    assert jobs.read_ledger(spark, str(tmp_path)).first().n_usgs == 2
+    assert jobs.read_ledger(spark, str(tmp_path), final).first().n_usgs == 1
