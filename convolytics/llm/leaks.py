@@ -3,7 +3,8 @@
 Windows of an item's length (to within a tenth below it) slide over each text. The
 fingerprint of a window is the 64-bit SimHash of its word pairs, each counted as often as
 it occurs; it comes from running sums of bits, so a window costs the same at any length.
-Windows step by an eighth of their length at most.
+Windows step by a sixteenth of their length at most, and the last window of each row is one
+of them: no window follows there that would be nearer to a copy at the end.
 
 A multi-index finds fingerprints near an item's: they are cut into four blocks of 16 bits,
 and if two fingerprints differ in at most ``RADIUS`` bits, one of the blocks differs in at
@@ -141,15 +142,17 @@ class Index:
             found = [(i, k, len(h), shingles(h.tolist())) for (i, h), k in zip(group, skips, strict=True)]
             self.groups.append((size, prints, marks, found))
 
-    def candidates(self, hashes: np.ndarray):
+    def candidates(self, hashes: np.ndarray, first: np.ndarray):
         """(item, word place) of windows within the radius; a window may cross rows."""
         sums = {}
         grams = pairs(hashes) if len(hashes) > 1 else hashes[:0]
         for size, prints, marks, items in self.groups:
-            step = max(1, size // 8)
+            step = max(1, size // 16)
             last = len(hashes) - size
             if last < 0:
                 continue
+            ends = first[1:][np.diff(first) >= size] - size
+            ends = ends[ends % step > 0]
             if size == 1:
                 found = hashes
             else:
@@ -159,12 +162,17 @@ class Index:
                     # Sums run over; their differences over a window do not.
                     sums[wide] = np.zeros((len(lanes) + 1, lanes.shape[1]), np.uint64)
                     np.cumsum(lanes, axis=0, out=sums[wide][1:])
-                found = np.empty(last // step + 1, np.uint64)
-                for low in range(0, len(found), 4096):
-                    high = min(low + 4096, len(found))
+                grid = last // step + 1
+                found = np.empty(grid + len(ends), np.uint64)
+                for low in range(0, grid, 4096):
+                    high = min(low + 4096, grid)
                     begin = sums[wide][low * step : (high - 1) * step + 1 : step]
                     end = sums[wide][low * step + size - 1 : (high - 1) * step + size : step]
                     found[low:high] = _prints(end - begin, size - 1, wide)
+                if len(ends):
+                    counts = sums[wide][ends + size - 1] - sums[wide][ends]
+                    found[grid:] = _prints(counts, size - 1, wide)
+            grid = len(found) - len(ends)
             hit = np.zeros(len(found), bool)
             for block in range(4):
                 part = (found >> np.uint64(16 * block)) & np.uint64(0xFFFF)
@@ -173,8 +181,8 @@ class Index:
             found = found[at]
             for item, fingerprint in zip(items, prints, strict=True):
                 close = np.bitwise_count(found ^ fingerprint) <= self.radius
-                for place in (at[close] * step).tolist():
-                    yield item, size, place
+                for k in at[close].tolist():
+                    yield item, size, k * step if k < grid else int(ends[k - grid])
 
     def short_rows(self, hashes: np.ndarray, first: np.ndarray):
         """(row, item_id, similarity) of rows that have fewer words than an item."""
@@ -203,7 +211,7 @@ class Index:
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         looked: set[tuple[int, int]] = set()
         words = hashes.tolist()
-        for (item, skip, length, wanted), size, place in self.candidates(hashes):
+        for (item, skip, length, wanted), size, place in self.candidates(hashes, first):
             around = max(1, size // 8)
             low, high = place - skip - around, place - skip + around
             n = min(SHINGLE, length)
