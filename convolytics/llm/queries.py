@@ -4,7 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from convolytics.llm import fingerprints, jaccard, languages, leaks, pieces, quality, secrets, substrings, urls, warc
+from convolytics.llm import (
+    fingerprints,
+    jaccard,
+    languages,
+    leaks,
+    pieces,
+    quality,
+    secrets,
+    spelling,
+    substrings,
+    urls,
+    warc,
+)
 from convolytics.llm.common import small_batches
 
 QUERIES = {}
@@ -106,3 +118,8 @@ def op7_language_id(spark, sf_dir):
 @query
 def op2_fingerprints(spark, sf_dir):
     return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
