@@ -30,13 +30,6 @@ def live(spark, d):
     return message_columns(feed(spark, d, "conversations", "v_messages")).drop("mid")
 
 
-def _drained(stream, spark, mode: str = "append"):
-    out = folder_of(spark)
-    writer = stream.writeStream.format("parquet").option("path", f"{out}/rows")
-    jobs.drain(writer.option("checkpointLocation", f"{out}/check").outputMode(mode))
-    return spark.read.parquet(f"{out}/rows")
-
-
 @query(
     "s1_stream_number",
     M + """ SELECT uid, tid, turn, upper(role) || (row_number() OVER (PARTITION BY uid, tid
@@ -44,7 +37,9 @@ def _drained(stream, spark, mode: str = "append"):
 )
 def s1(spark, d):
     """All is there when the stream starts, so ids are those of the batch job."""
-    return _drained(jobs.stream_number(live(spark, d)), spark).select("uid", "tid", "turn", "mid")
+    out = folder_of(spark)
+    jobs.drain(jobs.stream_number(live(spark, d), out, f"{out}/check"))
+    return jobs.read_numbered(spark, out).select("uid", "tid", "turn", "mid")
 
 
 @query(
@@ -61,6 +56,7 @@ def s2(spark, d):
     writer = jobs.stream_state(live(spark, d)).writeStream.foreachBatch(write)
     jobs.drain(writer.outputMode("update").option("checkpointLocation", f"{out}/check"))
     rows = spark.read.parquet(f"{out}/rows")
+    rows = rows.where(~F.col("expired"))
     latest = rows.groupBy("uid", "tid").agg(F.max(F.struct("batch_id", "n", "n_usr", "last_updated")).alias("s"))
     return latest.select("uid", "tid", "s.n", "s.n_usr", F.unix_seconds("s.last_updated").alias("last_updated"))
 
@@ -90,6 +86,43 @@ def s4(spark, d):
     )
 
 
+# A transcript ends a day after it began, unless it is still live.
+ENDS = """SELECT conv_id % 17 AS uid, conv_id AS tid,
+    CASE WHEN conv_id % 5 = 0 THEN 'live' ELSE 'final' END AS status,
+    1704067200 + conv_id * 3600 + 86400 AS ended_epoch FROM conversations WHERE turn = 0"""
+
+
+@query(
+    "s4_final_vocab",
+    with_terms() + f""", v_ends AS ({ENDS}) SELECT uid, bcp47, term, count(*) AS n_usgs,
+        min(at_epoch) AS first, max(at_epoch) AS last FROM v_uses
+        WHERE tid IN (SELECT tid FROM v_ends WHERE status = 'final') GROUP BY uid, bcp47, term""",
+)
+def s4_final(spark, d):
+    """The ledger of finalised transcripts, from a stream of uses and one of events.
+
+    Everything arrives twice (two streams add to one table) with a compaction in between.
+    """
+    out = folder_of(spark)
+    table = None
+    for run in ("one", "two"):
+        rows = message_columns(feed(spark, d, "conversations", "v_messages"))
+        uses = vocab.usages_of(vocab.extract_terms(rows))
+        events = spark.readStream.schema(raw(spark, d, "conversations").schema).parquet(
+            f"{d}/conversations.parque*"
+        )
+        ends = views.query(spark, d, ENDS, {"conversations": events}).withColumn(
+            "ended_at", F.timestamp_seconds("ended_epoch")
+        )
+        jobs.drain(jobs.stream_final_vocab(uses, ends, out, f"{out}/check-{run}"))
+        if table is None:
+            table = jobs.ledger_table(spark, out, uses.schema)
+            table.compact(vocab.distinct_uses)
+    return jobs.read_final_ledger(table).select(
+        "uid", "bcp47", "term", "n_usgs", epoch("first"), epoch("last")
+    )
+
+
 @query(
     "s5_stream_finalize",
     with_views("v_days") + """ SELECT uid, tid, status, count(*) AS n FROM (
@@ -101,4 +134,4 @@ def s5(spark, d):
     for run in ("one", "two"):
         days = feed(spark, d, "orders", "v_days")
         jobs.drain(jobs.stream_finalize(days, f"{out}/rows", f"{out}/check-{run}"))
-    return jobs.marks(spark, f"{out}/rows").groupBy("uid", "tid", "status").agg(F.count(F.lit(1)).alias("n"))
+    return jobs.marks(spark, f"{out}/rows", days.schema).groupBy("uid", "tid", "status").agg(F.count(F.lit(1)).alias("n"))
