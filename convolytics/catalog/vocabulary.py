@@ -325,3 +325,46 @@ def j10(spark, d):
     spelled = F.when(F.length("term") % 3 == 0, case).otherwise(F.concat("term", F.lit("#")))
     found = tm.soft_match(rows, rows.withColumn("term", spelled), 0.8)
     return found.withColumn("ratio", F.round("ratio", 9))
+
+
+# Slips of the pen: the first two letters change places, the last one is doubled or missing.
+_SLIP = """CASE length(term) % 3 WHEN 0 THEN substr(term, 2, 1) || substr(term, 1, 1) || substr(term, 3)
+    WHEN 1 THEN term || substr(term, length(term), 1) ELSE substr(term, 1, length(term) - 1) END"""
+
+
+@query(
+    "j10_soft_match_slips",
+    f"""WITH RECURSIVE {with_terms().removeprefix("WITH ")},
+      v_asked AS (SELECT uid, tid, mid, lower(term) AS term FROM v_terms WHERE length(term) > 3),
+      v_given AS (SELECT uid, tid, mid, {_SLIP} AS reply FROM v_asked),
+      v_exact AS (SELECT DISTINCT uid, tid, mid, term FROM v_asked JOIN v_given
+        USING (uid, tid, mid) WHERE term = reply),
+      v_both AS (SELECT DISTINCT uid, tid, mid, term, reply FROM v_asked JOIN v_given
+        USING (uid, tid, mid)
+        WHERE 2 * least(length(term), length(reply)) >= 0.8 * (length(term) + length(reply)) - 1e-9
+          AND (uid, tid, mid, term) NOT IN (FROM v_exact)
+          AND (uid, tid, mid, reply) NOT IN (FROM v_exact)),
+      v_seg AS (
+        SELECT term, reply, term AS x, reply AS y, 0 AS got
+        FROM (SELECT DISTINCT term, reply FROM v_both)
+        UNION ALL
+        SELECT term, reply, unnest([substr(x, 1, b.i - 1), substr(x, b.i + b.n)]),
+          unnest([substr(y, 1, b.j - 1), substr(y, b.j + b.n)]), unnest([b.n, 0])
+        FROM (SELECT *, list_extract(flatten(list_transform(range(least(length(x), length(y)), 0, -1),
+            lambda n: list_transform(list_filter(range(1, length(x) - n + 2),
+              lambda i: contains(y, substr(x, i, n))),
+              lambda i: {{'n': n, 'i': i, 'j': instr(y, substr(x, i, n))}}))), 1) AS b FROM v_seg)
+        WHERE b IS NOT NULL),
+      v_ratio AS (SELECT term, reply, 2.0::double * sum(got) / (length(term) + length(reply)) AS r
+        FROM v_seg GROUP BY term, reply),
+      v_best AS (SELECT uid, tid, mid, term, reply, r, row_number() OVER
+          (PARTITION BY uid, tid, mid, term ORDER BY r DESC, reply) AS k
+        FROM v_both JOIN v_ratio USING (term, reply) WHERE r >= 0.8)
+      SELECT uid, tid, mid, term, term AS reply_term, 1.0::double AS ratio FROM v_exact
+      UNION ALL SELECT uid, tid, mid, term, reply, round(r, 9) FROM v_best WHERE k = 1""",
+)
+def j10_slips(spark, d):
+    """Replies with transposed, doubled and missing letters; each takes its best partner."""
+    rows = terms(spark, d).where("length(term) > 3").select("uid", "tid", "mid", F.lower("term").alias("term"))
+    found = tm.soft_match(rows, rows.withColumn("term", F.expr(_SLIP)), 0.8)
+    return found.withColumn("ratio", F.round("ratio", 9))

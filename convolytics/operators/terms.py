@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,10 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convolytics.functions.scalars import let
+from convolytics.scale import renamed
+from convolytics.scale import same_keys as same_words
+from convolytics.session import cut
 
 MID = ["uid", "tid", "mid"]
 # Letters from common to rare in western European text; only the speed depends on it.
 COMMON_LETTERS = "enitrasohludcmgpbfvwkzyjxq"
+#: Texts up to this length are compared in the JVM.
+LONGEST = 64
 SIZE_DIFFERS = "number of terms differs"
 
 
@@ -147,20 +151,109 @@ def build_curriculum(
     return rows.withColumn("conju", F.when(verb, F.col("conju")).otherwise(F.lit("")))
 
 
-@lru_cache(maxsize=1 << 16)
-def _ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+def _longest(x: Column, y: Column) -> Column:
+    """The longest text that both have, as an array of at most one (n, i, j): its length and
+    where it begins (from 1); of equally long ones the first in ``x``, then in ``y``."""
+    size = F.least(F.length(x), F.length(y))
+
+    def look(found: Column, n: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.contains(y, F.substring(x, i, n))
+        )
+        here = F.transform(
+            F.slice(starts, F.lit(1), F.lit(1)),
+            lambda i: F.struct(
+                n.alias("n"), i.alias("i"), F.position(F.substring(x, i, n), y).alias("j")
+            ),
+        )
+        return F.when(F.size(found) > 0, found).otherwise(here)
+
+    nothing = F.array().cast("array<struct<n:int,i:int,j:int>>")
+    return F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), nothing, look)
+
+
+def block_ratio(a: Column, b: Column, min_ratio: float = 0.0) -> Column:
+    """Share of matching blocks of two texts: 2 * matched / (len(a) + len(b)).
+
+    The longest common block is matched, then the texts left of it and those right of it, and
+    so on. Pairs are given up (a value below ``min_ratio``) once what is matched and the most
+    that the open pieces can add stay under it. At least one text is not empty.
+    """
+    total = F.length(a) + F.length(b)
+    pieces = "array<struct<x:string,y:string>>"
+
+    def sides(e: Column) -> Column:
+        b = F.get(e["l"], F.lit(0))
+        both = F.array(
+            F.struct(
+                F.substring(e["x"], F.lit(1), b["i"] - 1).alias("x"),
+                F.substring(e["y"], F.lit(1), b["j"] - 1).alias("y"),
+            ),
+            F.struct(
+                F.substring(e["x"], b["i"] + b["n"], F.length(e["x"])).alias("x"),
+                F.substring(e["y"], b["j"] + b["n"], F.length(e["y"])).alias("y"),
+            ),
+        )
+        return F.filter(both, lambda p: (p["x"] != "") & (p["y"] != ""))
+
+    def level(state: Column, _: Column) -> Column:
+        found = F.filter(
+            F.transform(
+                state["open"],
+                lambda p: F.struct(
+                    p["x"].alias("x"), p["y"].alias("y"), _longest(p["x"], p["y"]).alias("l")
+                ),
+            ),
+            lambda e: F.size(e["l"]) > 0,
+        )
+        after = let(
+            found,
+            lambda f: F.struct(
+                F.flatten(F.transform(f, sides)).alias("open"),
+                F.aggregate(f, state["m"], lambda m, e: m + F.get(e["l"], F.lit(0))["n"]).alias("m"),
+            ),
+        )
+        return F.when(F.size(state["open"]) == 0, state).otherwise(let(after, hopeful))
+
+    def hopeful(state: Column) -> Column:
+        most = F.aggregate(
+            state["open"], state["m"], lambda m, p: m + F.least(F.length(p["x"]), F.length(p["y"]))
+        )
+        enough = 2 * most >= F.lit(min_ratio) * total - F.lit(1e-9)
+        return F.struct(
+            F.when(enough, state["open"]).otherwise(F.array().cast(pieces)).alias("open"),
+            state["m"].alias("m"),
+        )
+
+    start = F.struct(
+        F.array(F.struct(a.alias("x"), b.alias("y"))).cast(pieces).alias("open"),
+        F.lit(0).alias("m"),
+    )
+    # Each level matches a character at least, so there are no more levels than characters.
+    levels = F.sequence(F.lit(1), F.least(F.length(a), F.length(b)))
+    done = F.aggregate(levels, start, level, lambda state: state["m"])
+    some = (a != "") & (b != "")
+    return F.when(some, F.try_divide(2 * F.when(some, done), total)).otherwise(F.lit(0.0))
 
 
 @F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+def _long_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    pairs = zip(a, b, strict=True)
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in pairs], dtype="float64")
 
 
-# Share of matching blocks of two texts, as difflib counts them. Pairs of common words
-# come up often, so each Python worker remembers some. Marked so that a filter on the
-# result does not run it a second time.
-similarity = _similarity.asNondeterministic()
+def rated(pairs: DataFrame, min_ratio: float) -> DataFrame:
+    """``pairs`` (term, reply_term) with ``ratio``, those of at least ``min_ratio``.
+
+    Words stay in the JVM. A text of more than ``LONGEST`` characters is no word: such pairs go
+    to Python, where the search for blocks takes the product of the lengths and not more.
+    """
+    word = (F.length("term") <= LONGEST) & (F.length("reply_term") <= LONGEST)
+    short = pairs.where(word).withColumn(
+        "ratio", block_ratio(F.col("term"), F.col("reply_term"), min_ratio)
+    )
+    long = pairs.where(~word).withColumn("ratio", _long_ratio.asNondeterministic()("term", "reply_term"))
+    return short.unionByName(long).where(F.col("ratio") >= min_ratio)
 
 
 def _marks(df: DataFrame, text: str, as_: str, min_ratio: float) -> DataFrame:
@@ -212,6 +305,9 @@ def soft_match(
 ) -> DataFrame:
     """Match reply terms to requested terms of the same message.
 
+    Messages have most words in common, so candidate pairs are made distinct first: each pair
+    of words is scored once, whatever the number of messages it comes up in.
+
     Equal ignoring case comes first (ratio 1). Terms still without a match take the most
     similar of the left reply terms, at least ``min_ratio`` alike, ties going to the
     smaller text. Candidates must share a mark (see ``_marks``), which loses no pair.
@@ -237,11 +333,12 @@ def soft_match(
     )
     open_terms = words.where(no_reply).select(*keys, F.explode("_terms").alias("term"))
     open_reply = words.where(no_term).select(*keys, F.explode("_replies").alias("reply_term"))
-    pairs = _candidates(open_terms, open_reply, keys, min_ratio)
+    pairs = cut(_candidates(open_terms, open_reply, keys, min_ratio))
+    words_of_pair = ["term", "reply_term"]
+    scored = renamed(rated(pairs.select(*words_of_pair).distinct(), min_ratio), words_of_pair)
     best = F.min(F.struct((-F.col("ratio")).alias("r"), "reply_term")).alias("_b")
     close = (
-        pairs.withColumn("ratio", similarity("term", "reply_term"))
-        .where(F.col("ratio") >= min_ratio)
+        pairs.join(scored, same_words(pairs, scored, words_of_pair))
         .groupBy(*keys, "term")
         .agg(best)
         .select(*keys, "term", "_b.reply_term", (-F.col("_b.r")).alias("ratio"))

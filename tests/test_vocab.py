@@ -1,5 +1,6 @@
 """Ledger, selection, sizes and term matching."""
 
+import random
 from datetime import UTC, datetime, timedelta
 from difflib import SequenceMatcher
 
@@ -114,7 +115,30 @@ def rows_of(spark, words, mid="m"):
 @pytest.mark.parametrize("a, b, ratio", [("asdf", "asdF", 0.75), ("asdf", "asdf", 1.0), ("asdf", "qwer", 0.0)])
 def test_similarity(spark, a, b, ratio):
     df = spark.createDataFrame([(a, b)], "a string, b string")
-    assert df.select(tm.similarity("a", "b")).first()[0] == ratio
+    assert df.select(tm.block_ratio(F.col("a"), F.col("b"))).first()[0] == ratio
+
+
+def test_block_ratio_equals_difflib(spark):
+    """Random words over few letters, so that blocks tie and nest; also with a floor."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(0, 14)))
+    pairs = [(a, b) for a, b in ((word(), word()) for _ in range(1500)) if a or b]
+    pairs += [(a, a[:3] + a[4:5] + a[3:4] + a[5:]) for a in (word() + word() for _ in range(300)) if a]
+    df = spark.createDataFrame(pairs, "a string, b string").select(
+        "a", "b", tm.block_ratio(F.col("a"), F.col("b")).alias("r"),
+        tm.block_ratio(F.col("a"), F.col("b"), 0.7).alias("floored"),
+    )
+    for r in df.collect():
+        want = SequenceMatcher(None, r.a, r.b).ratio()
+        assert r.r == want, (r.a, r.b)
+        assert r.floored == want if want >= 0.7 else r.floored < 0.7
+
+
+def test_soft_match_of_long_texts(spark):
+    """Texts over the JVM's bound are scored all the same."""
+    a, b = "ab" * 60, "ab" * 58 + "xy"
+    got = tm.soft_match(rows_of(spark, [a]), rows_of(spark, [b]), 0.75).first()
+    assert (got.reply_term, got.ratio) == (b, SequenceMatcher(None, a, b).ratio())
 
 
 def brute(asked, given, floor):
