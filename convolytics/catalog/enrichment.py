@@ -313,10 +313,11 @@ LANG_NAME = """CASE bcp47 WHEN 'en-US' THEN 'English' WHEN 'es-MX' THEN 'Spanish
 
 @query(
     "l7_assess_skills",
-    FIRST_SQL + f""" SELECT uid, tid, length(body) || ' of ' || (n + 5) || ' Answer in '
-        || {LANG_NAME} || ', with examples from the talk.' AS assessment FROM f""",
+    FIRST_SQL + f""" SELECT uid, tid, length(body) || ' of ' || (n + {len(fx.SKILLS.prompt)}) || ' '
+        || replace('{fx.SKILLS.prompt[-1][1]}', '{{{{LANGUAGE}}}}', {LANG_NAME}) AS assessment FROM f""",
 )
 def l7(spark, d):
+    """The talk stands after the first line of the prompt and before the last four."""
     reply = "' ' || length(head[1].content) || ' of ' || n || ' ' || tail"
     return fx.assess_skills(messages(spark, d), transcripts(spark, d), scripted_talks(reply))[0]
 

@@ -228,9 +228,11 @@ def j11(spark, d):
     return done.select("tid", "turn", "translated")
 
 
-STREAK = with_views("v_days") + """, days AS (SELECT uid, CAST(ended_at AS date) AS day,
+def _streak_sql(bound: str = "true") -> str:
+    """Runs of days with a final transcript, of those that ended within ``bound``."""
+    return with_views("v_days") + f""", days AS (SELECT uid, CAST(ended_at AS date) AS day,
       max(ended_at) AS last, max_by(tid, (ended_at, tid)) AS tid
-      FROM v_days WHERE status = 'final' GROUP BY 1, 2),
+      FROM v_days WHERE status = 'final' AND {bound} GROUP BY 1, 2),
     runs AS (SELECT uid, day - CAST(row_number() OVER (PARTITION BY uid ORDER BY day) AS integer)
       AS run, day, last, tid FROM days),
     ends AS (SELECT uid, count(*) AS n, max(day) AS day, max(last) AS last,
@@ -239,7 +241,7 @@ STREAK = with_views("v_days") + """, days AS (SELECT uid, CAST(ended_at AS date)
 
 @query(
     "a12_streaks",
-    STREAK + """ SELECT uid, max_by(n, day) AS count, max_by(tid, day) AS tid,
+    _streak_sql() + """ SELECT uid, max_by(n, day) AS count, max_by(tid, day) AS tid,
         CAST(epoch(max(last)) AS bigint) AS last FROM ends GROUP BY uid""",
 )
 def a12(spark, d):
@@ -249,7 +251,8 @@ def a12(spark, d):
 
 @query(
     "a12_streaks_as_of",
-    STREAK + """ SELECT uid, CASE WHEN max(day) >= DATE '1999-12-30' THEN max_by(n, day) ELSE 0 END
+    _streak_sql("ended_at <= TIMESTAMP '1999-12-31'")
+    + """ SELECT uid, CASE WHEN max(day) >= DATE '1999-12-30' THEN max_by(n, day) ELSE 0 END
         AS count, max_by(tid, day) AS tid FROM ends GROUP BY uid""",
 )
 def a12_as_of(spark, d):

@@ -69,8 +69,12 @@ GRADE = Effect(
 SKILLS = Effect(
     "skills",
     (
-        ("sys", "Write a short report on the learner's side (usr) of a talk, in {{LANGUAGE}}."),
-        ("sys", "Say what went well and what to work on; quote the learner for each remark."),
+        ("sys", "You assess the learner's side (usr) of the talk that follows."),
+        # The last four lines come after the talk.
+        ("sys", "Write a short report for the learner, in two paragraphs."),
+        ("sys", "Say first what went well."),
+        ("sys", "Say then what to work on, and quote the learner for each remark."),
+        ("sys", "Answer in {{LANGUAGE}}, with examples from the talk."),
     ),
     presence_penalty=-0.8,
 )
