@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 
 from convolytics.llm import (
+    alignment,
     fingerprints,
     jaccard,
     languages,
     leaks,
+    licenses,
     pieces,
     quality,
     secrets,
@@ -123,3 +125,16 @@ def op2_fingerprints(spark, sf_dir):
 @query
 def op12_spelling_variants(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_license_scan(spark, sf_dir):
+    return licenses.labels(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_tokenizer_alignment(spark, sf_dir):
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    return alignment.alignments(
+        table(spark, sf_dir, "documents"), *[public_tokenizers.path(n) for n in names]
+    )
