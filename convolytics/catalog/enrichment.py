@@ -181,11 +181,7 @@ def l4(spark, d):
     m = messages(spark, d)
     picked = next_vocabulary(m).groupBy("uid", "bcp47").agg(F.collect_list("term").alias("vocab"))
     own = F.create_map(F.lit("5"), F.lit(-1.0), F.lit("own"), F.lit(2.0))
-    table = extract_terms(m).groupBy("term").agg(F.max("pos").alias("p")).select(
-        "term", F.array(F.length("term"), F.octet_length("term") + 100, F.col("p") + 200)
-        .alias("token_ids"),
-    )
-    df = rq.logit_bias(picked.withColumn("own", own), table, ["uid", "bcp47"], overrides="own")
+    df = rq.logit_bias(picked.withColumn("own", own), token_table(m), ["uid", "bcp47"], overrides="own")
     return df.select("uid", "bcp47", F.explode("logit_bias").alias("token", "bias"))
 
 
@@ -595,22 +591,90 @@ def l21(spark, d):
     return fx.extract_all(messages(spark, d), scripted(ALL_REPLIES))[0].drop("uid")
 
 
+#: Replies of which some are no JSON or lack a key.
+ODD_REPLIES = f"""CASE effect WHEN 'pos' THEN {given(PAYLOAD, json_reply(SHOUTED, LOWER_KIND))}
+    WHEN 'defn' THEN {given(PAYLOAD, "if(length(x.msg) % 7 = 0, 'sorry', " + json_reply("x.terms", "'d'") + ")")}
+    WHEN 'udefn' THEN {given(PAYLOAD, "if(length(x.msg) % 11 = 0, '[]', " + json_reply("x.terms", "'u'") + ")")}
+    WHEN 'root' THEN {given(BARE, json_reply("if(size(x) % 4 = 0, slice(x, 2, size(x)), x)", "'r'"))}
+    ELSE {given(BARE, "if(size(x) % 2 = 0, 'none', " + json_reply("x", "'past'") + ")")} END"""
+COUNTS = LEN + """, v_counts AS (SELECT tid, mid, any_value(n) AS n, count(*) AS size,
+    count(*) FILTER (length(term) % 4 = 0) AS verbs FROM v_terms JOIN v_len USING (tid, turn)
+    GROUP BY tid, mid)"""
+REJECTED = """SELECT tid, mid, 'pos' AS effect, 'number of terms differs' AS reason FROM v_counts
+      WHERE n % 5 = 0
+    UNION ALL SELECT tid, mid, 'udefn', 'reply is not a JSON object' FROM v_counts WHERE n % 11 = 0"""
+
+
+@query("l20_rejects", with_terms() + COUNTS + REJECTED)
+def l20_rejects(spark, d):
+    found = fx.extract_msgv(messages(spark, d), scripted(ODD_REPLIES))[1]
+    return found.select("tid", "mid", "effect", "reason")
+
+
+@query(
+    "l21_rejects",
+    with_terms() + COUNTS + REJECTED + """
+    UNION ALL SELECT tid, mid, 'defn', 'reply is not a JSON object' FROM v_counts WHERE n % 7 = 0
+    UNION ALL SELECT tid, mid, 'root', 'number of terms differs' FROM v_counts WHERE size % 4 = 0
+    UNION ALL SELECT tid, mid, 'conju', 'reply is not a JSON object' FROM v_counts
+      WHERE n % 5 <> 0 AND verbs > 0 AND verbs % 2 = 0""",
+)
+def l21_rejects(spark, d):
+    """What each effect could not read; no conjugation is asked where the verbs are not known."""
+    found = fx.extract_all(messages(spark, d), scripted(ODD_REPLIES))[1]
+    return found.select("tid", "mid", "effect", "reason")
+
+
+TOKENS = """, v_tokens AS (SELECT term, unnest([length(term), 100 + strlen(term), 200 + max(pos)]) AS token
+    FROM v_terms GROUP BY term)"""
+
+
+def token_table(m):
+    """A token encoder's table: made-up ids that follow from the terms of messages."""
+    return extract_terms(m).groupBy("term").agg(F.max("pos").alias("p")).select(
+        "term", F.array(F.length("term"), F.octet_length("term") + 100, F.col("p") + 200)
+        .alias("token_ids"),
+    )
+
+
+def _bias_text(bias):
+    """The tokens of a bias map in order, if all have the usual weight."""
+    usual = F.forall(F.map_values(bias), lambda v: v == 5.0)
+    return F.when(usual, F.array_join(F.array_sort(F.map_keys(bias)), ","))
+
+
+@query(
+    "l20_request_bias",
+    with_terms() + TOKENS + """, v_bias AS (SELECT tid, mid, string_agg(token, ',' ORDER BY token) AS bias
+        FROM (SELECT DISTINCT tid, mid, CAST(token AS varchar) AS token
+              FROM v_terms JOIN v_tokens USING (term)) GROUP BY tid, mid)
+      SELECT tid, mid, effect, CASE WHEN effect IN ('pos', 'udefn') THEN bias END AS bias
+      FROM v_bias, (VALUES ('pos'), ('udefn'), ('defn'), ('root')) e(effect)""",
+)
+def l20_bias(spark, d):
+    """Part of speech and micro-definitions lean towards the tokens of the terms they ask for."""
+    names = ["pos", "udefn", "defn", "root"]
+    rows = fx.term_requests(listed(spark, d), names, token_table(messages(spark, d)))
+    return rows.select("tid", "mid", "effect", _bias_text(F.col("params.logit_bias")).alias("bias"))
+
+
 # --- replies --------------------------------------------------------------------------
 
 ACT = "CASE tid % 4 WHEN 0 THEN 'min' WHEN 1 THEN 'unstr' WHEN 2 THEN 'unstr' ELSE 'intro' END"
 REASON = """CASE WHEN tid % 13 = 5 THEN 'plan is of another type'
     WHEN tid % 4 = 3 THEN 'unsupported activity type'
     WHEN tid % 4 <> 0 AND role = 'ast' THEN 'the last message is from the assistant' END"""
-SESSIONS = M + f""", s AS (SELECT *, {REASON} AS reason FROM (SELECT uid, tid, count(*) AS n,
+OPEN_SESSIONS = f""", s AS (SELECT *, {REASON} AS reason FROM (SELECT uid, tid, count(*) AS n,
     max_by(role, turn) AS role, max_by(body, turn) AS body FROM v_messages GROUP BY uid, tid))"""
+SESSIONS = M + OPEN_SESSIONS
 
 
-def _replies(spark, d):
+def _sessions(spark, d):
     talks, _ = fx.talk_parts(messages(spark, d))
     act = F.expr(ACT)
     base = F.array(rq.message("sys", F.lit("You are a tutor.")))
     more = F.array(rq.message("sys", F.lit("Talk about food.")))
-    sessions = talks.withColumns(
+    return talks.withColumns(
         {
             "act_type": act,
             "plan_type": F.when(F.col("tid") % 13 == 5, F.lit("story")).otherwise(act),
@@ -619,8 +683,11 @@ def _replies(spark, d):
             "logit_bias": F.create_map(F.lit("7"), F.lit(5.0)),
         }
     )
+
+
+def _replies(spark, d):
     reply = "n || ' ' || params.logit_bias['7'] || ' ' || tail"
-    return fx.batch_replies(sessions, scripted_talks(reply))
+    return fx.batch_replies(_sessions(spark, d), scripted_talks(reply))
 
 
 @query(
@@ -635,3 +702,32 @@ def l22(spark, d):
 @query("l22_reply_rejects", SESSIONS + " SELECT uid, tid, reason FROM s WHERE reason IS NOT NULL")
 def l22_rejects(spark, d):
     return _replies(spark, d)[1]
+
+
+@query(
+    "l22_replies_by_vocabulary",
+    with_terms() + TOKENS + OPEN_SESSIONS + """, v_pick AS (SELECT uid, bcp47, term FROM (SELECT *, row_number() OVER (
+        PARTITION BY uid, bcp47 ORDER BY last DESC, first, term) AS r FROM v_ledger
+        WHERE n_usgs < 4) WHERE r <= 16),
+      v_bias AS (SELECT uid, bcp47, string_agg(token, ',' ORDER BY token) AS bias
+        FROM (SELECT DISTINCT uid, bcp47, CAST(token AS varchar) AS token
+              FROM v_pick JOIN v_tokens USING (term)) GROUP BY uid, bcp47),
+      v_lang AS (SELECT DISTINCT tid, bcp47 FROM v_messages)
+      SELECT s.uid, tid, (n + 2) || ' ' || coalesce(bias, '') || ' ' || body AS reply
+      FROM s JOIN v_lang USING (tid)
+      LEFT JOIN v_bias v ON v.uid = s.uid AND v.bcp47 = v_lang.bcp47
+      WHERE reason IS NULL AND tid % 4 <> 0""",
+)
+def l22_by_vocabulary(spark, d):
+    """Replies biased towards the terms that the learner should practise next.
+
+    Ledger, selection, token maps, request parameters and request id form one chain.
+    """
+    m = messages(spark, d)
+    picked = next_vocabulary(m).groupBy("uid", "bcp47").agg(F.collect_list("term").alias("vocab"))
+    bias = rq.logit_bias(picked, token_table(m), ["uid", "bcp47"]).drop("vocab")
+    every = transcripts(spark, d).select("uid", "tid", "bcp47").join(bias, ["uid", "bcp47"], "left")
+    tokens = "array_join(array_sort(map_keys(params.logit_bias)), ',')"
+    reply = f"n || ' ' || coalesce({tokens}, '') || ' ' || tail"
+    sessions = _sessions(spark, d).drop("logit_bias").join(every.drop("bcp47"), ["uid", "tid"])
+    return fx.batch_replies(sessions, scripted_talks(reply))[0].where("tid % 4 <> 0")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +20,15 @@ from convolytics.operators.requests import Effect, ask, ask_in_parts, message, p
 from convolytics.operators.scores import rank_value
 from convolytics.operators.terms import (
     SIZE_DIFFERS,
-    annotate_terms,
-    build_curriculum,
+    gathered,
     json_entries,
     repaired,
     same_keys,
     stripped,
+    verbs_only,
 )
 from convolytics.scale import ordered_parts
+from convolytics.session import cut
 
 MESSAGE = ["uid", "tid", "mid"]
 TRANSCRIPT = ["uid", "tid"]
@@ -432,53 +434,112 @@ def extract_terms_by_model(
     return good, failed.unionByName(odd)
 
 
-def _about_terms(
-    df: DataFrame,
-    effect: Effect,
-    backend: Backend,
-    read: Callable[[Column, Column], Column],
-    with_body: bool = True,
-    token_table: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Entries of a JSON reply about the terms of each message.
+def _as_is(terms: Column, entries: Column) -> Column:
+    return entries
+
+
+def _same_size(terms: Column, entries: Column) -> Column:
+    return F.when(F.size(terms) == F.size(entries), entries)
+
+
+@dataclass(frozen=True)
+class _About:
+    """What is asked about the terms of a message, and how its entries are read."""
 
-    With a ``token_table`` (``term``, ``token_ids``) requests lean towards the terms asked.
+    effect: Effect
+    read: Callable[[Column, Column], Column]
+    with_body: bool = True
+    biased: bool = False
+    field: str = ""
+
+
+#: By effect; ``field`` is the column of a curriculum row.
+ABOUT = {
+    "pos": _About(
+        POS, lambda t, e: let(stripped(e, py_strip), lambda x: repaired(t, x)), True, True,
+        "part_of_speech",
+    ),
+    "defn": _About(DEFN, lambda t, e: _same_size(t, stripped(e, py_strip)), field="defn"),
+    "udefn": _About(UDEFN, _as_is, True, True, "udefn"),
+    "root": _About(ROOT, _same_size, False, field="root"),
+    "conju": _About(CONJU, _as_is, False, field="conju"),
+}
 
-    ``read`` turns the requested terms and the parsed entries into the final ones, or
-    NULL when they do not fit.
+
+def term_requests(
+    df: DataFrame, names: Sequence[str], token_table: DataFrame | None = None
+) -> DataFrame:
+    """The requests of several effects about the terms of each message, in one frame.
+
+    ``df`` has the message keys, ``bcp47``, ``body`` and ``terms``. Each message is read once and
+    gives a row per effect, with the id that a request of the single effect has. With a
+    ``token_table`` (``term``, ``token_ids``) the effects that name terms lean towards those asked.
     """
-    named = _langname(df) if any("LANGNAME" in t for _, t in effect.prompt) else df
-    variables = {"LANGNAME": F.col("langname")} if named is not df else {}
-    payload = F.struct(F.col("body").alias("msg"), "terms") if with_body else F.col("terms")
-    asked = message("usr", F.to_json(payload))
-    chat = F.concat(prompt_messages(effect, **variables), F.array(asked))
-    rows = named.where(F.size("terms") > 0).withColumn("chat", chat)
+    rows = df.where(F.size("terms") > 0)
+    variables: dict[str, Column] = {}
+    if any("LANGNAME" in t for n in names for _, t in ABOUT[n].effect.prompt):
+        rows = _langname(rows)
+        variables = {"LANGNAME": F.col("langname")}
     bias = None
-    if token_table is not None:
-        bias = "logit_bias"
+    if token_table is not None and any(ABOUT[n].biased for n in names):
+        bias = F.col("logit_bias")
         rows = rq.logit_bias(rows.withColumn("vocab", F.col("terms")), token_table, MESSAGE)
-    answers, failed = ask(rows, effect, MESSAGE, backend, keep=["terms"], bias=bias)
 
-    def final(entries: Column) -> Column:
+    def request(name: str) -> Column:
+        about = ABOUT[name]
+        payload = F.struct(F.col("body").alias("msg"), "terms") if about.with_body else F.col("terms")
+        asked = F.array(message("usr", F.to_json(payload)))
         return F.struct(
-            entries.isNotNull().alias("is_json"),
-            F.when(entries.isNotNull(), read(F.col("terms"), entries)).alias("entries"),
+            *rq.request_fields(
+                about.effect,
+                F.concat(prompt_messages(about.effect, **variables), asked),
+                bias if about.biased else None,
+            ),
         )
 
-    parsed = once(answers, _r=let(json_entries(F.col("reply")), final))
-    entries = F.col("_r.entries")
-    why = F.when(F.col("_r.is_json"), F.lit(SIZE_DIFFERS)).otherwise(F.lit(NOT_JSON))
-    odd = parsed.where(entries.isNull()).select(*MESSAGE, why.alias("reason"))
-    good = parsed.where(entries.isNotNull()).select(*MESSAGE, "terms", entries.alias("entries"))
-    return good, failed.unionByName(odd)
+    each = rows.select(*MESSAGE, "bcp47", "terms", F.inline(F.array(*map(request, names))))
+    return each.withColumn("request_id", rq.request_id())
 
 
-def _as_is(terms: Column, entries: Column) -> Column:
-    return entries
+def ask_about_terms(
+    df: DataFrame, names: Sequence[str], backend: Backend, token_table: DataFrame | None = None
+) -> DataFrame:
+    """Ask several effects about the terms of each message in one pass (``term_requests``).
 
+    All requests look up their completions in one join, and a reply is parsed once. Rows have
+    the keys, ``bcp47``, ``effect``, ``terms``, and ``entries`` or the ``reason`` why there are none.
+    """
+    requests = term_requests(df, names, token_table)
+    joined = rq.completed(requests, [*MESSAGE, "bcp47", "effect", "terms"], backend)
 
-def _same_size(terms: Column, entries: Column) -> Column:
-    return F.when(F.size(terms) == F.size(entries), entries)
+    def final(entries: Column) -> Column:
+        read = reduce(
+            lambda w, n: w.when(F.col("effect") == n, ABOUT[n].read(F.col("terms"), entries)), names, F
+        )
+        return F.struct(
+            entries.isNotNull().alias("is_json"), F.when(entries.isNotNull(), read).alias("entries")
+        )
+
+    parsed = once(joined, _r=let(json_entries(F.col("reply")), final))
+    entries = F.col("_r.entries")
+    reason = (
+        F.when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(~F.col("_r.is_json"), F.lit(NOT_JSON))
+        .when(entries.isNull(), F.lit(SIZE_DIFFERS))
+    )
+    return parsed.select(
+        *MESSAGE, "bcp47", "effect", "terms",
+        entries.alias("entries"), reason.alias("reason"),
+    )
+
+
+def _about_terms(
+    df: DataFrame, name: str, backend: Backend, token_table: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``ask_about_terms`` of one effect: entries per message, and rejects."""
+    asked = ask_about_terms(df, [name], backend, token_table)
+    good = asked.where(F.col("reason").isNull()).select(*MESSAGE, "terms", "entries")
+    return good, asked.where(F.col("reason").isNotNull()).select(*MESSAGE, "reason")
 
 
 def _rows(df: DataFrame, keys: Sequence[str] = MESSAGE, extra: Sequence[str] = ()) -> DataFrame:
@@ -491,18 +552,13 @@ def extract_pos(
     df: DataFrame, backend: Backend, token_table: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Part of speech per term. Reply keys that differ are repaired by position."""
-    good, bad = _about_terms(
-        df, POS, backend, lambda t, e: let(stripped(e, py_strip), lambda x: repaired(t, x)),
-        token_table=token_table,
-    )
+    good, bad = _about_terms(df, "pos", backend, token_table)
     return _rows(good), bad
 
 
 def extract_defn(df: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
     """Definition per term; another number of terms is a reject."""
-    good, bad = _about_terms(
-        df, DEFN, backend, lambda t, e: _same_size(t, stripped(e, py_strip))
-    )
+    good, bad = _about_terms(df, "defn", backend)
     return _rows(good), bad
 
 
@@ -510,13 +566,13 @@ def extract_udefn(
     df: DataFrame, backend: Backend, token_table: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Definition in a few words per term, whatever terms come back."""
-    good, bad = _about_terms(df, UDEFN, backend, _as_is, token_table=token_table)
+    good, bad = _about_terms(df, "udefn", backend, token_table)
     return _rows(good), bad
 
 
 def extract_root(df: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
     """Root form per term; another number of terms is a reject."""
-    good, bad = _about_terms(df, ROOT, backend, _same_size, with_body=False)
+    good, bad = _about_terms(df, "root", backend)
     return _rows(good), bad
 
 
@@ -534,7 +590,7 @@ def extract_conjugation(
         .select(*MESSAGE, F.transform("_v", lambda x: x["term"]).alias("terms"))
     )
     rows = df.drop("terms").join(verbs, MESSAGE)
-    good, bad = _about_terms(rows, CONJU, backend, _as_is, with_body=False)
+    good, bad = _about_terms(rows, "conju", backend)
     differ = ~same_keys(F.col("terms"), F.col("entries"))
     return _rows(good.withColumn("keys_differ", differ), extra=["keys_differ"]), bad
 
@@ -569,30 +625,72 @@ def extract_detail(term_rows: DataFrame, backend: Backend) -> tuple[DataFrame, D
     return answers.withColumnRenamed("reply", "detail"), failed
 
 
+def _vocabulary(asked: DataFrame, more: DataFrame | None, names: Sequence[str], default: str | None):
+    """Term rows with a column per effect, and rejects, from rows of ``ask_about_terms``.
+
+    Each message stands in ``asked`` with every one of its effects, so the terms themselves are
+    taken from the rows of the first.
+    """
+    every = asked if more is None else asked.unionByName(more)
+
+    def row(term: Column, i: Column, value: Column, own: bool) -> Column:
+        return F.struct(
+            term.alias("term"), i.cast("int").alias("pos"), value.alias("value"), F.lit(own).alias("own")
+        )
+
+    none = F.lit(None).cast("string")
+    term = F.when(
+        F.col("effect") == names[0], F.transform("terms", lambda t, i: row(t, i, none, True))
+    )
+    said = F.transform("entries", lambda e, i: row(e["key"], i, e["value"], False))
+    nothing = F.slice(said, F.lit(1), F.lit(0))
+    field = dims.lookup({n: ABOUT[n].field for n in names}, F.col("effect"))
+    each = every.select(
+        *MESSAGE, "bcp47", "effect",
+        F.explode(F.concat(F.coalesce(term, nothing), F.coalesce(said, nothing))).alias("_x"),
+    )
+    rows = each.select(
+        *MESSAGE,
+        F.col("_x.term").alias("term"),
+        F.when(F.col("_x.own"), F.struct(F.col("_x.pos").alias("pos"), "bcp47")).alias("_row"),
+        F.when(~F.col("_x.own"), field).alias("_field"),
+        F.col("_x.value").alias("value"),
+        F.col("_x.pos").alias("_seq"),
+    )
+    found = gathered(rows, [ABOUT[n].field for n in names], MESSAGE, default)
+    bad = every.where(F.col("reason").isNotNull()).select(*MESSAGE, "effect", "reason")
+    return found, bad
+
+
 def extract_msgv(
     messages: DataFrame, backend: Backend, token_table: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary of messages: terms with micro-definition and part of speech."""
-    listed = term_lists(messages)
-    poss, bad_pos = extract_pos(listed, backend, token_table)
-    udefns, bad_udefn = extract_udefn(listed, backend, token_table)
-    terms = listed.select(*MESSAGE, "bcp47", F.posexplode("terms").alias("pos", "term"))
-    return annotate_terms(terms, udefns, poss), bad_pos.unionByName(bad_udefn)
+    """Vocabulary of messages: terms with micro-definition and part of speech.
+
+    Rejects name the effect that has no entries for a message.
+    """
+    names = ["udefn", "pos"]
+    asked = cut(ask_about_terms(term_lists(messages), names, backend, token_table))
+    return _vocabulary(asked, None, names, None)
 
 
 def extract_all(
     messages: DataFrame, backend: Backend, token_table: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Curriculum rows of messages: all annotations of every term."""
-    listed = term_lists(messages)
-    defns, bad1 = extract_defn(listed, backend)
-    udefns, bad2 = extract_udefn(listed, backend, token_table)
-    roots, bad3 = extract_root(listed, backend)
-    poss, bad4 = extract_pos(listed, backend, token_table)
-    conju, bad5 = extract_conjugation(listed, poss, backend)
-    terms = listed.select(*MESSAGE, "bcp47", F.posexplode("terms").alias("pos", "term"))
-    rejects = bad1.unionByName(bad2).unionByName(bad3).unionByName(bad4).unionByName(bad5)
-    return build_curriculum(terms, defns, udefns, roots, poss, conju), rejects
+    """Curriculum rows of messages: all annotations of every term.
+
+    Four effects are asked at once and what they give is written; conjugations are asked of the
+    verbs that are found there. Rejects name the effect.
+    """
+    names = ["defn", "udefn", "root", "pos"]
+    asked = cut(ask_about_terms(term_lists(messages), names, backend, token_table))
+    verbs = F.filter("entries", lambda e: e["value"] == "verb")
+    listed = asked.where((F.col("effect") == "pos") & F.col("entries").isNotNull()).select(
+        *MESSAGE, "bcp47", F.transform(verbs, lambda e: e["key"]).alias("terms")
+    )
+    conju = ask_about_terms(listed, ["conju"], backend)
+    rows, bad = _vocabulary(asked, conju, [*names, "conju"], "")
+    return verbs_only(rows), bad
 
 
 # --- replies --------------------------------------------------------------------------

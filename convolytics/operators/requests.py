@@ -90,6 +90,33 @@ def _wire(talk: Column) -> Column:
     return wire.cast(f"array<{CHAT}>")
 
 
+def request_id(*more: str) -> Column:
+    """The id of a request, from its columns.
+
+    Never NULL, and known to be so: a join on it needs no check that hashes again.
+    """
+    ident = F.to_json(F.struct("effect", "model", "messages", "params", *more))
+    return F.coalesce(F.sha2(ident, 256), F.lit(""))
+
+
+def request_fields(effect: Effect, chat: Column, bias: Column | None = None) -> list[Column]:
+    """``effect``, ``model``, ``messages`` and ``params`` of a request, as columns."""
+    return [
+        F.lit(effect.name).alias("effect"),
+        F.lit(effect.model).alias("model"),
+        _wire(chat).alias("messages"),
+        params_of(effect, bias).alias("params"),
+    ]
+
+
+def completed(requests: DataFrame, keep: Sequence[str], backend: Backend) -> DataFrame:
+    """Rows of ``keep`` with the ``reply`` to each request, or the ``reason`` why there is none."""
+    picked = pick(backend(requests)).withColumn("_found", F.lit(True))
+    joined = requests.select(*keep, "request_id").join(picked, "request_id", "left")
+    reason = F.when(F.col("_found"), F.col("error")).otherwise(F.lit(NO_REPLY))
+    return joined.select(*keep, F.when(reason.isNull(), F.col("reply")).alias("reply"), reason.alias("reason"))
+
+
 def build_requests(
     df: DataFrame,
     effect: Effect,
@@ -128,15 +155,10 @@ def build_requests(
             "params": params_of(effect, None if bias is None else F.col(bias)),
         }
     )
-    # Where nothing lies before, it is NULL and not part of the text.
-    ident = F.to_json(
-        F.struct("effect", "model", "messages", "params", *(["before"] if in_parts else []))
-    )
-    # Never NULL, and known to be so: a join on it needs no check that hashes again.
-    request_id = F.coalesce(F.sha2(ident, 256), F.lit(""))
     rejects = marked.where(F.col("_c.reason").isNotNull())
     return (
-        built.drop("_c").withColumn("request_id", request_id),
+        # Where nothing lies before, it is NULL and not part of the text.
+        built.drop("_c").withColumn("request_id", request_id(*(["before"] if in_parts else []))),
         rejects.select(*keys, F.col("_c.reason").alias("reason")),
     )
 

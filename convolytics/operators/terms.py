@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -113,9 +114,14 @@ def annotate(
             df.select(*spot, F.lit(None).cast(blocks[0].schema["_row"].dataType).alias("_row"),
                       F.lit(name).alias("_field"), "value", seq.cast("int").alias("_seq"))
         )
-    rows = blocks[0]
-    for block in blocks[1:]:
-        rows = rows.unionByName(block)
+    return gathered(reduce(DataFrame.unionByName, blocks), list(fields), keys, default)
+
+
+def gathered(
+    rows: DataFrame, fields: Sequence[str], keys: Sequence[str], default: str | None = None
+) -> DataFrame:
+    """One row per (keys, term) that has a ``_row``, with the values of each ``_field``."""
+    spot = [*keys, "term"]
     at = {f: F.when(F.col("_field") == f, F.col("_seq")) for f in fields}
     values = [F.max_by("value", at[f]).alias(f"_f_{f}") for f in fields]
     grouped = rows.groupBy(*spot).agg(F.max("_row").alias("_row"), *values)
@@ -146,7 +152,11 @@ def build_curriculum(
         "defn": defns, "udefn": udefns, "root": roots, "part_of_speech": poss,
         "conju": conjugations,
     }
-    rows = annotate(terms, fields, keys, default="")
+    return verbs_only(annotate(terms, fields, keys, default=""))
+
+
+def verbs_only(rows: DataFrame) -> DataFrame:
+    """Curriculum rows without the conjugation of what is no verb."""
     verb = F.col("part_of_speech") == "verb"
     return rows.withColumn("conju", F.when(verb, F.col("conju")).otherwise(F.lit("")))
 
