@@ -16,7 +16,14 @@ from convolytics.operators.backends import TOO_LONG, Backend
 from convolytics.operators.languages import translate
 from convolytics.operators.messages import chat_line, filter_roles
 from convolytics.operators.prompts import compose, compose_parts
-from convolytics.operators.requests import Effect, ask, ask_in_parts, message, prompt_messages
+from convolytics.operators.requests import (
+    Effect,
+    ask,
+    ask_in_parts,
+    ask_prefixes,
+    message,
+    prompt_messages,
+)
 from convolytics.operators.scores import rank_value
 from convolytics.operators.terms import (
     SIZE_DIFFERS,
@@ -32,7 +39,6 @@ from convolytics.session import cut
 
 MESSAGE = ["uid", "tid", "mid"]
 TRANSCRIPT = ["uid", "tid"]
-MAX_MESSAGES = 10_000  # default limit of grades; nothing else has one unless given
 JSON = "json_object"
 NOT_JSON = "reply is not a JSON object"
 
@@ -208,31 +214,9 @@ def _asked(prompt: Sequence, n: str = "n") -> Column:
 
 
 def _ask_context(messages: DataFrame, effect: Effect, backend: Backend, limit: int | None):
-    """Ask about each learner message with the talk up to it.
-
-    A message carries the part it is in up to itself; earlier parts are shared.
-    """
+    """Ask about each learner message with the talk up to it."""
     rows, long = talk_parts(messages, limit, F.struct("role", "body", "mid"))
-    prompt = prompt_messages(effect)
-
-    def chat(talk: Column) -> Column:
-        return F.concat(
-            F.when(F.col("part") == 0, prompt).otherwise(F.slice(prompt, F.lit(1), F.lit(0))),
-            F.transform(talk, lambda m: F.struct(m["role"], m["body"])),
-        )
-
-    def ends(marked: DataFrame) -> DataFrame:
-        each = marked.select(
-            *TRANSCRIPT, "part", "before", "unfilled", "talk", F.posexplode("talk").alias("_i", "_m")
-        )
-        n = F.col("part") * rq.PART_MESSAGES + F.col("_i") + 1 + len(effect.prompt)
-        return each.where(F.col("_m.role") == "usr").select(
-            *TRANSCRIPT, F.col("_m.mid").alias("mid"), "part", "before", "unfilled",
-            n.alias("n"), chat(F.slice("talk", F.lit(1), F.col("_i") + 1)).alias("chat"),
-        )
-
-    parts = rows.withColumn("chat", chat(F.col("talk")))
-    answers, failed = ask_in_parts(parts, effect, TRANSCRIPT, backend, ends, MESSAGE)
+    answers, failed = ask_prefixes(rows, effect, TRANSCRIPT, "mid", "usr", backend)
     said = rq.lookup(messages.where(F.col("role") == "usr"), long, TRANSCRIPT, "left_semi")
     return answers, failed.unionByName(_reject(said, MESSAGE, TOO_LONG))
 
@@ -281,7 +265,7 @@ def score_messages(
 
 
 def grade_transcripts(
-    messages: DataFrame, backend: Backend, max_messages: int | None = MAX_MESSAGES
+    messages: DataFrame, backend: Backend, max_messages: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Overall grade of each transcript that has messages."""
     talks, long = _talk(messages, max_messages)

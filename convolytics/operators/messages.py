@@ -209,41 +209,3 @@ def needs_reply(prompt_messages: DataFrame, key: str = "prompt_id") -> DataFrame
     """Conversations whose last message is not the assistant's."""
     last = prompt_messages.groupBy(key).agg(F.max_by("role", "pos").alias("last_role"))
     return last.where(F.col("last_role") != "ast")
-
-
-def capped_lists(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    value: Column,
-    limit: int,
-    out: str,
-) -> DataFrame:
-    """Ordered lists of ``limit`` values, or one more where a group is longer than that.
-
-    Each task drops rows past the limit before the shuffle, so no list grows with a group.
-    """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_v", value)
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= limit + 1)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_rn", "_v"))).alias("_ranked"))
-        .withColumn(out, F.transform("_ranked", lambda x: x["_v"]))
-        .drop("_ranked")
-    )
-
-
-def bounded_lists(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    value: Column,
-    limit: int,
-    out: str,
-) -> tuple[DataFrame, DataFrame]:
-    """Ordered lists of at most ``limit`` values, and the keys of longer groups apart."""
-    lists = capped_lists(df, keys, order, value, limit, out)
-    fits = F.size(out) <= limit
-    return lists.where(fits), lists.where(~fits).select(*keys)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from convolytics.functions.scalars import let, once, template_var
 from convolytics.operators.backends import NO_REPLY, Backend, distinct_requests
 from convolytics.scale import renamed, same_keys
 from convolytics.schemas import CHAT
+from convolytics.session import cut
 
 EMPTY_BIAS = "map<string,double>"
 #: Messages to a part of a request about a long talk.
@@ -213,20 +214,65 @@ def lookup(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "lef
     return df.join(right, same_keys(df, right, keys), how).drop(*[f"r_{k}" for k in keys])
 
 
-def _parts_before(earlier: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For each part but the first: the hash of all parts before it, from their hashes."""
+def _before(lists: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For the last part of each list: the hash of all parts before it, from their hashes."""
+    return lists.select(
+        *keys,
+        F.size("_l").cast("long").alias("part"),
+        F.sha2(F.array_join(F.transform("_l", lambda x: x["hash"]), ""), 256).alias("before"),
+        F.exists("_l", lambda x: x["left"]).alias("unfilled"),
+    )
+
+
+def _starts(lists: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For each part but the first: the chain of hashes of the parts before it."""
+
+    def step(chain: Column, x: Column) -> Column:
+        last = F.element_at(chain, -1)
+        link = F.struct(
+            F.sha2(F.concat(last["start"], x["hash"]), 256).alias("start"),
+            (last["unfilled"] | x["left"]).alias("unfilled"),
+        )
+        return F.concat(chain, F.array(link))
+
+    first = F.array(F.struct(F.lit("").alias("start"), F.lit(False).alias("unfilled")))
+    each = lists.select(*keys, F.posexplode(F.aggregate("_l", first, step)).alias("part", "_s"))
+    return each.where(F.col("part") > 0).select(*keys, F.col("part").cast("long").alias("part"), "_s.*")
+
+
+def _hash_lists(earlier: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The hashes of the earlier parts of each list, in order: one for ``PART_MESSAGES`` messages."""
     mark = F.struct(
         "part", F.sha2(F.to_json("messages"), 256).alias("hash"), F.col("_unfilled").alias("left")
     )
-    lists = earlier.groupBy(*keys).agg(F.array_sort(F.collect_list(mark)).alias("_l"))
-    each = lists.select(*keys, "_l", F.explode(F.sequence(F.lit(1), F.size("_l"))).alias("part"))
-    upto = F.slice("_l", F.lit(1), F.col("part"))
-    return each.select(
-        *keys,
-        F.col("part").cast("long").alias("part"),
-        F.sha2(F.array_join(F.transform(upto, lambda x: x["hash"]), ""), 256).alias("before"),
-        F.exists(upto, lambda x: x["left"]).alias("unfilled"),
-    )
+    return earlier.groupBy(*keys).agg(F.array_sort(F.collect_list(mark)).alias("_l"))
+
+
+def _earlier(parts: DataFrame, group: Sequence[str], chat: Column) -> DataFrame:
+    inner = parts.where(F.col("part") < F.col("parts") - 1)
+    return inner.select(*group, "part", _wire(chat).alias("messages"), _unfilled(chat).alias("_unfilled"))
+
+
+def one_part(parts: DataFrame) -> bool:
+    """Whether all lists are one part, as nearly always; ``parts`` is a written table."""
+    return parts.where(F.col("parts") > 1).isEmpty()
+
+
+FIELDS = ["request_id", "effect", "model", "params", "n"]
+
+
+def _sent(built: DataFrame, earlier: DataFrame | None, group: Sequence[str], joined: bool) -> DataFrame:
+    """A row per part of each request, for backends that read what is sent."""
+    sent = built.select(*FIELDS, "messages", "part", F.lit(True).alias("last"))
+    if earlier is not None:
+        longer = built.where(F.col("part") > 0).select(*group, *FIELDS, F.col("part").alias("_upto"))
+        others = lookup(longer, earlier.drop("_unfilled"), group, "inner").where(
+            F.col("part") < F.col("_upto")
+        )
+        sent = sent.unionByName(
+            others.select(*FIELDS, "messages", "part", F.lit(False).alias("last"))
+        )
+    return sent.withColumn("joined", F.lit(joined))
 
 
 def ask_in_parts(
@@ -234,39 +280,88 @@ def ask_in_parts(
     effect: Effect,
     group: Sequence[str],
     backend: Backend,
-    ends: Callable[[DataFrame], DataFrame] | None = None,
-    keys: Sequence[str] | None = None,
     bias: str | None = None,
     joined: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``ask`` about lists of any length, which come in rows of bounded parts.
 
     ``parts`` has ``group``, ``part`` (from 0), ``parts``, ``n`` (messages of the request)
-    and ``chat``, the messages of the part. ``ends`` makes the last parts of requests from
-    these rows, with ``keys``; it is the last part of each group unless given. The request
+    and ``chat``, the messages of the part; it is written once and read from there. The request
     id is that of the last part and the hashes of the parts before it; a request of one
     part has the id that ``ask`` gives. The backend gets a row per part, with ``part``,
     ``last``, ``n`` and ``joined`` (the last message goes on in the next part). What reads
     the rows of ``last`` only never makes the others.
     """
-    group, keys = list(group), list(keys or group)
-    inner = parts.where(F.col("part") < F.col("parts") - 1)
-    earlier = inner.select(
-        *group, "part", _wire(F.col("chat")).alias("messages"), _unfilled(F.col("chat")).alias("_unfilled")
-    )
-    marked = lookup(parts, _parts_before(earlier, group), [*group, "part"])
-    last = marked.where(F.col("part") == F.col("parts") - 1) if ends is None else ends(marked)
-    built, rejects = build_requests(last, effect, keys, bias=bias)
-    fields = ["request_id", "effect", "model", "params", "n"]
-    sent = built.select(*fields, "messages", "part", F.lit(True).alias("last"))
-    longer = built.where(F.col("part") > 0).select(*group, *fields, F.col("part").alias("_upto"))
-    others = lookup(longer, earlier.drop("_unfilled"), group, "inner").where(
-        F.col("part") < F.col("_upto")
+    group = list(group)
+    parts = cut(parts)
+    if one_part(parts):
+        built, rejects = build_requests(parts, effect, group, bias=bias)
+        return _answered(built, _sent(built, None, group, joined), rejects, group, (), backend)
+    earlier = _earlier(parts, group, F.col("chat"))
+    last = parts.where(F.col("part") == F.col("parts") - 1)
+    marked = lookup(last, _before(_hash_lists(earlier, group), group), [*group, "part"])
+    built, rejects = build_requests(marked, effect, group, bias=bias)
+    return _answered(built, _sent(built, earlier, group, joined), rejects, group, (), backend)
+
+
+def ask_prefixes(
+    parts: DataFrame, effect: Effect, group: Sequence[str], key: str, role: str, backend: Backend
+) -> tuple[DataFrame, DataFrame]:
+    """Ask about each message by ``role`` with the prompt and all messages up to it.
+
+    ``parts`` has ``group``, ``part``, ``parts`` and ``talk``, an array of (role, body, ``key``).
+    A message is hashed once: the hash of a prefix is that of the prefix before it and of its
+    last message, so that a request is one row with an id, however long the talk before it.
+    Only a backend that reads what is sent makes the prefixes.
+    """
+    group = list(group)
+    keys = [*group, key]
+    parts = cut(parts)
+    prompt = prompt_messages(effect)
+
+    def plain(talk: Column) -> Column:
+        return F.transform(talk, lambda m: F.struct(m["role"], m["body"]))
+
+    earlier = None
+    if one_part(parts):
+        marked = parts.withColumns({"start": F.lit(""), "unfilled": F.lit(False)})
+    else:
+        first = F.when(F.col("part") == 0, prompt).otherwise(F.slice(prompt, F.lit(1), F.lit(0)))
+        earlier = _earlier(parts, group, F.concat(first, plain(F.col("talk"))))
+        starts = _starts(_hash_lists(earlier, group), group)
+        marked = lookup(parts, starts, [*group, "part"]).withColumns(
+            {"start": F.coalesce("start", F.lit("")), "unfilled": F.coalesce("unfilled", F.lit(False))}
+        )
+
+    def link(chain: Column, m: Column) -> Column:
+        said = F.to_json(F.struct(m["role"], m["body"]))
+        return F.concat(chain, F.array(F.sha2(F.concat(F.element_at(chain, -1), said), 256)))
+
+    links = F.aggregate("talk", F.array("start"), link)
+    open_ = F.array_position(F.transform("talk", lambda m: _unfilled(F.array(m))), True)
+    chained = once(marked, links=links, _open=open_)
+    each = chained.select(
+        *group, "part", "unfilled", "_open",
+        F.posexplode(F.arrays_zip("talk", F.slice("links", F.lit(2), F.size("talk")).alias("link"))).alias("_i", "_m"),
+    ).where(F.col("_m.talk.role") == role)
+    left = F.col("unfilled") | ((F.col("_open") > 0) & (F.col("_open") <= F.col("_i") + 1)) | _unfilled(prompt)
+    asked = each.select(
+        *group, F.col(f"_m.talk.{key}").alias(key), "part", "_i",
+        F.when(left, F.lit("template not substituted")).alias("reason"),
+        F.lit(effect.name).alias("effect"), F.lit(effect.model).alias("model"),
+        params_of(effect).alias("params"), _wire(prompt).alias("messages"),
+        F.col("_m.link").alias("upto"),
+        (F.col("part") * PART_MESSAGES + F.col("_i") + 1 + len(effect.prompt)).alias("n"),
+    )
+    built = asked.where(F.col("reason").isNull()).withColumn("request_id", request_id("upto"))
+    rejects = asked.where(F.col("reason").isNotNull()).select(*keys, "reason")
+    here = renamed(parts.select(*group, "part", "talk"), [*group, "part"])
+    begun = F.when(F.col("part") == 0, F.col("messages")).otherwise(F.slice("messages", F.lit(1), F.lit(0)))
+    whole = built.join(here, same_keys(built, here, [*group, "part"])).withColumn(
+        "messages",
+        F.concat(begun, _wire(plain(F.slice("talk", F.lit(1), F.col("_i") + 1)))),
     )
-    sent = sent.unionByName(
-        others.select(*fields, "messages", "part", F.lit(False).alias("last"))
-    ).withColumn("joined", F.lit(joined))
-    return _answered(built, sent, rejects, keys, (), backend)
+    return _answered(built, _sent(whole, earlier, group, False), rejects, keys, (), backend)
 
 
 def logit_bias(

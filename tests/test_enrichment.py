@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from convolytics.operators import backends as bk
 from convolytics.operators import effects as fx
 from convolytics.operators import requests as rq
+from convolytics.operators import terms as tm
 
 MSGS = "uid string, tid string, mid string, role string, body string, created_at timestamp, bcp47 string"
 T0 = datetime(2024, 1, 1)
@@ -95,12 +96,15 @@ def test_batch_backend_retries_and_keeps_errors(spark):
 
 
 def test_long_transcripts_are_rejected_whole(spark):
-    rows = spark.range(fx.MAX_MESSAGES + 1).select(
+    """A limit is off unless given."""
+    rows = spark.range(10_001).select(
         F.lit("u").alias("uid"), F.lit("long").alias("tid"), F.col("id").cast("string").alias("mid"),
         F.lit("usr").alias("role"), F.lit("x").alias("body"), F.timestamp_seconds("id").alias("created_at"),
     )
     short = said(spark, "hello").select(*rows.columns)
-    good, bad = fx.grade_transcripts(rows.unionByName(short), scripted("'adult'"))
+    every = rows.unionByName(short)
+    assert fx.grade_transcripts(every, scripted("'adult'"))[0].count() == 2
+    good, bad = fx.grade_transcripts(every, scripted("'adult'"), 10_000)
     assert [(r.tid, r.grade) for r in good.collect()] == [("t", 11)]
     assert [(r.tid, r.reason) for r in bad.collect()] == [("long", "transcript too long for a request")]
 
@@ -147,7 +151,7 @@ def test_curriculum_of_a_sentence(spark):
     roots, _ = fx.extract_root(listed, scripted(f"'{itself}'"))
     nothing = poss.where("false")
     terms = listed.select(*fx.MESSAGE, F.posexplode("terms").alias("pos", "term"))
-    rows = fx.build_curriculum(terms, nothing, nothing, roots, poss, conju)
+    rows = tm.build_curriculum(terms, nothing, nothing, roots, poss, conju)
     got = {r.term: (r.part_of_speech, r.root, r.conju, r.defn) for r in rows.collect()}
     want = {k: (v, k, "plain" if v == "verb" else "", "") for k, v in kinds.items()}
     assert got == want
@@ -221,7 +225,8 @@ def test_a_client_gets_whole_long_talks(spark):
     assert grades.count() == 0 and [r.reason for r in bad.collect()] == ["grade not understood"]
     good, bad = fx.assess_skills(messages, header, backend)
     prompt = [("system", t.replace("{{LANGUAGE}}", "English")) for _, t in fx.SKILLS.prompt]
-    assert [r.assessment for r in good.collect()] == [sent(*talk, *prompt)] and bad.count() == 0
+    assert [r.assessment for r in good.collect()] == [sent(*prompt[:-4], *talk, *prompt[-4:])]
+    assert bad.count() == 0
 
     good, bad = fx.extract_topics(messages, header, backend)
     text = "\n".join(f"{r}: {b}" for r, b in lines_of(N_LONG))
@@ -284,7 +289,7 @@ def test_context_in_parts_is_the_talk_so_far(spark, monkeypatch):
     parts, one = asked(5), asked(100)
     assert parts["whole"] == one["whole"] == want
     assert len(set(parts["ids"])) == len(set(one["ids"])) == 12
-    # A talk within a part has the id of an ordinary request.
+    # What lies in the first part has the same id however talks are cut.
     assert len(set(parts["ids"]) & set(one["ids"])) == 3
 
 

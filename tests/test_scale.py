@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from convolytics.operators.messages import bounded_lists
 from convolytics.scale import ordered_parts, rank_rows
 
 
@@ -52,17 +51,6 @@ def test_ordered_parts_are_bounded_and_whole(skewed):
     assert len(hot) == -(-len(want) // 64)
 
 
-def test_bounded_lists_reject_long_groups(skewed):
-    fits, long = bounded_lists(
-        skewed.where("g is not null"), ["g"], [F.col("id")], F.col("id"), 30, "ids"
-    )
-    sizes = {r.g: r["count"] for r in skewed.where("g is not null").groupBy("g").count().collect()}
-    assert {r.g for r in long.collect()} == {g for g, n in sizes.items() if n > 30}
-    assert {r.g: len(r.ids) for r in fits.collect()} == {
-        g: n for g, n in sizes.items() if n <= 30
-    }
-
-
 def test_limits_run_before_the_shuffle(spark, skewed):
     from convolytics.operators.sessions import latest_acts
     from convolytics.operators.vocab import select_vocabulary
