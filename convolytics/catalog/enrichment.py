@@ -36,16 +36,21 @@ def scripted(expr: str):
 
 def scripted_talks(expr: str):
     """``scripted`` for requests in parts, from ``head`` (the first three messages), ``tail``
-    (the last text of the last part), ``n`` messages and ``chars`` of the last texts."""
+    (the last text of the last part), ``n`` messages and ``chars`` of the last texts; plain
+    requests are one part."""
 
     def answer(requests):
+        if "part" not in requests.columns:
+            requests = requests.withColumns({"part": F.lit(0), "n": F.size("messages")})
         seen = requests.groupBy("request_id", "part").agg(
+            F.first("effect").alias("effect"),
             F.first("n").alias("n"),
             F.first("params").alias("params"),
             F.first(F.slice("messages", 1, 3)).alias("head"),
             F.first(F.element_at("messages", -1)["content"]).alias("tail"),
         )
         asked = seen.groupBy("request_id").agg(
+            F.first("effect").alias("effect"),
             F.first("n").alias("n"),
             F.first("params").alias("params"),
             F.min_by("head", "part").alias("head"),

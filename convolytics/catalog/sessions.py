@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convolytics.catalog.common import hash_sql, messages, query, transcripts, with_terms
+from convolytics.catalog.common import epoch, hash_sql, messages, query, transcripts, with_terms
 from convolytics.catalog.talks import FINAL_CTE
 from convolytics.functions import dims
 from convolytics.operators import languages as lg
 from convolytics.operators import sessions as op
+from convolytics.operators.vocab import summarize_usages
 from convolytics.plans.session_end import end_sessions
 from convolytics.sources.views import raw, view, with_views
 
@@ -308,3 +312,90 @@ def t3(spark, d):
     )
     vocab = F.coalesce(F.array_join("vocab", ","), F.lit(""))
     return done["plans"].select("uid", "aid", "atp", "bcp47", "pid", vocab.alias("vocab"))
+
+
+def _ended(spark, d, **more):
+    from convolytics.catalog.vocabulary import uses
+
+    return end_sessions(
+        messages(spark, d),
+        transcripts(spark, d),
+        uses(spark, d).where(F.col("tid") % 2 == 0),
+        view(spark, d, "v_acts"),
+        view(spark, d, "v_users"),
+        _as_of(),
+        **more,
+    )
+
+
+@query(
+    "t3_session_ledger",
+    with_terms("v_transcripts") + ", " + FINAL_CTE + """ SELECT u.uid, u.bcp47, term, count(*) AS n_usgs,
+        min(at_epoch) AS first, max(at_epoch) AS last FROM v_uses u JOIN v_final f
+        ON u.uid = f.uid AND u.tid = f.tid WHERE f.status = 'final' OR u.tid % 2 = 0
+      GROUP BY u.uid, u.bcp47, term""",
+)
+def t3_ledger(spark, d):
+    """The ledger after a session: uses of finalised transcripts, and those it held before."""
+    df = summarize_usages(_ended(spark, d)["usages"])
+    return df.select("uid", "bcp47", "term", "n_usgs", epoch("first"), epoch("last"))
+
+
+#: What a model is made to say at the end of a session, by effect.
+END_REPLIES = f"""CASE effect
+    WHEN 'grade' THEN if(n % 7 = 3, 'none', array('{"', '".join(dims.SCALES["Grade"])}')[n % 15])
+    WHEN 'skills' THEN if(n % 2 = 0, 'even talk', 'odd talk')
+    WHEN 'split_skills' THEN if(tail = 'even talk', 'was even\\nbe odd', 'one line')
+    WHEN 'topics' THEN 'food, ' || if(contains(tail, '?'), 'questions', 'answers')
+    ELSE tail || n END"""
+
+
+@query(
+    "t3_session_effects",
+    with_views("v_messages", "v_transcripts") + ", " + FINAL_CTE + f""", f AS (
+        SELECT m.uid, m.tid, count(*) AS n, any_value(m.bcp47) AS bcp47,
+          bool_or(contains(body, '?') AND role IN ('usr', 'ast')) AS asks
+        FROM v_messages m JOIN v_final s ON s.uid = m.uid AND s.tid = m.tid AND s.status = 'final'
+        GROUP BY m.uid, m.tid),
+      v_out AS (
+        SELECT uid, tid, 'grades' AS output, CAST((n + 2) % 15 AS varchar) AS value FROM f
+          WHERE (n + 2) % 7 <> 3
+        UNION ALL SELECT uid, tid, 'reject grades', 'grade not understood' FROM f
+          WHERE (n + 2) % 7 = 3
+        UNION ALL SELECT uid, tid, 'skills', CASE WHEN n % 2 = 1 THEN 'even talk|was even|be odd'
+          ELSE 'odd talk||' END FROM f
+        UNION ALL SELECT uid, tid, 'reject skills', 'not two lines' FROM f WHERE n % 2 = 0
+        UNION ALL SELECT uid, tid, 'topics', 'food|' || CASE WHEN asks THEN 'questions'
+          ELSE 'answers' END FROM f
+        UNION ALL SELECT uid, tid, 'summaries', CASE WHEN bcp47 = 'en-US' THEN '' ELSE bcp47 || ' ' END
+          || 'Sum up the talk in 5 words.' || (n + 1) FROM f
+        UNION ALL SELECT uid, tid, 'status', status FROM v_final)
+      SELECT uid, tid, output, value FROM v_out""",
+)
+def t3_effects(spark, d):
+    """Status of all transcripts, and what models say about the finalised ones."""
+    from convolytics.catalog.enrichment import scripted_talks
+
+    def translator(asked):
+        return asked.withColumn("translated", F.concat("target", F.lit(" "), "text"))
+
+    nothing = spark.createDataFrame([], "text string, source string, target string, translated string")
+    out = _ended(
+        spark, d, backend=scripted_talks(END_REPLIES), memory=nothing, translator=translator
+    )
+    values = {
+        "grades": F.col("grade").cast("string"),
+        "skills": F.concat_ws(
+            "|", "assessment", F.coalesce("strengths", F.lit("")), F.coalesce("weaknesses", F.lit(""))
+        ),
+        "topics": F.array_join("topics", "|"),
+        "summaries": F.col("summary"),
+    }
+    rows = [
+        out[name].select("uid", "tid", F.lit(name).alias("output"), value.alias("value"))
+        for name, value in values.items()
+    ]
+    bad = out["effect_rejects"]
+    rows.append(bad.select("uid", "tid", F.concat(F.lit("reject "), "effect").alias("output"), F.col("reason").alias("value")))
+    rows.append(out["transcripts"].select("uid", "tid", F.lit("status").alias("output"), F.col("status").alias("value")))
+    return reduce(DataFrame.unionByName, rows)
