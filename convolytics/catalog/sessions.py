@@ -203,6 +203,21 @@ def j8(spark, d):
     return _names(spark, d)[0].select("doc_id", "name", "code")
 
 
+THREE = ["Bemba", "bem", "Magahi", "mag", "Tok Pisin", "tpi"]
+
+
+@query(
+    "j8_three_letters",
+    f"""SELECT doc_id, list_extract({THREE}, CAST(doc_id % 6 AS integer) + 1) AS name,
+        list_extract(['bem', 'mag', 'tpi'], CAST(doc_id % 6 AS integer) // 2 + 1) AS code FROM documents""",
+)
+def j8_three_letters(spark, d):
+    """Languages that have a code of three letters only, by name and by code."""
+    names = F.array(*[F.lit(n) for n in THREE])
+    docs = raw(spark, d, "documents").select("doc_id", F.get(names, (F.col("doc_id") % 6).cast("int")).alias("name"))
+    return lg.match_language(docs)[0].select("doc_id", "name", "code")
+
+
 @query(
     "j8_language_rejects",
     "SELECT doc_id, 'Ehnglarsh' AS name, 'unknown language' AS reason FROM documents "

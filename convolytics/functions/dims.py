@@ -72,18 +72,9 @@ OLD_COUNTRIES = {
     "BU": "MM", "DD": "DE", "FX": "FR", "SU": "RU", "TP": "TL", "UK": "GB", "YD": "YE", "ZR": "CD",
 }
 
-# Languages that have a code of three letters only (code, name, native name).
-THREE_LETTERS = [
-    ("ast", "Asturian", "asturianu"), ("bho", "Bhojpuri", "भोजपुरी"), ("brx", "Bodo", "बर’"),
-    ("ceb", "Cebuano", "Cebuano"), ("chr", "Cherokee", "ᏣᎳᎩ"), ("ckb", "Central Kurdish", "کوردیی ناوەندی"),
-    ("doi", "Dogri", "डोगरी"), ("dsb", "Lower Sorbian", "dolnoserbšćina"), ("fil", "Filipino", "Filipino"),
-    ("fur", "Friulian", "furlan"), ("gsw", "Swiss German", "Schwiizertüütsch"),
-    ("haw", "Hawaiian", "ʻŌlelo Hawaiʻi"), ("hmn", "Hmong", "Hmoob"), ("hsb", "Upper Sorbian", "hornjoserbšćina"),
-    ("kab", "Kabyle", "Taqbaylit"), ("kok", "Konkani", "कोंकणी"), ("mai", "Maithili", "मैथिली"),
-    ("mni", "Manipuri", "মৈতৈলোন্"), ("nds", "Low German", "Neddersass’sch"), ("pap", "Papiamento", "Papiamentu"),
-    ("sah", "Yakut", "саха тыла"), ("sat", "Santali", "ᱥᱟᱱᱛᱟᱲᱤ"), ("scn", "Sicilian", "sicilianu"),
-    ("sco", "Scots", "Scots"), ("war", "Waray", "Winaray"), ("yue", "Cantonese", "粵語"),
-]
+# Codes of three letters that name no language.
+NO_LANGUAGE = ("mis", "mul", "und", "zxx")
+ICU = "com.ibm.icu.util.ULocale"
 
 _KNOWN: dict[str, list] = {}
 
@@ -97,21 +88,41 @@ def countries(spark: SparkSession) -> list[str]:
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    """Languages with names: ISO 639-1 as the Java runtime knows them, and ``THREE_LETTERS``."""
+    """Languages with names: ISO 639-1, and those that have a code of three letters only."""
     if "languages" not in _KNOWN:
         locale = spark.sparkContext._jvm.java.util.Locale
         tags = [(code, locale.forLanguageTag(code)) for code in locale.getISOLanguages()]
-        _KNOWN["languages"] = [
+        short = [
             (code, tag.getISO3Language(), tag.getDisplayLanguage(locale.ENGLISH),
              tag.getDisplayLanguage(tag))
             for code, tag in tags
             if tag.getLanguage() == code  # leaves out withdrawn codes
-        ] + [(code, code, name, native) for code, name, native in THREE_LETTERS]
+        ]
+        taken = {c for row in short for c in (row[1], row[2])} | set(BIBLIOGRAPHIC) | set(NO_LANGUAGE)
+        _KNOWN["languages"] = short + [
+            (r.code, r.code, r.name, r.native)
+            for r in _long_codes(spark).collect()
+            if r.code not in taken and r.name not in taken
+        ]
     return spark.createDataFrame(
         _KNOWN["languages"], "code string, code3 string, name string, native string"
     )
 
 
+def _long_codes(spark: SparkSession) -> DataFrame:
+    """(code, name, native) of every code of three letters for which Spark's locale library has
+    an English name (about a thousand of 17,576)."""
+
+    def named(code: Column, language: Column) -> Column:
+        return F.java_method(F.lit(ICU), F.lit("getDisplayLanguage"), code, language)
+
+    letters = [F.char(F.lit(97) + F.floor(F.col("id") / n) % 26) for n in (676, 26, 1)]
+    codes = spark.range(26**3).select(F.concat(*letters).alias("code"))
+    known = codes.withColumn("name", named(F.col("code"), F.lit("en")))
+    known = known.where((F.col("name") != F.col("code")) & (F.col("name") != ""))
+    return known.withColumn("native", named(F.col("code"), F.col("code")))
+
+
 def short_codes(spark: SparkSession) -> dict[str, str]:
     """The code in use for withdrawn codes and for three letters where two will do."""
     languages(spark)

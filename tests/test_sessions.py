@@ -18,6 +18,14 @@ NAMES = {
 }
 
 
+def test_languages_without_a_short_code(spark):
+    names = {"bem": "bem", "Bemba": "bem", "mag": "mag", "Tok Pisin": "tpi", "eng": "en", "Serbian": "sr"}
+    df = spark.createDataFrame([(n,) for n in [*names, "mul", "qqq"]], "name string")
+    good, bad = lg.match_language(df)
+    assert {r.name: r.code for r in good.collect()} == names
+    assert sorted(r.name for r in bad.collect()) == ["mul", "qqq"]
+
+
 def test_language_names(spark):
     df = spark.createDataFrame([(n,) for n in [*NAMES, "Ehnglarsh"]], "name string")
     good, bad = lg.match_language(df)
