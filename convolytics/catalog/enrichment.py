@@ -550,13 +550,17 @@ TERM_OF = f"from_json({LAST}, 'struct<msg:string,term:string>').term"
         || '|x' || term AS synonyms FROM v_terms WHERE length(term) % 5 <> 0""",
 )
 def l18(spark, d):
+    df = _synonyms(spark, d)[0]
+    return df.select("tid", "mid", "term", F.array_join("synonyms", "|").alias("synonyms"))
+
+
+def _synonyms(spark, d):
     """Replies are a map, a bare list, or no JSON at all."""
     reply = """CASE WHEN length(x) % 5 = 0 THEN 'none'
       WHEN length(x) % 3 = 0 THEN '["bare", "x' || x || '"]'
       ELSE '{"' || x || '": ["' || x || '", "x' || x || '"]}' END"""
     rows = extract_terms(messages(spark, d).withColumn("text", F.col("body")), "text")
-    df, _ = fx.extract_synonyms(rows, scripted(given(TERM_OF, reply)))
-    return df.select("tid", "mid", "term", F.array_join("synonyms", "|").alias("synonyms"))
+    return fx.extract_synonyms(rows, scripted(given(TERM_OF, reply)))
 
 
 @query(
@@ -630,6 +634,61 @@ def l21_rejects(spark, d):
     return found.select("tid", "mid", "effect", "reason")
 
 
+NOT_OBJECT = "'reply is not a JSON object'"
+
+
+@query(
+    "l15_udefn_rejects",
+    with_terms() + COUNTS + f"SELECT tid, mid, {NOT_OBJECT} AS reason FROM v_counts WHERE n % 11 = 0",
+)
+def l15_rejects(spark, d):
+    return fx.extract_udefn(listed(spark, d), scripted(ODD_REPLIES))[1].select("tid", "mid", "reason")
+
+
+@query(
+    "l16_root_rejects",
+    with_terms() + COUNTS
+    + "SELECT tid, mid, 'number of terms differs' AS reason FROM v_counts WHERE size % 4 = 0",
+)
+def l16_rejects(spark, d):
+    return fx.extract_root(listed(spark, d), scripted(ODD_REPLIES))[1].select("tid", "mid", "reason")
+
+
+@query(
+    "l17_conjugation_rejects",
+    with_terms() + COUNTS + f"""SELECT tid, mid, {NOT_OBJECT} AS reason FROM v_counts
+      WHERE n % 5 <> 0 AND verbs > 0 AND verbs % 2 = 0""",
+)
+def l17_rejects(spark, d):
+    df = listed(spark, d)
+    poss, _ = fx.extract_pos(df, scripted(ODD_REPLIES))
+    return fx.extract_conjugation(df, poss, scripted(ODD_REPLIES))[1].select("tid", "mid", "reason")
+
+
+@query(
+    "l18_synonym_rejects",
+    with_terms() + """ SELECT tid, mid, term, 'no list of synonyms' AS reason FROM v_terms
+      WHERE length(term) % 5 = 0""",
+)
+def l18_rejects(spark, d):
+    return _synonyms(spark, d)[1].select("tid", "mid", "term", "reason")
+
+
+@query(
+    "l19_detail_rejects",
+    with_terms() + """ SELECT DISTINCT term, bcp47, 'no recorded completion' AS reason FROM v_terms
+      WHERE length(term) % 2 = 0""",
+)
+def l19_rejects(spark, d):
+    """Requests about half of the terms were never recorded."""
+
+    def answer(requests):
+        even = f"length(regexp_extract({FIRST}, '\"(.*)\"', 1)) % 2 = 0"
+        return scripted(FIRST)(requests.where(f"NOT ({even})"))
+
+    return fx.extract_detail(extract_terms(messages(spark, d)), answer)[1]
+
+
 TOKENS = """, v_tokens AS (SELECT term, unnest([length(term), 100 + strlen(term), 200 + max(pos)]) AS token
     FROM v_terms GROUP BY term)"""
 
