@@ -146,26 +146,34 @@ def pair_rows(batches):
     gives the same word, which then counts once.
     """
     for batch in batches:
-        columns = [batch.column(c) for c in ("word", "id", "n", "prefixes", "nodes")]
-        for word, key, n, prefixes, suffixes in zip(*columns, strict=True):
-            codes = _codes(word.as_py())
-            p = prefixes.values.to_numpy(zero_copy_only=False)
-            s = suffixes.values.to_numpy(zero_copy_only=False)[::-1]
-            size = len(codes)
-            first = np.ones(size, bool)
-            first[1:] = codes[1:] != codes[:-1]
-            rows = 2 * size + 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([p[:-1], p])),
-                    pa.array(np.concatenate([s[1:], s])),
-                    pa.repeat(key, rows),
-                    pa.repeat(n, rows),
-                    pa.array(np.arange(rows) < size),
-                    pa.array(np.append(first, np.zeros(size + 1, bool))),
-                ],
-                ["p", "s", "id", "n", "skip", "first"],
-            )
+        columns = {c: batch.column(c) for c in ("id", "n", "prefixes", "nodes")}
+        p = columns["prefixes"].flatten().to_numpy(zero_copy_only=False)
+        nodes = columns["nodes"].flatten().to_numpy(zero_copy_only=False)
+        sizes = columns["nodes"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(sizes):
+            continue
+        # Row r stands for place i of word w, which has sizes[w] - 1 letters.
+        w = np.repeat(np.arange(len(sizes)), sizes)
+        begin = np.cumsum(sizes) - sizes
+        i = np.arange(len(w)) - begin[w]
+        rest = begin[w] + sizes[w] - 1 - i
+        inner = np.flatnonzero(i < sizes[w] - 1)
+        codes = _codes("".join(batch.column("word").to_pylist()))
+        first = np.ones(len(codes), bool)
+        first[1:] = codes[1:] != codes[:-1]
+        first |= i[inner] == 0
+        both = np.concatenate([w[inner], w])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([p[inner], p])),
+                pa.array(np.concatenate([nodes[rest[inner] - 1], nodes[rest]])),
+                columns["id"].take(pa.array(both)),
+                columns["n"].take(pa.array(both)),
+                pa.array(np.arange(len(both)) < len(inner)),
+                pa.array(np.concatenate([first, np.zeros(len(w), bool)])),
+            ],
+            ["p", "s", "id", "n", "skip", "first"],
+        )
 
 
 def near(table: DataFrame) -> DataFrame:
