@@ -42,6 +42,7 @@ COUNT_FRAGMENTS = 8
 GROWTH = 1.5
 #: Longs in the sketch of a text that is in a candidate pair (2048 bits).
 WIDE = 32
+WIDE_COLUMNS = [f"w{i}" for i in range(WIDE)]
 #: The spanning tree of a larger group is made of blocks; the second pass covers the rest.
 BLOCK = 2048
 SKETCH = ["s0", "s1", "s2", "s3"]
@@ -305,6 +306,21 @@ def wide_rows(n: int):
     return run
 
 
+def wide_columns(n: int):
+    """``wide_rows`` with the sketch in columns w0, w1, ..., for use in a join's condition."""
+    rows = wide_rows(n)
+
+    def run(batches):
+        for batch in rows(batches):
+            flat = batch.column(2).values.to_numpy().reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(flat[:, i].copy()) for i in range(WIDE)]],
+                ["node", *WIDE_COLUMNS],
+            )
+
+    return run
+
+
 def gram_rows(n: int):
     """Map (doc_id, text) to (node, grams): one sorted list per counting fragment."""
 
@@ -411,7 +427,7 @@ def linked(documents: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
     )
     links = keep(verified(keep(tree, "jaccard-tree"), texts, n, percent), "jaccard-links")
     found = keep(components(links), "jaccard-found")
-    across = keep(_across(members, found, percent), "jaccard-across")
+    across = keep(_across(members, found, texts, n, percent), "jaccard-across")
     more = verified(across, texts, n, percent)
     # A class is tied to all its rows, so that repeated ids meet as well.
     own = owner.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
@@ -465,11 +481,22 @@ def known_ids(documents: DataFrame) -> DataFrame:
     return documents.select(documents["doc_id"].cast("long").alias("_id")).where("_id is not null")
 
 
-def _across(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _far(columns: list[str]) -> F.Column:
+    """In how many bits two sketches differ, one in ``columns``, one in ``l_`` columns."""
+    return reduce(
+        lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"l_{c}"))) for c in columns]
+    )
+
+
+def _across(
+    members: DataFrame, found: DataFrame, texts: DataFrame, n: int, percent: int
+) -> DataFrame:
     """Candidate pairs whose ends lie in different components.
 
     In each group the rows outside its largest component meet all rows, so that a group
     that is one component but for a few rows costs no more than these rows times the group.
+    Rows of such groups have wide sketches here: what leaves the join are pairs that these let
+    through as well, nearly all of them links, and not all pairs of a group of near misses.
     """
     comp = members.join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
@@ -482,19 +509,22 @@ def _across(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         .select("sig", F.col("top.component").alias("largest"))
     )
     comp = keep(comp.join(mixed, "sig"), "jaccard-mixed")
+    nodes = comp.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    schema = ", ".join(["node long", *[f"{c} long" for c in WIDE_COLUMNS]])
+    wide = _texts_of(nodes, texts).mapInArrow(wide_columns(n), schema)
+    comp = keep(comp.join(wide.dropDuplicates(["node"]), "node"), "jaccard-sketched")
     left = comp.where("component <> largest").withColumnsRenamed(
-        {c: f"l_{c}" for c in ["node", "n", "component", *SKETCH]}
+        {c: f"l_{c}" for c in ["node", "n", "component", *SKETCH, *WIDE_COLUMNS]}
     ).drop("largest")
-    far = reduce(
-        lambda x, y: x + y, [F.bit_count(F.col(s).bitwiseXOR(F.col(f"l_{s}"))) for s in SKETCH]
-    )
     small, large = F.least("n", "l_n"), F.greatest("n", "l_n")
+    allowed = (small + large) * (100 - percent)
     once = (F.col("component") == F.col("largest")) | (F.col("node") < F.col("l_node"))
     pair = (
         (F.col("component") != F.col("l_component"))
         & once
         & (100 * small >= percent * large)
-        & (far * (100 + percent) <= (small + large) * (100 - percent))
+        & (_far(SKETCH) * (100 + percent) <= allowed)
+        & (_far(WIDE_COLUMNS) * (100 + percent) <= allowed)
     )
     right = comp.withColumnRenamed("sig", "r_sig")
     return (
