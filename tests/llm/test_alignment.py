@@ -108,6 +108,18 @@ def test_all_columns(spark):
     assert total(parts) == total([whole])
 
 
+def test_rank_encoder_gives_the_ids_of_the_library():
+    """Every code point after a letter, before one, twice, and by a digit; long runs."""
+    a, _ = alignment.sides(A, B)
+    library = Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"a{c}b {c}{c}1{c}. " for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    texts += [" " * 100_000, "x" * 100_000, "ab" * 50_000 + "\n" * 5000, "<|endoftext|>"]
+    want = library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+    assert a.encode(texts) == [e.ids for e in want]
+
+
 def test_odd_rows(docs, empty):
     assert result(docs) == sorted(brute(docs.collect()), key=repr)
     assert result(empty) == []
