@@ -99,8 +99,14 @@ def languages(spark: SparkSession) -> DataFrame:
             if tag.getLanguage() == code  # leaves out withdrawn codes
         ]
         taken = {c for row in short for c in (row[1], row[2])} | set(BIBLIOGRAPHIC) | set(NO_LANGUAGE)
+        here = {tag.getLanguage() for tag in locale.getAvailableLocales()}
+
+        def native(code: str) -> str:
+            tag = locale.forLanguageTag(code)
+            return tag.getDisplayLanguage(tag) if code in here else ""
+
         _KNOWN["languages"] = short + [
-            (r.code, r.code, r.name, r.native)
+            (r.code, r.code, r.name, native(r.code))
             for r in _long_codes(spark).collect()
             if r.code not in taken and r.name not in taken
         ]
@@ -110,17 +116,14 @@ def languages(spark: SparkSession) -> DataFrame:
 
 
 def _long_codes(spark: SparkSession) -> DataFrame:
-    """(code, name, native) of every code of three letters for which Spark's locale library has
-    an English name (about a thousand of 17,576)."""
-
-    def named(code: Column, language: Column) -> Column:
-        return F.java_method(F.lit(ICU), F.lit("getDisplayLanguage"), code, language)
-
+    """(code, name) of every code of three letters for which Spark's locale library has an
+    English name (about nine hundred of 17,576)."""
     letters = [F.char(F.lit(97) + F.floor(F.col("id") / n) % 26) for n in (676, 26, 1)]
     codes = spark.range(26**3).select(F.concat(*letters).alias("code"))
-    known = codes.withColumn("name", named(F.col("code"), F.lit("en")))
-    known = known.where((F.col("name") != F.col("code")) & (F.col("name") != ""))
-    return known.withColumn("native", named(F.col("code"), F.col("code")))
+    name = F.java_method(F.lit(ICU), F.lit("getDisplayLanguage"), F.col("code"), F.lit("en"))
+    # Computed once: a filter on a plain column would look every name up again.
+    known = codes.select("code", F.inline(F.array(F.struct(name.alias("name")))))
+    return known.where((F.col("name") != F.col("code")) & (F.col("name") != ""))
 
 
 def short_codes(spark: SparkSession) -> dict[str, str]:

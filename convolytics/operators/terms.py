@@ -295,12 +295,18 @@ def _marks(df: DataFrame, text: str, as_: str, min_ratio: float) -> DataFrame:
     return with_marks.withColumn(f"{as_}_first", F.slice(f"{as_}_marks", F.lit(1), n - need + 1))
 
 
+def _marked(df: DataFrame, text: str, as_: str, min_ratio: float) -> DataFrame:
+    """``_marks`` of every row, computed once for each distinct text."""
+    words = renamed(_marks(df.select(text).distinct(), text, as_, min_ratio), [text])
+    return df.join(words, same_words(df, words, [text])).drop(f"r_{text}")
+
+
 def _candidates(
     asked: DataFrame, given: DataFrame, keys: Sequence[str], min_ratio: float
 ) -> DataFrame:
     """Pairs of ``term`` and ``reply_term`` that may reach the ratio, each once."""
-    a = _marks(asked, "term", "a", min_ratio).withColumn("_mark", F.explode("a_first"))
-    b = _marks(given, "reply_term", "b", min_ratio).withColumn("_mark", F.explode("b_first"))
+    a = _marked(asked, "term", "a", min_ratio).withColumn("_mark", F.explode("a_first"))
+    b = _marked(given, "reply_term", "b", min_ratio).withColumn("_mark", F.explode("b_first"))
     la, lb = F.length("term"), F.length("reply_term")
     floor = F.lit(min_ratio) * (la + lb) - F.lit(1e-9)
     pairs = a.join(b, [*keys, "_mark"]).where(2 * F.least(la, lb) >= floor)
@@ -331,8 +337,10 @@ def soft_match(
     both = asked.withColumn("reply_term", F.lit(None).cast("string")).unionByName(
         given.withColumn("term", F.lit(None).cast("string"))
     )
-    words = both.groupBy(*keys, F.lower(F.coalesce("term", "reply_term")).alias("_low")).agg(
-        F.collect_set("term").alias("_terms"), F.collect_set("reply_term").alias("_replies")
+    words = cut(
+        both.groupBy(*keys, F.lower(F.coalesce("term", "reply_term")).alias("_low"))
+        .agg(F.collect_set("term").alias("_terms"), F.collect_set("reply_term").alias("_replies"))
+        .drop("_low")
     )
     no_term, no_reply = F.size("_terms") == 0, F.size("_replies") == 0
     exact = words.where(~no_term & ~no_reply).select(
