@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,22 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tidy(run):
+    """``run``, a map over Arrow batches; the worker gives its freed memory back at the end.
+
+    Workers are used again by later tasks, also by those of other steps, so that what one step
+    needed for a moment would count for all that follow.
+    """
+
+    def mapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return mapped
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

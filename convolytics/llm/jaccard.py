@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolytics.llm import words as W
-from convolytics.llm.common import components, keep, sized, text_column
+from convolytics.llm.common import components, keep, sized, text_column, tidy
 
 NGRAM = 4
 PERCENT = 85
@@ -95,7 +95,7 @@ def _profiles(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids, bytes, offsets) of slices of a batch of (doc_id, text)."""
     data, offsets = W.utf8(batch.column(1))
-    for low, high in W.slices(offsets):
+    for low, high in W.slices(offsets, W.SLICE_BYTES // 2):
         ids = batch.column(0).slice(low, high - low)
         yield ids, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
 
@@ -120,7 +120,7 @@ def profile_rows(n: int):
                     ["doc_id", "n", "cls", *SKETCH],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _allowed(total: np.ndarray, percent: int) -> np.ndarray:
@@ -204,7 +204,7 @@ def segment_rows(n: int, percent: int):
                     [pa.array(sig.view(np.int64)), ids.take(pa.array(row))], ["sig", "doc_id"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def _near(n, m, sketch, other, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +278,7 @@ def tree_rows(percent: int):
         if found:
             yield _pairs(found)
 
-    return run
+    return tidy(run)
 
 
 def _pairs(found) -> pa.RecordBatch:
@@ -303,7 +303,7 @@ def wide_rows(n: int):
                 lists = pa.ListArray.from_arrays(flat, pa.array(wide.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), lists], ["node", "n", "wide"])
 
-    return run
+    return tidy(run)
 
 
 def wide_columns(n: int):
@@ -318,7 +318,7 @@ def wide_columns(n: int):
                 ["node", *WIDE_COLUMNS],
             )
 
-    return run
+    return tidy(run)
 
 
 def gram_rows(n: int):
@@ -338,7 +338,7 @@ def gram_rows(n: int):
                     [ids, pa.ListArray.from_arrays(outer, lists)], ["node", "grams"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:

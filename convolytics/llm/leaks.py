@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolytics.llm import words as W
-from convolytics.llm.common import keep, text_column
+from convolytics.llm.common import keep, text_column, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -248,7 +248,7 @@ def leak_rows(items: list[tuple[int, str]]):
         for batch in batches:
             data, offsets = W.utf8(batch.column(1))
             ids = batch.column(0)
-            for low, high in W.slices(offsets, W.SLICE_BYTES // 2):
+            for low, high in W.slices(offsets, W.SLICE_BYTES // 4):
                 part = data[offsets[low] : offsets[high]]
                 starts, ends, rows = W.words(part, offsets[low : high + 1] - offsets[low])
                 hashes = W.span_hashes(W.BYTE[part], starts, ends)
@@ -263,7 +263,7 @@ def leak_rows(items: list[tuple[int, str]]):
                         ["doc_id", "item_id", "start", "end", "similarity"],
                     )
 
-    return run
+    return tidy(run)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
