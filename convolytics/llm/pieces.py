@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolytics.llm import words as W
-from convolytics.llm.common import text_column
+from convolytics.llm.common import text_column, tidy
 
 BLANK = "▁"
 #: Piece types in the model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units kept in a worker; a full table starts anew (with those of the texts at hand).
-CACHE = 600_000
+CACHE = 200_000
 
 
 def _fields(body: bytes):
@@ -488,7 +488,7 @@ def units_of(path: str) -> Units:
 def encoded(path: str, batch: pa.RecordBatch):
     """(ids of rows, Encoded) for slices of a batch of (doc_id, text)."""
     _, offsets = W.utf8(batch.column(1))
-    for low, high in W.slices(offsets):
+    for low, high in W.slices(offsets, W.SLICE_BYTES // 2):
         texts = batch.column(1).slice(low, high - low).to_pylist()
         yield batch.column(0).slice(low, high - low), Encoded(units_of(path), [t or "" for t in texts])
 
@@ -507,7 +507,7 @@ def encode_rows(path: str):
                     ["doc_id", "ids", "starts", "ends", "decoded"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _sha(text: str) -> str:
@@ -529,7 +529,7 @@ def digest_rows(path: str):
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "source_bytes"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _texts(documents: DataFrame) -> DataFrame:
