@@ -50,11 +50,20 @@ MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", needs="gh"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", needs="xox"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", needs="AIza"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs="eyJ"),
-    Rule("login_url", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@", needs="://"),
+    # A match begins where a run of its characters does, so that a long run is looked at once.
+    Rule(
+        "jwt",
+        r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+        needs="eyJ",
+    ),
+    Rule(
+        "login_url",
+        r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s/:@]++:[^\s/:@]++@",
+        needs="://",
+    ),
 )
 RULES = BASE + MORE
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 LEDGER = f"blob string, rule_version string, spans array<{SPAN}>"
 #: Sums run over blocks of so many lengths, so that n matches cost n * BLOCK steps at most.

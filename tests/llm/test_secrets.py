@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import tables
 
@@ -51,6 +52,19 @@ def test_digests(spark):
         assert starts == sorted(starts)
 
 
+def test_long_runs(spark):
+    """A million letters without a break, alone and before what rules look for, take seconds."""
+    runs = ["a" * 1_000_000, "eyJ" * 300_000 + ".", "x" * 500_000 + "://", "ghp_" * 200_000, "xoxb-" * 3]
+    texts = [f"{r} {end}" for r in runs for end in ("", "https://u:p@h", "token=abcdefgh")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    begin = time.monotonic()
+    got = {r.doc_id: r for r in secrets.digests(docs).collect()}
+    assert time.monotonic() - begin < 60
+    for i, text in enumerate(texts):
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256] == base(text)
+        assert ("login_url" in got[i].spans) == text.endswith("@h")
+
+
 def test_ledger(spark):
     """Only unseen pairs of blob and rule version are scanned; every path gets its findings."""
     first = spark.createDataFrame(
@@ -67,7 +81,7 @@ def test_ledger(spark):
     assert grown.count() == 3  # only "nothing" was new
     rows = {(r.path, r.version): len(r.spans) for r in found.collect()}
     assert rows == {("a", 2): 0, ("d", 1): 1, (None, 1): 0} and found.count() == 4
-    _, again = secrets.scan(then, grown, rule_version="2", paths=["path"])
+    _, again = secrets.scan(then, grown, rule_version="next", paths=["path"])
     assert again.count() == 6
     seen = secrets.scanned(then, grown)
     assert seen.count() == 0
