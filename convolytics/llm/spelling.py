@@ -11,7 +11,7 @@ Two words that share a skip pair differ by one replaced code point. A skip pair
 split pair joins a word to the word that it becomes without that code point. Pairs of integers
 are equal only where the strings are, so neighbours are exact and nothing is verified again.
 
-Nodes are numbered in tasks: words that agree in their first three code points meet in one
+Nodes are numbered in tasks: words that agree in their first ``SHARED`` code points meet in one
 task in sorted order, where a node is new if it lies beyond what a word shares with the one
 before; shallower nodes have numbers of their own that follow from their code points. A task
 holds one word and its node numbers, however long words are.
@@ -40,8 +40,8 @@ LEAST_COUNT = 2
 TIMES = 10
 #: One run in so many loses a code point (see ``words``).
 DROPPED = 31
-#: Words that agree in so many code points are numbered by one task.
-SHARED = 3
+#: Words that agree in so many code points are numbered by one task (fewer than LEAST_LENGTH).
+SHARED = 5
 
 
 def words(documents: DataFrame) -> DataFrame:
@@ -79,11 +79,10 @@ def _codes(word: str) -> np.ndarray:
 
 
 def _shallow(codes: np.ndarray) -> list[int]:
-    """Numbers of the nodes of depth 0 .. SHARED - 1: they follow from the code points."""
-    out, key = [0], 0
-    for depth in range(1, SHARED):
-        key = (key << 16 | int(codes[depth - 1])) + depth
-        out.append(key)
+    """Numbers of the nodes of depth 0 .. SHARED - 1: their letters, a byte each, after a one."""
+    out = [1]
+    for code in codes[: SHARED - 1].tolist():
+        out.append(out[-1] << 8 | code)
     return out
 
 
