@@ -307,3 +307,17 @@ def test_terms_asked_about_bias_the_request(spark):
 
             effect(listed, answer, given)
             assert sorted(seen, key=lambda b: len(b or {})) == want
+
+
+def test_scripted_replies_leave_messages_out_of_the_shuffle(spark):
+    from convolytics.catalog.enrichment import LAST, scripted
+
+    df = said(spark, "a", "b", "a").withColumn("chat", F.array(F.struct("role", "body")))
+    built, _ = rq.build_requests(df, rq.Effect("x"), fx.MESSAGE)
+    done = scripted(f"concat('r ', {LAST})")(built)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "first(messages" not in plan and "min(reply" in plan
+    got = [r.choices[0].content for r in done.collect()]
+    assert sorted(got) == ["r a", "r b"]
+    parts = built.withColumns({"part": F.lit(0), "n": F.lit(1), "last": F.col("body") == "a"})
+    assert [r.choices[0].content for r in scripted(LAST)(parts).collect()] == ["a"]
