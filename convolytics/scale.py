@@ -4,7 +4,7 @@ A window or a collected list puts a whole group into one task. The helpers here
 first look at the largest group (one aggregated row comes back). Usual groups take
 a plain window. The rows of larger groups are range-partitioned by key and order,
 so that a group spans as many tasks as it needs, and positions are put together
-from counts per task.
+from counts per task. Where larger groups are many, all rows are placed that way.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convolytics.session import cut
 
 ROWS_PER_TASK = 2_000_000
-#: Up to so many keys of hot groups are broadcast; more are joined.
+#: Up to so many keys of hot groups are broadcast; with more, all rows go the hot groups' way.
 MAX_BROADCAST_KEYS = 10_000
 
 
@@ -46,20 +46,33 @@ def rank_rows(
     plain = Window.partitionBy(*keys).orderBy(*order)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     over = F.col("_n") > rows_per_task
-    top = sizes.agg(F.count_if(over).alias("groups"), F.sum(F.when(over, F.col("_n"))).alias("rows"))
-    groups, rows = top.first()
+    top = sizes.agg(
+        F.count_if(over).alias("groups"),
+        F.sum(F.when(over, F.col("_n"))).alias("rows"),
+        F.sum("_n").alias("every"),
+    )
+    groups, rows, every = top.first()
     if not groups:
         return df.withColumn(name, (F.row_number().over(plain) - 1).cast("long"))
+    if groups > MAX_BROADCAST_KEYS:
+        return _rank_hot(df, keys, order, name, _ranges(df.sparkSession, every, rows_per_task))
 
-    hot = renamed(sizes.where(over).select(*keys), keys)
-    hot = F.broadcast(hot) if groups <= MAX_BROADCAST_KEYS else hot
+    hot = F.broadcast(renamed(sizes.where(over).select(*keys), keys))
     cold_rows = df.join(hot, same_keys(df, hot, keys), "left_anti")
     hot_rows = df.join(hot, same_keys(df, hot, keys), "left_semi")
     cold_rows = cold_rows.withColumn(name, (F.row_number().over(plain) - 1).cast("long"))
-    tasks = max(2, -(-rows // rows_per_task))
+    tasks = _ranges(df.sparkSession, rows, rows_per_task)
     return cold_rows.unionByName(_rank_hot(hot_rows, keys, order, name, tasks))
 
 
+def _ranges(spark: SparkSession, rows: int, rows_per_task: int) -> int:
+    """Ranges of ``rows_per_task`` rows, but no more than the session's shuffle partitions
+    unless they would be larger than ``ROWS_PER_TASK``: a small limit makes no tiny tasks."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(usual, -(-rows // ROWS_PER_TASK))
+    return max(2, min(-(-rows // rows_per_task), most))
+
+
 def _rank_hot(df, keys, order, name, tasks):
     placed = cut(
         df.repartitionByRange(tasks, *keys, *order).withColumn("_task", F.spark_partition_id())

@@ -67,3 +67,23 @@ def test_limits_run_before_the_shuffle(spark, skewed):
     for df in (latest_acts(acts), select_vocabulary(ledger)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_small_limits_make_no_tiny_ranges(spark):
+    from convolytics.scale import ROWS_PER_TASK, _ranges
+
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert _ranges(spark, 1_000_000, 20) == usual
+    assert _ranges(spark, 3, 20) == 2
+    assert _ranges(spark, 1000 * usual * ROWS_PER_TASK, 20) == 1000 * usual
+
+
+def test_many_hot_groups_are_placed_together(skewed, monkeypatch):
+    from convolytics import scale
+
+    order = [F.col("t"), F.col("id")]
+    want = skewed.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(*order)) - 1)
+    monkeypatch.setattr(scale, "MAX_BROADCAST_KEYS", 1)
+    got = rank_rows(skewed, ["g"], order, "rn", 7)
+    assert "Anti" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.rn) for r in got.collect()} == {(r.id, r.rn) for r in want.collect()}
