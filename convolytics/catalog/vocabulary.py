@@ -9,6 +9,7 @@ from convolytics.operators import messages as ms
 from convolytics.operators import terms as tm
 from convolytics.operators import vocab as op
 from convolytics.plans.next_vocabulary import next_vocabulary
+from convolytics.session import cut
 from convolytics.sources.views import view, with_views
 
 FLAGS = with_views("v_usage_flags")
@@ -320,7 +321,7 @@ def j10(spark, d):
     The nearest reply is then the term's own: it shares all n characters, 2n / (2n + 1),
     and any other lacks one of them at least.
     """
-    rows = terms(spark, d).select("uid", "tid", "mid", "term")
+    rows = cut(terms(spark, d).select("uid", "tid", "mid", "term"))
     case = F.translate("term", "aeinrst", "AEINRST")
     spelled = F.when(F.length("term") % 3 == 0, case).otherwise(F.concat("term", F.lit("#")))
     found = tm.soft_match(rows, rows.withColumn("term", spelled), 0.8)
@@ -365,6 +366,6 @@ _SLIP = """CASE length(term) % 3 WHEN 0 THEN substr(term, 2, 1) || substr(term,
 )
 def j10_slips(spark, d):
     """Replies with transposed, doubled and missing letters; each takes its best partner."""
-    rows = terms(spark, d).where("length(term) > 3").select("uid", "tid", "mid", F.lower("term").alias("term"))
+    rows = cut(terms(spark, d).where("length(term) > 3").select("uid", "tid", "mid", F.lower("term").alias("term")))
     found = tm.soft_match(rows, rows.withColumn("term", F.expr(_SLIP)), 0.8)
     return found.withColumn("ratio", F.round("ratio", 9))

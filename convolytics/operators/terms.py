@@ -7,11 +7,11 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convolytics.functions.scalars import let
+from convolytics.functions.scalars import let, once
 from convolytics.scale import renamed
 from convolytics.scale import same_keys as same_words
 from convolytics.session import cut
@@ -21,6 +21,8 @@ MID = ["uid", "tid", "mid"]
 COMMON_LETTERS = "enitrasohludcmgpbfvwkzyjxq"
 #: Texts up to this length are compared in the JVM.
 LONGEST = 64
+#: Up to so many words of a message all meet; in longer ones, those that share a mark.
+MANY_WORDS = 2_000
 SIZE_DIFFERS = "number of terms differs"
 
 
@@ -246,6 +248,17 @@ def block_ratio(a: Column, b: Column, min_ratio: float = 0.0) -> Column:
     return F.when(some, F.try_divide(2 * F.when(some, done), total)).otherwise(F.lit(0.0))
 
 
+def within_ratio() -> Column:
+    """The ratio of words of which one stands in the other, else NULL.
+
+    It is their longest common block, and nothing is left of it.
+    """
+    la, lb = F.length("term"), F.length("reply_term")
+    within = F.contains(F.col("term"), F.col("reply_term")) | F.contains(F.col("reply_term"), F.col("term"))
+    word = F.greatest(la, lb) <= LONGEST
+    return F.when(word & within, F.try_divide(2 * F.least(la, lb), la + lb))
+
+
 @F.pandas_udf(T.DoubleType())
 def _long_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     pairs = zip(a, b, strict=True)
@@ -255,13 +268,12 @@ def _long_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def rated(pairs: DataFrame, min_ratio: float) -> DataFrame:
     """``pairs`` (term, reply_term) with ``ratio``, those of at least ``min_ratio``.
 
-    Words stay in the JVM. A text of more than ``LONGEST`` characters is no word: such pairs go
+    Each pair is scored once: the filter on a plain column would go below the ``distinct`` of the
+    pairs and score them all. Words stay in the JVM. A text of more than ``LONGEST`` characters is no word: such pairs go
     to Python, where the search for blocks takes the product of the lengths and not more.
     """
     word = (F.length("term") <= LONGEST) & (F.length("reply_term") <= LONGEST)
-    short = pairs.where(word).withColumn(
-        "ratio", block_ratio(F.col("term"), F.col("reply_term"), min_ratio)
-    )
+    short = once(pairs.where(word), ratio=block_ratio(F.col("term"), F.col("reply_term"), min_ratio))
     long = pairs.where(~word).withColumn("ratio", _long_ratio.asNondeterministic()("term", "reply_term"))
     return short.unionByName(long).where(F.col("ratio") >= min_ratio)
 
@@ -301,19 +313,109 @@ def _marked(df: DataFrame, text: str, as_: str, min_ratio: float) -> DataFrame:
     return df.join(words, same_words(df, words, [text])).drop(f"r_{text}")
 
 
-def _candidates(
-    asked: DataFrame, given: DataFrame, keys: Sequence[str], min_ratio: float
-) -> DataFrame:
-    """Pairs of ``term`` and ``reply_term`` that may reach the ratio, each once."""
-    a = _marked(asked, "term", "a", min_ratio).withColumn("_mark", F.explode("a_first"))
-    b = _marked(given, "reply_term", "b", min_ratio).withColumn("_mark", F.explode("b_first"))
-    la, lb = F.length("term"), F.length("reply_term")
-    floor = F.lit(min_ratio) * (la + lb) - F.lit(1e-9)
-    pairs = a.join(b, [*keys, "_mark"]).where(2 * F.least(la, lb) >= floor)
+def _letters(text: str) -> Column:
+    """64 bits of a text: one for each character, another one for a character that comes again.
+
+    A bit that only one of two texts has stands for a character that the other one lacks.
+    """
+    whole = F.col(text)
+
+    def bit(c: Column, i: Column) -> Column:
+        again = F.when(F.position(c, whole) <= i, F.lit(32)).otherwise(F.lit(0))
+        place = (F.ascii(c) + again).bitwiseAND(F.lit(63))
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+    bits = F.transform(F.split(whole, ""), bit)
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda all_, b: all_.bitwiseOR(b))
+
+
+def _lengths(min_ratio: float) -> tuple[Column, Column]:
+    """Length of both words of a pair together, and twice the characters that must match."""
+    both = F.col("a_n") + F.col("b_n")
+    return both, F.lit(min_ratio) * both - F.lit(1e-9)
+
+
+def _hopeful(min_ratio: float) -> Column:
+    """Whether a pair may reach the ratio, by lengths and ``_letters``: numbers, no texts."""
+    _, floor = _lengths(min_ratio)
+    lacks = [
+        2 * (F.col(n) - F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))) >= floor
+        for n, x, y in (("a_n", "a_bits", "b_bits"), ("b_n", "b_bits", "a_bits"))
+    ]
+    return (2 * F.least("a_n", "b_n") >= floor) & lacks[0] & lacks[1]
+
+
+def _checked(pairs: DataFrame, min_ratio: float) -> DataFrame:
+    """Pairs that are equal but for the case (``exact``), or near enough by edit distance.
+
+    What matches stands in both texts in order, so that all else can be deleted and inserted:
+    the distance is no more than the number of characters that do not match.
+    """
+    both, floor = _lengths(min_ratio)
+    most = F.floor(both - floor).cast("int")
+    near = F.call_function("levenshtein", F.col("term"), F.col("reply_term"), most) >= 0
+    exact = F.lower("term") == F.lower("reply_term")
+    # As columns of their own, or the texts would be read for each pair that is met.
+    return once(pairs, exact=exact, _near=exact | near).where("_near")
+
+
+def _left_over(pairs: DataFrame) -> DataFrame:
+    """Pairs without those of a reply that is some term of its message, but for the case."""
+    taken = F.max("exact").over(Window.partitionBy("_k", F.lower("reply_term")))
+    found = pairs.select("_k", "term", "reply_term", "exact", taken.alias("_taken"))
+    return found.where(F.col("exact") | ~F.col("_taken")).drop("_taken")
+
+
+def _all_met(words: DataFrame, min_ratio: float) -> DataFrame:
+    """Pairs equal but for the case (``exact``) or that may reach the ratio, each once.
+
+    All words of a message meet in the task that holds the message.
+    """
+    a, b = _sides(words.repartition("_k"))
+    met = a.join(b, "_k").where((F.col("a_same") == F.col("b_same")) | _hopeful(min_ratio))
+    return _left_over(_checked(met, min_ratio))
+
+
+def _sides(words: DataFrame) -> list[DataFrame]:
+    """Distinct terms and replies of messages, with the numbers that pairs are chosen by."""
+    return [
+        words.where(F.col("asked") == asked).select("_k", F.col("text").alias(name)).distinct()
+        .withColumns({
+            f"{as_}_same": F.xxhash64(F.lower(name)),
+            f"{as_}_n": F.length(name),
+            f"{as_}_bits": _letters(name),
+        })
+        for asked, name, as_ in ((True, "term", "a"), (False, "reply_term", "b"))
+    ]
+
+
+def _mark_met(words: DataFrame, min_ratio: float) -> DataFrame:
+    """``_all_met`` by words that share a mark, for messages of any number of words."""
+    a, b = _sides(words)
+    numbers = ["_k", "term", "reply_term", "a_n", "b_n"]
+    same = a.join(b, [a["_k"] == b["_k"], a["a_same"] == b["b_same"]]).drop(b["_k"]).select(*numbers)
+    a = _marked(a, "term", "a", min_ratio).withColumn("_mark", F.explode("a_first"))
+    b = _marked(b, "reply_term", "b", min_ratio).withColumn("_mark", F.explode("b_first"))
     # A pair that shares several first marks is kept at the first of them only.
-    once = F.element_at(F.array_intersect("a_first", "b_first"), 1) == F.col("_mark")
-    shared = F.size(F.array_intersect("a_marks", "b_marks"))
-    return pairs.where(once & (2 * shared >= floor)).select(*keys, "term", "reply_term")
+    first = F.element_at(F.array_intersect("a_first", "b_first"), 1) == F.col("_mark")
+    close = a.join(b, ["_k", "_mark"]).where(
+        (F.col("a_same") != F.col("b_same")) & _hopeful(min_ratio) & first
+    )
+    return _left_over(_checked(same.unionByName(close.select(*numbers)), min_ratio))
+
+
+def _candidates(words: DataFrame, min_ratio: float) -> DataFrame:
+    """Pairs of a message that are ``exact`` or may reach the ratio, each once.
+
+    ``words`` is a written table of messages ``_k``, ``text`` and whether it is ``asked``. Where a
+    message has over ``MANY_WORDS`` rows, only words that share a mark meet.
+    """
+    sizes = words.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    long = cut(sizes.where(F.col("_n") > MANY_WORDS).select("_k"))
+    if long.isEmpty():
+        return _all_met(words, min_ratio)
+    short, rest = (words.join(long, "_k", how) for how in ("left_anti", "left_semi"))
+    return _all_met(short, min_ratio).unionByName(_mark_met(rest, min_ratio))
 
 
 def soft_match(
@@ -321,44 +423,38 @@ def soft_match(
 ) -> DataFrame:
     """Match reply terms to requested terms of the same message.
 
-    Messages have most words in common, so candidate pairs are made distinct first: each pair
-    of words is scored once, whatever the number of messages it comes up in.
+    Messages have most words in common, so candidate pairs are made distinct first, unless one
+    word stands in the other: each pair is scored once, whatever the number of messages it
+    comes up in.
 
     Equal ignoring case comes first (ratio 1). Terms still without a match take the most
     similar of the left reply terms, at least ``min_ratio`` alike, ties going to the
-    smaller text. Candidates must share a mark (see ``_marks``), which loses no pair.
+    smaller text. Candidates pass tests that lose no pair (``_hopeful``; ``_marks`` where a
+    message has very many words).
     """
     if not 0 < min_ratio <= 1:
         raise ValueError("min_ratio is over 0 and at most 1")
     keys = list(keys)
-    asked = terms.select(*keys, "term")
-    given = reply.select(*keys, F.col("term").alias("reply_term"))
-    # Spellings of one word in one message meet in one row; all steps start from there.
-    both = asked.withColumn("reply_term", F.lit(None).cast("string")).unionByName(
-        given.withColumn("term", F.lit(None).cast("string"))
+    # Keys in one column, in which NULL equals NULL.
+    asked, given = (
+        df.select(F.struct(*keys).alias("_k"), F.col("term").alias("text"), F.lit(is_term).alias("asked"))
+        for df, is_term in ((terms, True), (reply, False))
     )
-    words = cut(
-        both.groupBy(*keys, F.lower(F.coalesce("term", "reply_term")).alias("_low"))
-        .agg(F.collect_set("term").alias("_terms"), F.collect_set("reply_term").alias("_replies"))
-        .drop("_low")
-    )
-    no_term, no_reply = F.size("_terms") == 0, F.size("_replies") == 0
-    exact = words.where(~no_term & ~no_reply).select(
-        *keys,
-        F.explode("_terms").alias("term"),
-        F.array_min("_replies").alias("reply_term"),
-        F.lit(1.0).alias("ratio"),
+    pairs = cut(
+        _candidates(cut(asked.unionByName(given)), min_ratio).withColumn(
+            "ratio", F.when(F.col("exact"), F.lit(1.0)).otherwise(within_ratio())
+        )
     )
-    open_terms = words.where(no_reply).select(*keys, F.explode("_terms").alias("term"))
-    open_reply = words.where(no_term).select(*keys, F.explode("_replies").alias("reply_term"))
-    pairs = cut(_candidates(open_terms, open_reply, keys, min_ratio))
-    words_of_pair = ["term", "reply_term"]
-    scored = renamed(rated(pairs.select(*words_of_pair).distinct(), min_ratio), words_of_pair)
+    words = ["term", "reply_term"]
+    known = pairs.where(F.col("ratio") >= min_ratio).drop("exact")
+    open_ = pairs.where(F.col("ratio").isNull()).select("_k", *words)
+    scored = renamed(rated(open_.select(*words).distinct(), min_ratio), words)
+    found = open_.join(scored, same_words(open_, scored, words)).select(*known.columns)
+    # Only words that are equal but for the case have 1, as texts that are the same are.
     best = F.min(F.struct((-F.col("ratio")).alias("r"), "reply_term")).alias("_b")
-    close = (
-        pairs.join(scored, same_words(pairs, scored, words_of_pair))
-        .groupBy(*keys, "term")
+    return (
+        known.unionByName(found)
+        .groupBy("_k", "term")
         .agg(best)
-        .select(*keys, "term", "_b.reply_term", (-F.col("_b.r")).alias("ratio"))
+        .select("_k.*", "term", "_b.reply_term", (-F.col("_b.r")).alias("ratio"))
     )
-    return exact.unionByName(close)

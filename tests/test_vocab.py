@@ -172,6 +172,46 @@ def test_soft_match_case_first(spark):
     assert {r.term: r.reply_term for r in got.collect()} == {"Hola": "hola", "soy": "sox"}
 
 
+def one_message(spark, asked, replies):
+    words = rows_of(spark, asked).selectExpr("struct(mid) AS _k", "term AS text", "true AS asked")
+    return words.unionByName(rows_of(spark, replies).selectExpr("struct(mid) AS _k", "term AS text", "false AS asked"))
+
+
+def test_soft_match_scores_no_words_of_the_same_letters_only(spark):
+    words = one_message(spark, ["abcdefgh", "listen"], ["hgfedcba", "silent", "listne"])
+    got = tm._candidates(words, 0.8).collect()
+    assert [(r.term, r.reply_term) for r in got] == [("listen", "listne")]
+
+
+def test_pairs_are_scored_after_they_are_made_distinct(spark):
+    """The filter by ratio does not take the scoring below the distinct."""
+    pairs = spark.createDataFrame([("listen", "listne")] * 3, "term string, reply_term string").distinct()
+    plan = tm.rated(pairs, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate [term"):plan.index("LogicalRDD")]
+    assert "aggregate(" not in below
+
+
+@pytest.mark.parametrize("floor", [0.3, 0.6, 0.8])
+def test_soft_match_of_long_messages_equals_all_pairs(spark, monkeypatch, floor):
+    """Messages of many words meet by marks; short ones in the same call do not."""
+    monkeypatch.setattr(tm, "MANY_WORDS", 10)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdAü0😀") for _ in range(rng.randint(1, 8)))
+    lists = {m: (list({word() for _ in range(n)}), list({word() for _ in range(n)})) for m, n in (("a", 40), ("b", 4))}
+    asked, replies = (
+        rows_of(spark, lists["a"][i], "a").unionByName(rows_of(spark, lists["b"][i], "b")) for i in (0, 1)
+    )
+    got = tm.soft_match(asked, replies, floor).collect()
+    for m, (a, b) in lists.items():
+        assert {r.term: (r.reply_term, r.ratio) for r in got if r.mid == m} == brute(a, b, floor)
+
+
+def test_soft_match_of_null_keys(spark):
+    """NULL equals NULL in the keys, for equal and for similar words."""
+    got = tm.soft_match(rows_of(spark, ["Hola", "listen"], None), rows_of(spark, ["hola", "listne"], None))
+    assert {r.term: r.reply_term for r in got.collect()} == {"Hola": "hola", "listen": "listne"}
+
+
 def test_repair(spark):
     e = "array<struct<key:string,value:string>>"
     df = spark.createDataFrame(
