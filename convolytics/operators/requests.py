@@ -110,10 +110,18 @@ def request_fields(effect: Effect, chat: Column, bias: Column | None = None) ->
     ]
 
 
+def _joined(rows: DataFrame, picked: DataFrame) -> DataFrame:
+    """Rows with their completions, ``_found`` where there is one.
+
+    Both sides are dealt by id at every size: the planner's estimate knows nothing of exploded
+    terms and would send millions of completions through the driver as a broadcast.
+    """
+    return rows.join(picked.withColumn("_found", F.lit(True)).hint("merge"), "request_id", "left")
+
+
 def completed(requests: DataFrame, keep: Sequence[str], backend: Backend) -> DataFrame:
     """Rows of ``keep`` with the ``reply`` to each request, or the ``reason`` why there is none."""
-    picked = pick(backend(requests)).withColumn("_found", F.lit(True))
-    joined = requests.select(*keep, "request_id").join(picked, "request_id", "left")
+    joined = _joined(requests.select(*keep, "request_id"), pick(backend(requests)))
     reason = F.when(F.col("_found"), F.col("error")).otherwise(F.lit(NO_REPLY))
     return joined.select(*keep, F.when(reason.isNull(), F.col("reply")).alias("reply"), reason.alias("reason"))
 
@@ -200,8 +208,7 @@ def ask(
 def _answered(requests, sent, rejects, keys, keep, backend):
     # Rows look their completion up directly: only a backend that sends requests has
     # to make them distinct.
-    picked = pick(backend(sent)).withColumn("_found", F.lit(True))
-    joined = requests.select(*keys, *keep, "request_id").join(picked, "request_id", "left")
+    joined = _joined(requests.select(*keys, *keep, "request_id"), pick(backend(sent)))
     good = joined.where(F.col("_found") & F.col("error").isNull()).select(*keys, *keep, "reply")
     reason = F.when(F.col("_found"), F.col("error")).otherwise(F.lit(NO_REPLY)).alias("reason")
     failed = joined.where(F.col("_found").isNull() | F.col("error").isNotNull())

@@ -321,3 +321,14 @@ def test_scripted_replies_leave_messages_out_of_the_shuffle(spark):
     assert sorted(got) == ["r a", "r b"]
     parts = built.withColumns({"part": F.lit(0), "n": F.lit(1), "last": F.col("body") == "a"})
     assert [r.choices[0].content for r in scripted(LAST)(parts).collect()] == ["a"]
+
+
+def test_completions_of_exploded_terms_are_not_broadcast(spark, tmp_path):
+    said(spark, "hola amigo").write.parquet(str(tmp_path / "said"))
+    rows = fx.term_lists(spark.read.parquet(str(tmp_path / "said")))
+    rows = rows.select("uid", "tid", "mid", "body", F.explode("terms").alias("term"))
+    good, bad = fx.extract_synonyms(rows, scripted("'[\"x\"]'"))
+    for df in (good, bad):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r.term, *r.synonyms) for r in good.collect()) == [("amigo", "x"), ("hola", "x")]
