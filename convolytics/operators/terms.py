@@ -30,19 +30,20 @@ def entry_keys(entries: Column) -> Column:
     return F.transform(entries, lambda e: e["key"])
 
 
+def last_wins(entries: Column) -> Column:
+    """Entries with each key once, with its last value."""
+    keys = F.array_distinct(entry_keys(entries))
+    last = F.transform(
+        keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)
+    )
+    return F.when(F.size(keys) == F.size(entries), entries).otherwise(last)
+
+
 def json_entries(reply: Column, value_type: str = "string") -> Column:
     """Entries of a JSON object in order; of a repeated key the last value counts.
 
     NULL when the text is not a JSON object.
     """
-
-    def last_wins(entries: Column) -> Column:
-        keys = F.array_distinct(entry_keys(entries))
-        last = F.transform(
-            keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)
-        )
-        return F.when(F.size(keys) == F.size(entries), entries).otherwise(last)
-
     return let(F.map_entries(F.from_json(reply, f"map<string,{value_type}>")), last_wins)
 
 

@@ -332,3 +332,15 @@ def test_completions_of_exploded_terms_are_not_broadcast(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert sorted((r.term, *r.synonyms) for r in good.collect()) == [("amigo", "x"), ("hola", "x")]
+
+
+def test_terms_of_a_message_are_not_shuffled_one_by_one(spark):
+    """A message is one row of the shuffle; keys that are equal once stripped count as one, the last."""
+    reply = """CASE effect WHEN 'defn' THEN '{"hola ": "x", "hola": "y"}'
+        WHEN 'udefn' THEN '{"amigo": "u", "other": "o"}' WHEN 'pos' THEN 'none' ELSE '{"a": "r", "b": null}' END"""
+    found, bad = fx.extract_all(said(spark, "hola amigo", "..."), scripted(reply))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "max_by(" not in plan and "collect_list(" in plan
+    got = {r.term: (r.pos, r.bcp47, r.defn, r.udefn, r.root, r.part_of_speech, r.conju) for r in found.collect()}
+    assert got == {"hola": (0, "en-US", "y", "", "", "", ""), "amigo": (1, "en-US", "", "u", "", "", "")}
+    assert [(r.mid, r.effect) for r in bad.collect()] == [("USR0", "pos")]
