@@ -177,8 +177,9 @@ def w1(spark, d):
 @query("w1_number_long_groups", W1_SQL.format(keys="uid", order="tid, turn"))
 def w1_long(spark, d):
     """Numbers over all transcripts of a learner, with learners counted as hot groups."""
-    df = messages(spark, d).drop("mid")
     order = ["created_at", "tid", "turn"]
+    # Rows of hot groups are written: bodies stay out.
+    df = messages(spark, d).select("uid", "role", *order)
     numbered = op.number_messages(df, ["uid"], order, rows_per_task=20)
     return numbered.select("uid", "tid", "turn", "mid")
 

@@ -87,3 +87,25 @@ def test_many_hot_groups_are_placed_together(skewed, monkeypatch):
     got = rank_rows(skewed, ["g"], order, "rn", 7)
     assert "Anti" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.id, r.rn) for r in got.collect()} == {(r.id, r.rn) for r in want.collect()}
+
+
+def _written(monkeypatch):
+    """Columns of the tables that hot groups are written to."""
+    from convolytics import scale
+
+    seen, cut = [], scale.cut
+
+    def noted(df):
+        seen.append(set(df.columns))
+        return cut(df)
+
+    monkeypatch.setattr(scale, "cut", noted)
+    return seen
+
+
+def test_numbering_writes_no_bodies(spark, monkeypatch):
+    from convolytics.catalog import QUERIES
+
+    seen = _written(monkeypatch)
+    assert QUERIES["w1_number_long_groups"](spark, "/root/testdata/sf0.01").count() > 0
+    assert seen == [{"uid", "tid", "turn", "role", "created_at", "_task"}]
