@@ -109,9 +109,11 @@ def dialogue(
     Texts of more than ``part_rows`` lines go on in further parts; white space at the end
     is dropped from the last one.
     """
-    parts = ordered_parts(
-        filter_roles(messages, roles), keys, _by_time(order), chat_line(), part_rows, "_l", **scale
+    # Rows of hot groups are written: each holds its line once, and not the body beside it.
+    lines = filter_roles(messages, roles).select(
+        *dict.fromkeys([*keys, *order]), chat_line().alias("_v")
     )
+    parts = ordered_parts(lines, keys, _by_time(order), F.col("_v"), part_rows, "_l", **scale)
     joined = F.array_join("_l", "\n")
     last = F.max("part").over(Window.partitionBy(*keys)) == F.col("part")
     texts = parts.withColumn("text", F.when(last, py_strip(joined)).otherwise(joined)).drop("_l")

@@ -109,3 +109,11 @@ def test_numbering_writes_no_bodies(spark, monkeypatch):
     seen = _written(monkeypatch)
     assert QUERIES["w1_number_long_groups"](spark, "/root/testdata/sf0.01").count() > 0
     assert seen == [{"uid", "tid", "turn", "role", "created_at", "_task"}]
+
+
+def test_dialogue_writes_each_line_once(spark, monkeypatch):
+    from convolytics.catalog import QUERIES
+
+    seen = _written(monkeypatch)
+    assert QUERIES["a2_dialogue_parts"](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == [{"uid", "tid", "turn", "created_at", "_v", "_task"}]
